@@ -237,3 +237,12 @@ def _rest_links(rest: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("set_key")
+
+
+def keep_near(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The documents, all columns, that stand for their groups; documents without words stay.
+
+    Documents are told apart by doc_id here: texts that share an id stay or go together.
+    """
+    marks = near_duplicates(docs, percent).groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept")
+    return docs.alias("a").join(marks.alias("b"), same("a", "b", ["doc_id"]), "left_anti").select(*docs.columns)
