@@ -41,7 +41,8 @@ def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, digest: bool
     sha = F.coalesce("full_hash", F.sha2("text", 256)) if digest else F.col("full_hash")
     n = materialize(r.select("doc_id", F.col("full_hash").alias("h"), sha.alias("text_sha256")), "exact")
     groups = n.filter("h is not null").groupBy("h").agg(F.max("doc_id").alias("g_keep"), F.count(F.lit(1)).alias("g_size")).filter("g_size > 1")
-    j = n.join(groups, "h", "left")
+    # Rows that no refinement found alike have no full hash; joined as nulls they would all meet in one task.
+    j = n.filter("h is not null").join(groups, "h", "left").unionByName(n.filter("h is null"), allowMissingColumns=True)
     out = j.select("doc_id", F.when(F.col("g_size").isNull(), F.col("doc_id")).otherwise(F.col("g_keep")).alias("keep_id"), F.coalesce("g_size", F.lit(1)).alias("group_size"), "h", "text_sha256")
     top = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     # Only rows at the top of a real group can tie, so the window runs over those alone.
