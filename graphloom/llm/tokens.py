@@ -12,15 +12,16 @@ import numpy as np
 import pyarrow as pa
 
 # The pre-tokenizer's pattern for the simple alphabet (ASCII and Latin-1 letters, lower case).
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-SIMPLE = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 \t\n\r]+")
+LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+SIMPLE = re.compile(r"[\x20-\x7e\t\n\rÀ-ÖØ-öø-ÿ]*")
 SPLIT = re.compile(r"[ \t\n\r]+")
-CACHED = 400_000
+CACHED = 800_000
 JOINED = 4096
 
 
 class WordEncoder:
-    """Ids of texts as little-endian arrays; caches are bounded and live as long as the worker."""
+    """Ids of texts as little-endian arrays; the cache of pieces is bounded and lives as long as the worker."""
 
     _own: dict[str, WordEncoder] = {}
 
@@ -32,7 +33,6 @@ class WordEncoder:
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.end[i] = token.endswith("</w>")
         self.dtype = np.dtype("<u2") if len(self.end) <= 1 << 16 else np.dtype("<u4")
-        self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     @classmethod
@@ -59,22 +59,25 @@ class WordEncoder:
             out += [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
         return out
 
-    def learn(self, chunks: list[str]) -> None:
-        simple, odd = {}, []
-        for c in chunks:
-            if SIMPLE.fullmatch(c) and "<|" not in c:
-                simple[c] = PIECES.findall(c.lower())
-            else:
-                odd.append(c)
-        new = list({p for v in simple.values() for p in v} - self.pieces.keys())
-        words = [p for p in new if p.isalpha()]
-        rest = [p for p in new if not p.isalpha()]
+    def learn(self, new: set[str]) -> None:
+        words = [p for p in new if LETTERS.fullmatch(p)]
+        rest = list(new.difference(words))
         self.pieces.update(zip(words, self.letters(words), strict=True))
         self.pieces.update(zip(rest, self.plain(rest), strict=True))
-        get = self.pieces.__getitem__
-        for c, v in simple.items():
-            self.chunks[c] = b"".join(map(get, v))
-        self.chunks.update(zip(odd, self.plain(odd), strict=True))
+
+    def split(self, text: str | None) -> list[str]:
+        """Pieces of a text whose ids, joined, are the text's: pre-tokens, or whole chunks outside the alphabet."""
+        if not text:
+            return []
+        if "<|" not in text and SIMPLE.fullmatch(text):
+            return PIECES.findall(text.lower())
+        out: list[str] = []
+        for c in SPLIT.split(text):
+            if "<|" not in c and SIMPLE.fullmatch(c):
+                out += PIECES.findall(c.lower())
+            else:
+                out.append(c)
+        return out
 
     def encode(self, texts: list[str | None], most_chars: int = 4_000_000):
         """An array of ids for each text, in order; null texts are empty."""
@@ -84,17 +87,12 @@ class WordEncoder:
             while end < len(texts) and (end == at or chars < most_chars):
                 chars += len(texts[end] or "")
                 end += 1
-            split = [SPLIT.split(t) if t else [] for t in texts[at:end]]
-            if len(self.chunks) > CACHED:
-                self.chunks = {}
+            split = [self.split(t) for t in texts[at:end]]
             if len(self.pieces) > CACHED:
                 self.pieces = {}
-            if "" not in self.chunks:
-                self.chunks[""] = b""
-            new = {c for s in split for c in s} - self.chunks.keys()
-            if new:
-                self.learn(list(new))
-            get = self.chunks.__getitem__
+            if new := set().union(*split) - self.pieces.keys():
+                self.learn(new)
+            get = self.pieces.__getitem__
             for s in split:
                 yield np.frombuffer(b"".join(map(get, s)), self.dtype)
             at = end
