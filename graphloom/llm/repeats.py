@@ -116,11 +116,46 @@ def runs(flags: list[bool] | np.ndarray) -> Iterator[tuple[int, int]]:
     yield from zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)
 
 
+def common_prefix(a: bytes, b: bytes) -> int:
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[:middle] == b[:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def extents(surroundings: list[tuple[int, int, int, bytes]]) -> tuple[list[int], list[int]]:
+    """How far each agrees with any other to the left and to the right of the anchor.
+
+    Equal windows have their anchor at the same place, so no repeat reaches further.
+    """
+    out = []
+    for sides in ([x[3][: x[2]][::-1] for x in surroundings], [x[3][x[2] :] for x in surroundings]):
+        order = sorted(range(len(sides)), key=sides.__getitem__)
+        most = [0] * len(sides)
+        for i, j in zip(order[:-1], order[1:], strict=True):
+            n = common_prefix(sides[i], sides[j])
+            most[i], most[j] = max(most[i], n), max(most[j], n)
+        out.append(most)
+    return out[0], out[1]
+
+
+def trimmed(x: tuple[int, int, int, bytes], left: int, right: int) -> tuple[int, int, int, bytes]:
+    raw = x[3][x[2] - left : x[2] + right]
+    return x[0], len(raw) - LENGTH + 1, left, raw
+
+
 def sorted_repeats(surroundings: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int]]:
     """sig, first and last+1 place of windows, relative to the anchor, that start elsewhere in the key's surroundings too.
 
     surroundings: sig, windows, before, bytes; each once, whatever its number of copies.
     """
+    surroundings = [x for x in map(trimmed, surroundings, *extents(surroundings)) if x[1] > 0]
+    if not surroundings:
+        return []
     text, at, windows = [], [], bytearray()
     for _, count, _, raw in surroundings:
         at.append(len(text))
@@ -161,16 +196,48 @@ def sort_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pylist(out(), schema)
 
 
-def hash_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two 64-bit hashes of every window of the surroundings."""
+HASHED = "key long, sig long, start int, h long, g long"
+BLOCK = 16  # windows that are hashed as one at first
+
+
+def hash_spans(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Two 64-bit hashes of every ``width`` neighbouring windows of the surroundings, dealt by place from the anchor.
+
+    Windows in the blocks that ``skip`` lists by their first place are left out.
+    """
     for batch in batches:
         for r in batch.to_pylist():
             data = np.frombuffer(r["bytes"], np.uint8)
-            m = len(data) - LENGTH + 1
+            size = LENGTH + width - 1
+            start = np.arange(len(data) - size + 1)
+            start = start[(start - r["before"]) % width == 0]
+            if r.get("skip"):
+                start = start[~np.isin((start - r["before"]) // BLOCK * BLOCK, r["skip"])]
+            m = len(start)
+            if not m:
+                continue
             up, down = powers(len(data))
-            x, y = ((np.concatenate([np.zeros(1, U), np.cumsum(v * up)])) for v in (data.astype(U) + U(1), _BYTES[data]))
-            h, g = (mix((z[LENGTH:] - z[:-LENGTH]) * down[:m]).view(np.int64) for z in (x, y))
-            yield pa.RecordBatch.from_arrays([pa.array([r["key"]] * m, pa.int64()), pa.array([r["sig"]] * m, pa.int64()), pa.array(np.arange(m, dtype=np.int32) - r["before"]), pa.array(h), pa.array(g)], ["key", "sig", "start", "h", "g"])
+            x, y = (np.concatenate([np.zeros(1, U), np.cumsum(v * up)]) for v in (data.astype(U) + U(1), _BYTES[data]))
+            h, g = (mix((z[start + size] - z[start]) * down[start]).view(np.int64) for z in (x, y))
+            yield pa.RecordBatch.from_arrays([pa.array([r["key"]] * m, pa.int64()), pa.array([r["sig"]] * m, pa.int64()), pa.array((start - r["before"]).astype(np.int32)), pa.array(h), pa.array(g)], ["key", "sig", "start", "h", "g"])
+
+
+def hashed_repeats(surroundings: DataFrame) -> DataFrame:
+    """sig's runs of repeated windows, of keys with very many surroundings: key, sig, before, bytes.
+
+    Blocks of windows that are alike as a whole are settled first; one surrounding of each such block goes on to stand
+    for it, with all windows of the blocks that differ, and these are compared one by one.
+    """
+    same_place = ["key", "start", "h", "g"]
+    blocks = materialize(surroundings.mapInArrow(lambda b: hash_spans(b, BLOCK), HASHED), "blocks")
+    alike = blocks.groupBy(*same_place).agg(F.count(F.lit(1)).alias("c"), F.min("sig").alias("stands")).filter("c > 1").drop("c")
+    settled = materialize(blocks.join(alike, same_place).select("key", "sig", "start", "stands"), "settled")
+    skip = settled.filter("sig <> stands").groupBy("key", "sig").agg(F.collect_list("start").alias("skip"))
+    windows = surroundings.join(skip, ["key", "sig"], "left").select("key", "sig", "before", "bytes", "skip").mapInArrow(lambda b: hash_spans(b, 1), HASHED)
+    windows = materialize(windows, "windows")
+    twice = windows.groupBy(*same_place).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    single = windows.join(twice, same_place).select("key", "sig", "start", (F.col("start") + 1).alias("end"))
+    return single.unionByName(settled.select("key", "sig", "start", (F.col("start") + BLOCK).alias("end")))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -194,13 +261,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     few = cut.filter(F.col("m") <= MOST_SORTED).select("key", "sig", "before", "after", "bytes")
     found = few.repartition("key").sortWithinPartitions("key").mapInArrow(sort_keys, RUNS)
-    many = cut.filter((F.col("m") > MOST_SORTED) & (F.col("n") == 1)).select("key", "sig", "before", "bytes")
-    rest = cut.filter((F.col("m") > MOST_SORTED) & (F.col("n") > 1)).select("key", "sig", "before", "bytes")
-    windows = many.unionByName(rest).distinct().mapInArrow(hash_windows, "key long, sig long, start int, h long, g long")
-    windows = materialize(windows, "windows")
-    window = ["key", "start", "h", "g"]
-    twice = windows.groupBy(*window).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    hot = windows.join(twice, window).select("key", "sig", "start", (F.col("start") + 1).alias("end"))
+    hot = hashed_repeats(cut.filter(F.col("m") > MOST_SORTED).select("key", "sig", "before", "bytes").dropDuplicates(["key", "sig"]))
     found = materialize(found.unionByName(hot), "found")
 
     twin = mixed.join(sigs.filter("n > 1").select("key", "sig"), ["key", "sig"], "left_semi")

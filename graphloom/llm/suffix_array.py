@@ -15,6 +15,8 @@ from collections.abc import Sequence
 def suffix_array(text: Sequence[int]) -> list[int]:
     """Places of all suffixes in ascending order, a suffix before those that it is a prefix of."""
     n = len(text)
+    if not n:
+        return []
     by_symbol: dict[int, set[int]] = {}
     for i, c in enumerate(text):
         by_symbol.setdefault(c, set()).add(i)
