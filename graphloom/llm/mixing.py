@@ -50,7 +50,8 @@ def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
     budget = max(0, min(budget, total))
     if not total:
         return {}
-    take = {x: n * budget // total for x, n in counts.items()}
+    # The shares stay half a knapsack below the budget, so that what is left is a real choice of lengths.
+    take = {x: n * max(0, budget - KNAPSACK // 2) // total for x, n in counts.items()}
     left = budget - sum(x * n for x, n in take.items())
     lengths = sorted(counts, reverse=True)
     for x in lengths:
