@@ -96,7 +96,9 @@ def quality_stats(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
 
 def clean_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """The documents that pass, all columns; their text without the lines that fail."""
-    q = quality_stats(docs, rules).filter("__q.kept").withColumn("text", F.col("__q.cleaned"))
+    # A filter over __q would be moved below it and compute it again; a generator's output isn't.
+    q = quality_stats(docs, rules).withColumn("__q", F.explode_outer(F.filter(F.array("__q"), lambda x: x["kept"])))
+    q = q.filter("__q is not null").withColumn("text", F.col("__q.cleaned"))
     if "n_chars" in docs.columns:
         q = q.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return q.select(*docs.columns)
