@@ -11,7 +11,6 @@ from graphloom.registry import query
 from graphloom.session import table
 
 RRF_K = 60
-ALL = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
 
 
 def fractional_rank(value: str, higher_is_better: bool = True, within: tuple[str, ...] = ()) -> Column:
@@ -23,7 +22,8 @@ def fractional_rank(value: str, higher_is_better: bool = True, within: tuple[str
 
 def minmax(value: str) -> Column:
     """0 to 1 between the extremes; 0.5 of a constant column."""
-    lo, hi = F.min(value).over(ALL), F.max(value).over(ALL)
+    every = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    lo, hi = F.min(value).over(every), F.max(value).over(every)
     return F.when(hi == lo, F.lit(0.5)).otherwise((F.col(value) - lo) / (hi - lo))
 
 
