@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import materialize
+
 # What a 304 response may update, and query parameters that don't name a resource.
 PERMITTED = ("date", "expires", "cache-control", "etag", "vary", "content-location")
 TRACKING = r"^(ref|fbclid|gclid|sessionid|utm_[^=]*)(=|$)"
@@ -90,7 +92,7 @@ def archive_of(pages: DataFrame) -> DataFrame:
 
     Every ninth revisit bears another validator; every fifth page has a Last-Modified and no ETag.
     """
-    p = pages.select("page_id", "url", F.sha2(F.coalesce("html", F.lit("")), 256).alias("sha"))
+    p = materialize(pages.select("page_id", "url", F.sha2(F.coalesce("html", F.lit("")), 256).alias("sha")), "captures")
     at = lambda s: F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id") * 60 + s)
     text = lambda s: F.date_format(at(s), "yyyy-MM-dd HH:mm:ss")
     old = F.col("page_id") % 5 == 0
