@@ -44,7 +44,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("pack_sequences", pack_sequences)]
 
-ORACLE_SQL = None  # signatures, tokens and packing have no SQL form; the tests hold run() against brute force
+ORACLE_SQL = None  # signatures, tokens and packing have no SQL form; the stages are tested one by one
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
