@@ -23,6 +23,15 @@ def nearest_rank(values: Column, p: float) -> Column:
     return F.try_element_at(F.sort_array(values), (F.bround(F.lit(p) / 100 * (F.size(values) - 1)) + 1).cast("int"))
 
 
+def nearest_ranks(rows: DataFrame, keys: list[str], value: str, percents: tuple[int, ...]) -> DataFrame:
+    """Keys with p<percent>: nearest_rank of a column's values by counts of equal values, so that no list is gathered."""
+    own = W.partitionBy(*keys)
+    n = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    n = n.withColumn("__upto", F.sum("__n").over(own.orderBy(value).rowsBetween(W.unboundedPreceding, 0))).withColumn("__all", F.sum("__n").over(own))
+    place = lambda p: F.bround(F.lit(p) / 100 * (F.col("__all") - 1))
+    return n.groupBy(*keys).agg(*(F.min(F.when(F.col("__upto") > place(p), F.col(value))).alias(f"p{p}") for p in percents))
+
+
 def directory_rollup(rows: DataFrame) -> DataFrame:
     """dir, files, measured, weighted_mean, worst: each file counts in every directory above it; unmeasured values are left out, not zeroed."""
     e = rows.withColumn("dir", F.explode(ancestors(F.col("path"))))
@@ -85,15 +94,16 @@ RANK_SQL = "list_sort(list({x}))[CAST(round_even({p} / 100.0 * (count({x}) - 1),
 
 @query("agg_repo_context", f"WITH {HIST_SQL} SELECT count(DISTINCT commits) >= 3 AS churn_usable, " + ", ".join(f"{RANK_SQL.format(x='commits', p=p)} AS p{p}" for p in (50, 90, 95, 99)) + " FROM hist")
 def repo_context(spark: SparkSession, sf: str) -> DataFrame:
-    a = history(spark, sf).agg((F.countDistinct("commits") >= 3).alias("churn_usable"), F.collect_list("commits").alias("v"))
-    return a.select("churn_usable", *(nearest_rank(F.col("v"), p).alias(f"p{p}") for p in (50, 90, 95, 99)))
+    h = history(spark, sf)
+    return h.agg((F.countDistinct("commits") >= 3).alias("churn_usable")).crossJoin(nearest_ranks(h, [], "commits", (50, 90, 95, 99)))  # one row each
 
 
 @query("agg_axis_summary", "SELECT c_mktsegment AS axis, count(*) FILTER (c_acctbal >= 0) AS n, count(*) FILTER (c_acctbal < 0) AS not_available, round(avg(c_acctbal) FILTER (c_acctbal >= 0), 6) AS mean, " + ", ".join(f"list_sort(list(c_acctbal) FILTER (c_acctbal >= 0))[CAST(round_even({p} / 100.0 * (count(*) FILTER (c_acctbal >= 0) - 1), 0) AS INTEGER) + 1] AS p{p}" for p in (10, 50, 90)) + " FROM customer GROUP BY 1")
 def axis_summary(spark: SparkSession, sf: str) -> DataFrame:
     v = F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal"))
-    a = table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("axis")).agg(F.count(v).alias("n"), F.count_if(v.isNull()).alias("not_available"), F.round(F.avg(v), 6).alias("mean"), F.collect_list(v).alias("v"))
-    return a.select("axis", "n", "not_available", "mean", *(nearest_rank(F.col("v"), p).alias(f"p{p}") for p in (10, 50, 90)))
+    a = table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("axis")).agg(F.count(v).alias("n"), F.count_if(v.isNull()).alias("not_available"), F.round(F.avg(v), 6).alias("mean"))
+    ranks = nearest_ranks(table(spark, sf, "customer").select(F.col("c_mktsegment").alias("axis"), v.alias("v")), ["axis"], "v", (10, 50, 90))
+    return a.join(ranks, "axis", "left")
 
 
 @query("agg_hot_cohort", f"""WITH {HIST_SQL}, f AS (SELECT c_custkey, c_acctbal, coalesce(commits, 0) AS commits FROM customer LEFT JOIN hist ON id = c_custkey),
