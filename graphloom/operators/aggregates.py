@@ -18,13 +18,8 @@ def ancestors(path: Column) -> Column:
     return F.when(F.size(parts) > 1, F.concat(F.array(F.lit("(root)")), own)).otherwise(F.array(F.lit("(root)")))
 
 
-def nearest_rank(values: Column, p: float) -> Column:
-    """Element at round-half-even(p/100 * (n-1)) of the sorted values; null of none."""
-    return F.try_element_at(F.sort_array(values), (F.bround(F.lit(p) / 100 * (F.size(values) - 1)) + 1).cast("int"))
-
-
 def nearest_ranks(rows: DataFrame, keys: list[str], value: str, percents: tuple[int, ...]) -> DataFrame:
-    """Keys with p<percent>: nearest_rank of a column's values by counts of equal values, so that no list is gathered."""
+    """Keys with p<percent>: the value at round-half-even(p/100 * (n-1)) in order, by counts of equal values, so that no list is gathered."""
     own = W.partitionBy(*keys)
     n = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
     n = n.withColumn("__upto", F.sum("__n").over(own.orderBy(value).rowsBetween(W.unboundedPreceding, 0))).withColumn("__all", F.sum("__n").over(own))
