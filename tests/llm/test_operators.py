@@ -187,3 +187,59 @@ def test_pipeline(spark):
 
     got = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "sequence_id", "offset", "length"} <= set(got.columns) and got.count() > 0
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Rows whose fate is known by construction, the mix by trying all subsets, and the sequences by retokenising."""
+    import collections
+    import itertools
+
+    import tokenizers
+
+    import corpus_pipeline
+    from graphloom.llm.tokens import vocabulary_path
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 7)))
+    prose = ["\n".join(" ".join(word() for _ in range(20)) + "." for _ in range(10)) for _ in range(6)]
+    near = prose[1].split(" ")
+    near[50] = "changed"
+    texts = dict(enumerate(prose)) | {10: prose[0] + "\nHome | About | Contact | Help", 11: " ".join(near), 12: "too short.", 13: "a b c d e f g h " * 30 + ".", 14: None}
+    docs = [(i, t, "en", f"s{i % 2}", len(t or "")) for i, t in texts.items()]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(docs, schema).write.parquet(f"{tmp_path}/documents.parquet")
+
+    step = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    left = []
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        step = stage(spark, step, str(tmp_path))
+        left.append(sorted(r.doc_id for r in step.collect()))
+    assert left[0] == [0, 1, 2, 3, 4, 5, 10, 11] and left[1] == [1, 2, 3, 4, 5, 10, 11]
+    assert left[2] in ([1, 2, 3, 4, 5, 10], [2, 3, 4, 5, 10, 11])
+
+    sizes = {i: len(words(prose[0] if i == 10 else texts[i])) for i in left[2]}
+    total = sum(sizes.values())
+    want = {}
+    for source, share in ((0, total * 5 / 7), (1, total * 2 / 7)):
+        own = [n for i, n in sizes.items() if i % 2 == source]
+        room = share - sum(own) * int(share // sum(own))
+        best = max(sum(c) for k in range(len(own) + 1) for c in itertools.combinations(own, k) if sum(c) <= room)
+        want[source] = sum(own) * int(share // sum(own)) + best
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    taken = collections.Counter()
+    for r in packed:
+        taken[r.doc_id % 2] += sizes[r.doc_id] if r.piece == 0 else 0
+    assert dict(taken) == want
+
+    encoder = tokenizers.Tokenizer.from_file(vocabulary_path())
+    tokens = {i: len(encoder.encode(prose[0] if i == 10 else texts[i], add_special_tokens=False).ids) + 1 for i in sizes}
+    assert all(r.length == tokens[r.doc_id] for r in packed)
+    bins = collections.defaultdict(list)
+    for r in packed:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for pieces in bins.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 2048
