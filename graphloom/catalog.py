@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.operators import aggregates, graph, health, ranking, rules, text, timeline
+from graphloom.operators import aggregates, graph, groups, health, ranking, rules, text, timeline
 from graphloom.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "graph", "health", "ranking", "rules", "text", "timeline"]
+__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "graph", "groups", "health", "ranking", "rules", "text", "timeline"]

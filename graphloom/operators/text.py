@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from graphloom.registry import query
 from graphloom.session import table
 
-# Short words that soften or fill.
-HEDGES = ("the", "and", "of")
+# Phrases that hedge, words that intensify weakly, words that fill, and the shape of a passive.
+HEDGES = ("maybe", "perhaps", "possibly", "sort", "kind", "somewhat", "probably", "i think", "i guess", "i feel", "just", "actually", "basically")
+WEAK = ("very", "really", "quite", "rather", "extremely", "totally", "literally", "definitely")
+FILLERS = ("thing", "things", "stuff", "etc")
+PASSIVE = r"\b(is|are|was|were|be|been|being)\b\s+\w+(ed|en)\b"
 
 
 def word_list(text: Column) -> Column:
@@ -22,15 +25,22 @@ def syllables(word: Column) -> Column:
     return F.greatest(n - F.when(F.endswith(word, F.lit("e")) & (n > 1), 1).otherwise(0), F.lit(1))
 
 
-@query("txt_writing_metrics", """WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z'']+') AS w, len(regexp_extract_all(text, '[.!?]+')) AS s FROM documents WHERE lang = 'en'),
-m AS (SELECT doc_id, len(w) AS n_words, greatest(s, 1) AS n_sentences, len(list_distinct(w)) AS n_distinct, coalesce(list_sum(list_transform(w, lambda x: greatest(len(regexp_extract_all(x, '[aeiouy]+')) - CASE WHEN ends_with(x, 'e') AND len(regexp_extract_all(x, '[aeiouy]+')) > 1 THEN 1 ELSE 0 END, 1))), 0) AS syl, len(list_filter(w, lambda x: x IN ('the', 'and', 'of'))) AS hedges FROM t)
-SELECT doc_id, n_words, n_sentences, CAST(syl AS BIGINT) AS n_syllables, hedges AS n_hedges, round(n_distinct / sqrt(n_words), 6) AS root_ttr, round(206.835 - 1.015 * n_words / n_sentences - 84.6 * syl / n_words, 6) AS flesch FROM m WHERE n_words > 0""")
+HEDGE_SQL = " + ".join(f"len(regexp_extract_all(p, ' {h} '))" for h in HEDGES)
+
+
+@query("txt_writing_metrics", f"""WITH t AS (SELECT doc_id, ' ' || lower(trim(text, E' \\t\\n\\r')) || ' ' AS p, regexp_extract_all(lower(text), '[a-z'']+') AS w, len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda x: regexp_matches(x, '\\S'))) AS s FROM documents WHERE lang = 'en'),
+m AS (SELECT doc_id, len(w) AS n_words, greatest(s, 1) AS n_sentences, len(list_distinct(w)) AS n_distinct, coalesce(list_sum(list_transform(w, lambda x: greatest(len(regexp_extract_all(x, '[aeiouy]+')) - CASE WHEN ends_with(x, 'e') AND len(regexp_extract_all(x, '[aeiouy]+')) > 1 THEN 1 ELSE 0 END, 1))), 0) AS syl,
+{HEDGE_SQL} AS n_hedges, len(list_filter(w, lambda x: x IN {WEAK})) AS n_weak, len(list_filter(w, lambda x: x IN {FILLERS})) AS n_fillers, len(regexp_extract_all(p, '{PASSIVE}')) AS n_passive FROM t)
+SELECT doc_id, n_words, n_sentences, CAST(syl AS BIGINT) AS n_syllables, n_hedges, n_weak, n_fillers, n_passive, round(n_distinct / sqrt(n_words), 6) AS root_ttr, round(206.835 - 1.015 * n_words / n_sentences - 84.6 * syl / n_words, 6) AS flesch FROM m WHERE n_words > 0""")
 def writing_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """Counts, root type-token ratio and Flesch reading ease."""
-    t = table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", word_list(F.col("text")).alias("w"), F.greatest(F.regexp_count("text", F.lit("[.!?]+")), F.lit(1)).cast("long").alias("n_sentences"))
-    m = t.select("doc_id", "n_sentences", F.size("w").cast("long").alias("n_words"), F.size(F.array_distinct("w")).alias("d"), F.aggregate("w", F.lit(0).cast("long"), lambda s, x: s + syllables(x)).alias("n_syllables"), F.size(F.filter("w", lambda x: x.isin(*HEDGES))).cast("long").alias("n_hedges"))
+    """Counts, root type-token ratio and Flesch reading ease. Hedges count between single spaces, without overlap."""
+    sentences = F.size(F.filter(F.split("text", "[.!?]+"), lambda x: x.rlike(r"\S")))
+    t = table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", F.concat(F.lit(" "), F.lower(F.btrim("text", F.lit(" \t\n\r"))), F.lit(" ")).alias("p"), word_list(F.col("text")).alias("w"), F.greatest(sentences, F.lit(1)).cast("long").alias("n_sentences"))
+    hedges = sum((F.regexp_count("p", F.lit(f" {h} ")) for h in HEDGES), F.lit(0)).cast("long")
+    among = lambda words: F.size(F.filter("w", lambda x: x.isin(*words))).cast("long")
+    m = t.select("doc_id", "n_sentences", F.size("w").cast("long").alias("n_words"), F.size(F.array_distinct("w")).alias("d"), F.aggregate("w", F.lit(0).cast("long"), lambda s, x: s + syllables(x)).alias("n_syllables"), hedges.alias("n_hedges"), among(WEAK).alias("n_weak"), among(FILLERS).alias("n_fillers"), F.regexp_count("p", F.lit(PASSIVE)).cast("long").alias("n_passive"))
     flesch = 206.835 - 1.015 * F.col("n_words") / F.col("n_sentences") - 84.6 * F.col("n_syllables") / F.col("n_words")
-    return m.filter("n_words > 0").select("doc_id", "n_words", "n_sentences", "n_syllables", "n_hedges", F.round(F.col("d") / F.sqrt("n_words"), 6).alias("root_ttr"), F.round(flesch, 6).alias("flesch"))
+    return m.filter("n_words > 0").select("doc_id", "n_words", "n_sentences", "n_syllables", "n_hedges", "n_weak", "n_fillers", "n_passive", F.round(F.col("d") / F.sqrt("n_words"), 6).alias("root_ttr"), F.round(flesch, 6).alias("flesch"))
 
 
 def slug(s: Column, most: int = 100) -> Column:
