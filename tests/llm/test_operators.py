@@ -243,3 +243,24 @@ def test_pipeline_against_brute_force(spark, tmp_path):
             assert offset == at
             at += length
         assert at <= 2048
+
+
+def test_pipeline_links_near_copies_from_a_similarity_of_80(spark):
+    """A run of changed words puts one copy at about 0.82, the other below 0.8; op4's default keeps both."""
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(204)]
+
+    def changed(mark, n):
+        return " ".join(f"{mark}{i}" if 10 <= i < 10 + n else w for i, w in enumerate(base))
+
+    def similarity(a, b):
+        a, b = ({tuple(t.split(" ")[i : i + 5]) for i in range(200)} for t in (a, b))
+        return len(a & b) / len(a | b)
+
+    one, near, far = " ".join(base), changed("x", 16), changed("y", 20)
+    assert 0.81 < similarity(one, near) < 0.83 and 0.77 < similarity(one, far) < 0.8 and similarity(near, far) < 0.8
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate((one, near, far))], "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == [0, 2]
+    assert minhash.keep_near(docs).count() == 3
