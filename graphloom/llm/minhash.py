@@ -54,9 +54,10 @@ def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def describe(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, set_key (128 bits, null for an empty set), bands; a text goes no further than this."""
+def describe(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, set_key (128 bits, null for an empty set), bands, and ``also``; a text goes no further than this."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    more = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in also)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,9 +66,9 @@ def describe(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
                 n.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 out.append(band_hashes(signature(s, bands * rows), bands, rows) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(out, pa.list_(pa.int64())), *batch.columns[2:]], ["doc_id", "n_shingles", "set_key", "bands", *also])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_key binary, bands array<long>")
+    return docs.select("doc_id", "text", *also).mapInArrow(run, f"doc_id {kind}, n_shingles long, set_key binary, bands array<long>{more}")
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -170,17 +171,21 @@ def confirm_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[
     yield out()
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, also: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_shingles, set_key (null for an empty set), component_id, kept; one row per document.
 
+    With ``also``, columns of docs that tell rows of one doc_id apart, these come too, and kept marks the first row of
+    a component by doc_id (nulls last) and them, and every row without words; only rows that agree in all of them tie.
+
     1. Signatures, then classes of equal sets. 2. In each band's bucket the most central class (whose buckets are the
     largest) leads; every other class is confirmed against it: no more pairs than rows, hot leaders dealt over salts.
     3. Buckets whose classes still lie in different components are compared whole, in blocks of bounded size, and
     give a forest of links, not all pairs. 4. Components of the confirmed links.
     """
     spark = docs.sparkSession
-    sig = materialize(describe(docs, bands, rows), "minhash")
-    classes = sig.filter("set_key is not null").groupBy(F.col("set_key").alias("node")).agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
+    sig = materialize(describe(docs, bands, rows, also), "minhash")
+    first = [F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *also)).alias("top")] if also else []
+    classes = sig.filter("set_key is not null").groupBy(F.col("set_key").alias("node")).agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), *first)
     classes = materialize(classes, "classes")
     banded = classes.select("node", F.explode("bands").alias("bucket"))
     full = materialize(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
@@ -210,12 +215,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
         links = links.unionByName(materialize(_rest_links(rest, packed, percent), "links"))
         labels = components(links)
 
-    named = classes.select("node", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    of = named.join(least, "label").select(F.col("node").alias("set_key"), "component_id")
-    out = sig.select("doc_id", "n_shingles", "set_key").join(of, "set_key", "left")
+    top = ["top"] if also else []
+    named = classes.select("node", "least", *top).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = named.groupBy("label").agg(F.min("least").alias("component_id"), *map(F.min, top)).toDF("label", "component_id", *top)
+    of = named.drop(*top).join(least, "label").select(F.col("node").alias("set_key"), "component_id", *top)
+    out = sig.select("doc_id", "n_shingles", "set_key", *also).join(of, "set_key", "left")
     out = out.withColumn("component_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "set_key", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    for c in also:
+        kept = kept & (F.col("set_key").isNull() | F.col(c).eqNullSafe(F.col(f"top.{c}")))
+    return out.select("doc_id", "n_shingles", "set_key", "component_id", kept.alias("kept"), *also)
 
 
 def _packed(texts: DataFrame, sig: DataFrame, reps: DataFrame) -> DataFrame:
@@ -240,9 +249,17 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_near(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents, all columns, that stand for their groups; documents without words stay.
+    """The documents, all columns, of which exactly one stands for each group; documents without words all stay.
 
-    Documents are told apart by doc_id here: texts that share an id stay or go together.
+    Rows are told apart by doc_id and a hash of the text; of those that agree in both, any one stays.
     """
-    marks = near_duplicates(docs, percent).groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept")
-    return docs.alias("a").join(marks.alias("b"), same("a", "b", ["doc_id"]), "left_anti").select(*docs.columns)
+    hashed = docs.withColumn("__text_hash", F.xxhash64("text"))
+    marks = near_duplicates(hashed, percent, also=("__text_hash",)).filter("set_key is not null").select("doc_id", "__text_hash", "kept")
+    marks = materialize(marks, "near")
+    key = ["doc_id", "__text_hash"]
+    out = hashed.alias("a").join(marks.filter("not kept").alias("b"), same("a", "b", key), "left_anti")
+    tied = materialize(marks.filter("kept").groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "tied")
+    if not tied.isEmpty():
+        alike = out.alias("a").join(tied.alias("b"), same("a", "b", key), "left_semi")
+        out = out.alias("a").join(tied.alias("b"), same("a", "b", key), "left_anti").unionByName(alike.dropDuplicates(key))
+    return out.select(*docs.columns)

@@ -264,3 +264,15 @@ def test_pipeline_links_near_copies_from_a_similarity_of_80(spark):
     stage = dict(corpus_pipeline.STAGES)["near_dedup"]
     assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == [0, 2]
     assert minhash.keep_near(docs).count() == 3
+
+
+def test_keep_near_leaves_one_of_each_group_whatever_the_ids(spark):
+    """Near copies that share an id, have null ids, or agree in id and text; texts without words are no group."""
+    groups = [[" ".join(f"{g}{i}" if i != change else "changed" for i in range(200)) for change in (300, 50, 0)] for g in "abcd"]
+    (a, a2, a3), (b, b2, b3), (c, *_), (d, *_) = groups
+    table = [(1, a), (1, a2), (1, a3), (None, b), (None, b2), (None, b3), (4, c), (4, c), (None, d), (None, d), (1, "other words here"), (None, ""), (None, ""), (1, None), (1, None)]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    got = minhash.keep_near(docs).collect()
+    of = {t: k for k, own in enumerate(groups) for t in own}
+    assert sorted(of[r.text] for r in got if r.text in of) == [0, 1, 2, 3]
+    assert sorted(repr(tuple(r)) for r in got if r.text not in of) == sorted(map(repr, table[10:]))
