@@ -16,20 +16,24 @@ from graphloom.llm.common import materialize, same, whole_text
 PREFIX_CHARS = 256
 
 
-def exact_groups(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, full_hash (hex SHA-256 of texts that survived both refinements, else null).
+def refined(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+    """The documents, all columns, with __hash (hex SHA-256 of texts that survived both refinements, else null).
 
     The first two refinements read lengths and prefix hashes only. Counts are aggregated before they are shuffled, so
     a group with a third of all rows costs one row a task; the full hash is evaluated for survivors alone, in the
     projection above the join that finds them.
     """
-    d = docs.select("doc_id", whole_text().alias("text"))
-    d = d.select("doc_id", "text", F.length("text").alias("len"), F.xxhash64(F.substring("text", 1, prefix_chars)).alias("pre"))
-    lengths = d.groupBy("len").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("len")
-    narrow = d.select("len", "pre").join(lengths, "len", "left_semi")
-    prefixes = narrow.groupBy("len", "pre").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("len", "pre", F.lit(True).alias("hit"))
-    refined = d.join(prefixes, ["len", "pre"], "left").select("doc_id", "text", F.when(F.col("hit"), F.sha2("text", 256)).alias("full_hash"))
-    return refined
+    d = docs.withColumn("__len", F.length(whole_text())).withColumn("__pre", F.xxhash64(F.substring(whole_text(), 1, prefix_chars)))
+    lengths = d.groupBy("__len").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__len")
+    narrow = d.select("__len", "__pre").join(lengths, "__len", "left_semi")
+    prefixes = narrow.groupBy("__len", "__pre").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__len", "__pre", F.lit(True).alias("__hit"))
+    return d.join(prefixes, ["__len", "__pre"], "left").select(*docs.columns, F.when(F.col("__hit"), F.sha2(whole_text(), 256)).alias("__hash"))
+
+
+def exact_groups(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+    """doc_id, text (null as empty), full_hash: null unless the text survived both refinements."""
+    r = refined(docs.select("doc_id", whole_text().alias("text")), prefix_chars)
+    return r.withColumnRenamed("__hash", "full_hash")
 
 
 def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, digest: bool = False) -> DataFrame:
@@ -52,17 +56,19 @@ def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, digest: bool
 
 
 def keep_exact(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """The documents, all columns, of which exact_dedup keeps the row."""
-    d = docs.withColumn("__sha", F.sha2(whole_text(), 256)).withColumn("__id", F.col("doc_id"))
-    marks = exact_dedup(docs, prefix_chars, digest=True).filter("group_size > 1")
-    lost = marks.filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    ties = marks.filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    both = lost.alias("a").join(ties.alias("b"), same("a", "b", ["__id", "__sha"]), "left_semi")
-    pure = lost.alias("a").join(ties.alias("b"), same("a", "b", ["__id", "__sha"]), "left_anti")
-    kept = d.alias("a").join(pure.alias("b"), same("a", "b", ["__id", "__sha"]), "left_anti")
-    if not both.isEmpty():  # rows that agree in id and text: one of them goes on
-        kept = kept.dropDuplicates(["__id", "__sha"])
-    return kept.select(*docs.columns)
+    """The documents, all columns, of which exact_dedup keeps the row.
+
+    Survivors of both refinements are hashed once, and compared by id and hash, so that no large group makes a hot
+    task; all other rows go on unhashed.
+    """
+    d = materialize(refined(docs, prefix_chars), "refined")
+    alike = d.filter("__hash is not null")
+    ids = alike.select("doc_id", "__hash")
+    keep = materialize(ids.groupBy("__hash").agg(F.max("doc_id").alias("doc_id")), "keep")
+    if not ids.groupBy("doc_id", "__hash").count().filter("count > 1").isEmpty():  # rows that agree in id and text: one of them goes on
+        alike = alike.dropDuplicates(["doc_id", "__hash"])
+    kept = alike.alias("a").join(keep.alias("b"), same("a", "b", ["doc_id", "__hash"]), "left_semi")
+    return d.filter("__hash is null").unionByName(kept).select(*docs.columns)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -276,3 +276,20 @@ def test_keep_near_leaves_one_of_each_group_whatever_the_ids(spark):
     of = {t: k for k, own in enumerate(groups) for t in own}
     assert sorted(of[r.text] for r in got if r.text in of) == [0, 1, 2, 3]
     assert sorted(repr(tuple(r)) for r in got if r.text not in of) == sorted(map(repr, table[10:]))
+
+
+def test_keep_exact_hashes_survivors_once_and_nothing_else(docs, monkeypatch):
+    """Only equal lengths with equal prefixes get a full hash; nothing is hashed again afterwards."""
+    written = {}
+
+    def spy(df, tag, put=exact_dedup.materialize):
+        written[tag] = put(df, tag)
+        return written[tag]
+
+    monkeypatch.setattr(exact_dedup, "materialize", spy)
+    kept = exact_dedup.keep_exact(docs)
+    assert "sha2(" not in kept._jdf.queryExecution().toString()
+    hashed = [r.doc_id for r in next(iter(written.values())).filter("__hash is not null").collect()]
+    assert sorted(hashed, key=repr) == sorted([0, 1, 2, 3, None], key=repr)
+    marks = {r.doc_id for r in exact_dedup.exact_dedup(docs).collect() if r.kept}
+    assert {r.doc_id for r in kept.collect()} == marks and kept.count() == len(marks)
