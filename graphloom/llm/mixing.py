@@ -1,8 +1,9 @@
 """Mixing sources to target weights: subset-sum budget fitting over counts of documents by exact length.
 
 A source is read whole as often as its target allows; the rest of its budget is fitted by length: every length gives
-its share of documents, rounded down, and a bounded knapsack over the counts left fits what then remains. Which
-documents of a length go is decided by a seeded hash.
+its share of documents, rounded down over all lengths, and a bounded knapsack over the counts left fits what then
+remains; where that misses the budget, the knapsack takes more, up to the whole budget. Which documents of a length
+go is decided by a seeded hash.
 
 A null text has size 0 and is taken 0 times for its words. A null source is a source of its own, last in order. Rows
 are interchangeable if id, source and text agree; each gets its own share. Other columns are ignored by the plan; an
@@ -11,6 +12,8 @@ empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -22,7 +25,7 @@ from graphloom.llm.packing import fullest
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_REPEATS = 3
 SEED = 20240117
-KNAPSACK = 1 << 16  # the budget that the knapsack fits exactly; what is above goes by the largest lengths first
+KNAPSACK = 1 << 16  # the knapsack's share of the budget at first is half of this, and what rounding leaves
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = MOST_REPEATS) -> DataFrame:
@@ -43,27 +46,46 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: i
     return s.select("source", "source_size", "weight", "target")
 
 
+def completed(base: dict[int, int], counts: dict[int, int], budget: int) -> dict[int, int]:
+    """The best way to fill the budget that takes at least ``base``; lengths come largest first."""
+    take, left = dict(base), budget - sum(x * n for x, n in base.items())
+    spare = {x: n - base[x] for x, n in counts.items()}
+    for x in fullest([x for x in counts if x <= left and spare[x]], spare, left):
+        take[x] += 1
+    return take
+
+
 def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
-    """How many documents of each length to take so that their sum comes as near to the budget, from below, as it can."""
-    counts = {x: n for x, n in counts.items() if x > 0 and n > 0}
-    total = sum(x * n for x, n in counts.items())
-    budget = max(0, min(budget, total))
-    if not total:
+    """How many documents of each length to take so that their sum comes as near to the budget, from below, as it can.
+
+    The rounded shares are a first part, and the knapsack fits the rest. Where it misses the budget, its part grows
+    until it meets it or is exact. It is exact over the whole budget, or if it may undo ``change`` documents of each
+    length: ordered so that its running sum stays within the longest length, a larger change from one fit to a better
+    one has a stretch that adds up to 0 and can be left out.
+    """
+    counts = {x: counts[x] for x in sorted(counts, reverse=True) if x > 0 and counts[x] > 0}
+    if not counts:
         return {}
-    # The shares stay half a knapsack below the budget, so that what is left is a real choice of lengths.
-    take = {x: n * max(0, budget - KNAPSACK // 2) // total for x, n in counts.items()}
-    left = budget - sum(x * n for x, n in take.items())
-    lengths = sorted(counts, reverse=True)
-    for x in lengths:
-        if left <= KNAPSACK:
+    unit = math.gcd(*counts)
+    counts = {x // unit: n for x, n in counts.items()}
+    total, longest = sum(x * n for x, n in counts.items()), max(counts)
+    budget, room = max(0, min(budget // unit, total)), KNAPSACK
+    while True:
+        share, before, base = max(0, budget - room // 2), 0, {}
+        for x, n in counts.items():  # rounded down over all longer lengths, so that single documents have their share too
+            base[x] = (before + n) * share // total - before * share // total
+            before += n
+        take = completed(base, counts, budget)
+        missing = budget - sum(x * n for x, n in take.items())
+        if not missing or not share:
             break
-        k = min(counts[x] - take[x], (left - KNAPSACK) // x + 1, left // x)
-        take[x] += k
-        left -= k * x
-    spare = {x: counts[x] - take[x] for x in lengths}
-    for x in fullest([x for x in lengths if x <= left and spare[x]], spare, left):
-        take[x] += 1
-    return take
+        room *= 8
+        change = longest + max(longest, missing)
+        base = {x: max(0, n - change) for x, n in take.items()}
+        if budget - sum(x * n for x, n in base.items()) <= room:
+            take = completed(base, counts, budget)
+            break
+    return {x * unit: n for x, n in take.items()}
 
 
 def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:

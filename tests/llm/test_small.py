@@ -85,3 +85,30 @@ def test_sorted_repeats_finds_shared_windows():
     own = [(1, len(a) - LENGTH + 1, 60, a), (2, len(b) - LENGTH + 1, 60, b)]
     assert sorted_repeats(own) == [(1, -50, -9), (2, -50, -9)]
     assert sorted_repeats([(1, 1, 10, b"p" * 100 + b"q" * 100), (2, 1, 10, b"r" * 200)]) == []
+
+
+def test_fit_is_exact_for_documents_longer_than_the_knapsack():
+    assert fit({200000: 1, 150000: 2}, 300000) == {200000: 0, 150000: 2}
+    random.seed(6)
+    for _ in range(60):
+        counts = {random.randint(60000, 400000): random.randint(1, 3) for _ in range(5)}
+        sums = {0}
+        for x, n in counts.items():
+            sums = {s + x * k for s in sums for k in range(n + 1)}
+        budget = random.randint(0, max(sums))
+        take = fit(counts, budget)
+        assert sum(x * n for x, n in take.items()) == max(s for s in sums if s <= budget) and all(take[x] <= n for x, n in counts.items())
+
+
+def test_fit_is_exact_with_large_counts_and_a_gap():
+    take = fit({1000: 300_000, 1001: 1}, 150_000_500)  # 499 words stay open, whatever is taken
+    assert sum(x * n for x, n in take.items()) == 150_000_001
+    take = fit({900: 100_000, 1000: 100_000, 999: 3}, 95_000_050)
+    assert sum(x * n for x, n in take.items()) == max(s for k in range(4) for s in range(94_990_000 + (999 * k) % 100, 95_000_051, 100))
+
+
+def test_fit_takes_single_documents_of_all_lengths():
+    lengths = range(1000, 3000)
+    take = fit(dict.fromkeys(lengths, 1), sum(lengths) // 2)
+    assert sum(x * n for x, n in take.items()) == sum(lengths) // 2
+    assert 400 < sum(take[x] for x in range(1000, 2000)) < 600
