@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,11 +66,11 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = DAMPING, round
     return rank.select("id", "rank")
 
 
-def layers(edges: DataFrame, nodes: DataFrame, entries: DataFrame, most: int = 200) -> DataFrame:
+def layers(edges: DataFrame, nodes: DataFrame, entries: DataFrame) -> DataFrame:
     """id, layer: hops from the nearest entry, null where there is no way; the frontier alone is joined each round."""
     seen = checkpointed(entries.select("id").distinct().withColumn("layer", F.lit(0)))
     frontier = seen
-    for hop in range(1, most):
+    for hop in itertools.count(1):
         reached = frontier.select(F.col("id").alias("src")).join(edges, "src").select(F.col("dst").alias("id")).distinct()
         frontier = checkpointed(reached.join(seen, "id", "left_anti").withColumn("layer", F.lit(hop)))
         if frontier.isEmpty():

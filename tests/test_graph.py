@@ -2,6 +2,7 @@
 
 import pytest
 
+from graphloom.operators import graph
 from graphloom.operators.graph import layers, nodes_of, pagerank, strong_components
 
 
@@ -28,3 +29,10 @@ def test_strong_components(spark):
 def test_layers_leave_unreachable_nodes_null(spark):
     e = frame(spark, [(1, 2), (2, 3), (4, 5)])
     assert {r.id: r.layer for r in layers(e, nodes_of(e), frame(spark, [(1,)], "id long")).collect()} == {1: 0, 2: 1, 3: 2, 4: None, 5: None}
+
+
+def test_layers_go_on_until_the_frontier_is_empty(spark, monkeypatch):
+    """No number of rounds ends the walk; a loop over range(), cut to two rounds here, would."""
+    monkeypatch.setattr(graph, "range", lambda *a: [1, 2], raising=False)
+    e = frame(spark, [(i, i + 1) for i in range(1, 7)])
+    assert {r.id: r.layer for r in layers(e, nodes_of(e), frame(spark, [(1,)], "id long")).collect()} == {i: i - 1 for i in range(1, 8)}
