@@ -293,3 +293,31 @@ def test_keep_exact_hashes_survivors_once_and_nothing_else(docs, monkeypatch):
     assert sorted(hashed, key=repr) == sorted([0, 1, 2, 3, None], key=repr)
     marks = {r.doc_id for r in exact_dedup.exact_dedup(docs).collect() if r.kept}
     assert {r.doc_id for r in kept.collect()} == marks and kept.count() == len(marks)
+
+
+def removed_by_brute_force(texts):
+    count = {}
+    for t in texts:
+        for i in range(len(t) - 199):
+            count[t[i : i + 200]] = count.get(t[i : i + 200], 0) + 1
+    out = []
+    for t in texts:
+        gone = bytearray(len(t))
+        for i in range(len(t) - 199):
+            if count[t[i : i + 200]] > 1:
+                gone[i : i + 200] = b"\1" * 200
+        out.append(bytes(b for b, g in zip(t, gone, strict=True) if not g))
+    return out
+
+
+def test_repeats_of_a_passage_with_many_surroundings(spark, monkeypatch):
+    """Keys above MOST_SORTED go by hashes of blocks and windows; 70 surroundings of one passage are enough as it is."""
+    rng = random.Random(13)
+    prose = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage = prose(500)
+    texts = [prose(rng.randint(0, 150)) + passage[rng.randint(0, 40) : len(passage) - rng.randint(0, 40)] + prose(rng.randint(0, 150)) for _ in range(70)]
+    used, hashed = [], repeats.hashed_repeats
+    monkeypatch.setattr(repeats, "hashed_repeats", lambda s: used.append(s.select("key").distinct().count()) or hashed(s))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: bytes(r.kept) for r in repeats.remove_repeats(docs).collect()}
+    assert used[0] > 0 and got == dict(enumerate(removed_by_brute_force([t.encode() for t in texts])))
