@@ -2,13 +2,18 @@
 
 Suffixes are dealt by content, not by place. In every window of 200 bytes the smallest hash of a 64-byte piece is its
 anchor; equal windows have equal anchors, so suffixes that share 200 bytes meet under one key. Keys with one member
-hold no repeat; keys whose members' surroundings are all alike are repeats throughout. Only where surroundings differ
-are the suffixes of a key's distinct surroundings sorted (suffix_array.py) and neighbours compared byte by byte; keys
-with very many of them, such as a common passage's ends, are compared by hashes of each window instead, grouped with
-map-side aggregation, so no task ever holds a key of unbounded size.
+hold no repeat. Of every other key, the distinct surroundings of its anchor (the bytes of all windows that chose it,
+with the number of their copies) are sorted by suffix_array.py; windows that follow each other in that order are
+compared byte by byte, and each window of a surrounding with several copies repeats as it is.
+
+A key with many distinct surroundings, such as a common passage's end, is split by content: into blocks of 16 windows
+under the digest of the bytes that these share, and blocks that still have many into single windows. So no task ever
+sorts a key of unbounded size, and every key is sorted.
 
 A null text is empty. Strings are judged on the input; repeated rows are copies of each other. Texts under 200 bytes
-lose nothing. Other columns are ignored; an empty table gives an empty table.
+lose nothing; a very long text is read as one value, and the spans of one text are gathered in one row. Copies of a
+surrounding are told by a 128-bit BLAKE2b digest of its bytes, copies of a text by a SHA-256 prefix of 128 bits. Other
+columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,12 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import materialize, same, whole_text
-from graphloom.llm.shingles import U, chunks, mix, powers, text_buffers
-from graphloom.llm.suffix_array import suffix_array
+from graphloom.llm.shingles import U, chunks, mix, text_buffers
+from graphloom.llm.suffix_array import suffix_arrays
 
 LENGTH = 200
 PIECE = 64  # a power of two
-MOST_SORTED = 64  # distinct surroundings of a key that one suffix array takes
+MOST_SORTED = 16  # distinct surroundings of a key; keys with more are split
+BLOCKS = (16, 1)  # windows under one key, after the first and the second split
+SORTED_BYTES = 1 << 20  # surroundings whose suffixes are sorted at once, in whole keys
 
 _BYTES = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
 
@@ -42,14 +49,14 @@ def piece_hashes(data: np.ndarray, k: int = PIECE) -> np.ndarray:
 
 
 def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = PIECE):
-    """document, place, bytes before and after, key and hash of the surroundings, of every anchor.
+    """document, place, bytes before and after, key and digest of the surroundings, of every anchor.
 
     An anchor at p is the choice of the windows that start from p - before to p + after (after is at most 0).
     """
     none = np.zeros(0, np.int64)
     n = len(data)
     if n < length:
-        return none, none, none, none, none, none
+        return none, none, none, none, none, []
     h = piece_hashes(data, k)
     place = np.arange(len(h), dtype=U)
     least = (h >> U(32) << U(32)) | place  # equal hashes: the leftmost
@@ -64,22 +71,24 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: i
     fits = np.arange(len(chosen)) + length <= offsets[doc + 1]
     starts = np.flatnonzero(fits)
     if not len(starts):
-        return none, none, none, none, none, none
+        return none, none, none, none, none, []
     new = np.ones(len(starts), bool)
     new[1:] = (chosen[starts[1:]] != chosen[starts[:-1]]) | (starts[1:] != starts[:-1] + 1)
     first = starts[new]
     last = starts[np.append(np.flatnonzero(new)[1:] - 1, len(starts) - 1)]
     p = chosen[first]
-    up, down = powers(n)
-    sums = np.cumsum((data.astype(U) + U(1)) * up)
-    low = np.where(first > 0, sums[first - 1], U(0))
-    own = mix((sums[last + length - 1] - low) * down[first]) + (p - first).astype(U) * U(0xA0761D6478BD642F) + (p - last).astype(U) * U(0xE7037ED1A0B428DB)
-    key = mix(h[p] ^ U(0x8EBC6AF09C88C6E3))
-    return doc[first], p - offsets[doc[first]], p - first, last - p, key.view(np.int64), mix(own).view(np.int64)
+    key = mix(h[p] ^ U(0x8EBC6AF09C88C6E3)).view(np.int64)
+    return doc[first], p - offsets[doc[first]], p - first, last - p, key, digests(data.tobytes(), first, last + length, p - first)
+
+
+def digests(raw: bytes, start: np.ndarray, end: np.ndarray, before: np.ndarray) -> list[bytes]:
+    """128 bits for the bytes from each start to its end and the anchor's place in them."""
+    new, one = hashlib.blake2b, [bytes([k]) for k in range(256)]
+    return [new(raw[a:b] + one[k], digest_size=16).digest() for a, b, k in zip(start.tolist(), end.tolist(), before.tolist(), strict=True)]
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """unit (MD5 of the text), p, before, after, key, sig of every anchor of every text; one scan, nothing shuffled."""
+    """unit (digest of the text), p, before, after, key, sig of every anchor of every text; one scan, nothing shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,155 +98,145 @@ def anchors(docs: DataFrame) -> DataFrame:
                 own = offsets[i : j + 1]
                 doc, p, before, after, key, sig = anchors_of(data[own[0] : own[-1]], own - own[0])
                 yield pa.RecordBatch.from_arrays([
-                    unit.take(pa.array(doc + i)), pa.array(p.astype(np.int32)), pa.array(before.astype(np.int16)), pa.array(after.astype(np.int16)), pa.array(key), pa.array(sig),
+                    unit.take(pa.array(doc + i)), pa.array(p.astype(np.int32)), pa.array(before.astype(np.int16)), pa.array(after.astype(np.int16)), pa.array(key), pa.array(sig, pa.binary()),
                 ], ["unit", "p", "before", "after", "key", "sig"])
 
-    return docs.select("unit", "text").mapInArrow(run, "unit binary, p int, before short, after short, key long, sig long")
+    return docs.select("unit", "text").mapInArrow(run, "unit binary, p int, before short, after short, key long, sig binary")
+
+
+SURROUNDING = "key long, sig binary, n long, split boolean, before short, after short, bytes binary"
 
 
 def cut_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes around the wanted anchors of each text."""
     for batch in batches:
         data, offsets = text_buffers(batch.column("text"))
-        out = []
-        for a, wanted in zip(offsets[:-1].tolist(), batch.column("wanted").to_pylist(), strict=True):
-            for w in wanted:
-                p = a + w["p"]
-                out.append(w | {"bytes": data[p - w["before"] : p + w["after"] + LENGTH].tobytes()})
-        yield pa.RecordBatch.from_pylist(out, CUT) if out else pa.RecordBatch.from_pylist([], CUT)
-
+        wanted = batch.column("wanted")
+        w = wanted.flatten()
+        text = offsets[:-1][np.repeat(np.arange(len(wanted)), wanted.value_lengths().to_numpy(zero_copy_only=False))]
+        p, before, after = (w.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("p", "before", "after"))
+        start, raw = text + p - before, data.tobytes()
+        own = [raw[a:b] for a, b in zip(start.tolist(), (text + p + after + LENGTH).tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*(w.field(c) for c in ("key", "sig", "n", "split", "before", "after")), pa.array(own, pa.binary())], ["key", "sig", "n", "split", "before", "after", "bytes"])
 
-CUT = pa.schema([("key", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("p", pa.int32()), ("before", pa.int16()), ("after", pa.int16()), ("bytes", pa.binary())])
-RUNS = "key long, sig long, start int, end int"
 
+PART = "own_key long, own_sig binary, key long, sig binary, n long, before short, after short, bytes binary"
 
-def runs(flags: list[bool] | np.ndarray) -> Iterator[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], np.asarray(flags, np.int8), [0]])))
-    yield from zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)
 
+def split_surroundings(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Each surrounding in parts of ``width`` windows, dealt by place from the anchor, under keys of their own.
 
-def common_prefix(a: bytes, b: bytes) -> int:
-    low, high = 0, min(len(a), len(b))
-    while low < high:
-        middle = (low + high + 1) // 2
-        if a[:middle] == b[:middle]:
-            low = middle
-        else:
-            high = middle - 1
-    return low
-
-
-def extents(surroundings: list[tuple[int, int, int, bytes]]) -> tuple[list[int], list[int]]:
-    """How far each agrees with any other to the left and to the right of the anchor.
-
-    Equal windows have their anchor at the same place, so no repeat reaches further.
+    A part's key is the digest of its old key, its place and the bytes that all of its windows share; windows that are
+    equal lie at one place, so their parts' keys are equal.
     """
-    out = []
-    for sides in ([x[3][: x[2]][::-1] for x in surroundings], [x[3][x[2] :] for x in surroundings]):
-        order = sorted(range(len(sides)), key=sides.__getitem__)
-        most = [0] * len(sides)
-        for i, j in zip(order[:-1], order[1:], strict=True):
-            n = common_prefix(sides[i], sides[j])
-            most[i], most[j] = max(most[i], n), max(most[j], n)
-        out.append(most)
-    return out[0], out[1]
+    for batch in batches:
+        out: list[tuple] = []
+        for r in batch.to_pylist():
+            raw, before, windows = r["bytes"], r["before"], r["before"] + r["after"] + 1
+            salt = r["key"].to_bytes(8, "little", signed=True)
+            for place in range(-before // width * width, r["after"] + 1, width):
+                x, y = max(0, place + before), min(windows, place + before + width)
+                shared = raw[place + before + width - 1 : place + before + LENGTH]
+                key = hashlib.blake2b(salt + place.to_bytes(2, "little", signed=True) + shared, digest_size=8).digest()
+                whole = raw[x : y - 1 + LENGTH]
+                sig = hashlib.blake2b(whole + bytes([before - x]), digest_size=16).digest()
+                out.append((r["key"], r["sig"], int.from_bytes(key, "little", signed=True), sig, r["n"], before - x, y - 1 - before, whole))
+        columns = list(zip(*out, strict=True)) if out else [[]] * 8
+        types = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int16(), pa.int16(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["own_key", "own_sig", "key", "sig", "n", "before", "after", "bytes"])
 
 
-def trimmed(x: tuple[int, int, int, bytes], left: int, right: int) -> tuple[int, int, int, bytes]:
-    raw = x[3][x[2] - left : x[2] + right]
-    return x[0], len(raw) - LENGTH + 1, left, raw
+FOUND = "key long, sig binary, runs array<struct<start:int,end:int>>"
+RUNS = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
 
-def sorted_repeats(surroundings: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int]]:
-    """sig, first and last+1 place of windows, relative to the anchor, that start elsewhere in the key's surroundings too.
+def repeated_windows(raw: bytes, lengths: np.ndarray, windows: np.ndarray, copies: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Flags of the places in ``raw`` where a window starts that starts elsewhere under its key too.
 
-    surroundings: sig, windows, before, bytes; each once, whatever its number of copies.
+    raw: surroundings joined, a byte after each; lengths: of each with that byte; windows, copies and keys: of each.
     """
-    surroundings = [x for x in map(trimmed, surroundings, *extents(surroundings)) if x[1] > 0]
-    if not surroundings:
-        return []
-    text, at, windows = [], [], bytearray()
-    for _, count, _, raw in surroundings:
-        at.append(len(text))
-        text.extend(raw)
-        text.append(-1)
-        windows += b"\1" * count + b"\0" * (len(raw) + 1 - count)
-    whole = b"\0".join(x[3] for x in surroundings)
-    hit, last, same_as = bytearray(len(text)), -1, b""
-    for i in suffix_array(text):
-        if windows[i]:
-            here = whole[i : i + LENGTH]
-            if here == same_as:
-                hit[i] = hit[last] = 1
-            last, same_as = i, here
-    out = []
-    for a, (sig, count, before, _) in zip(at, surroundings, strict=True):
-        out += [(sig, s - before, e - before) for s, e in runs(np.frombuffer(hit, np.uint8)[a : a + count])]
-    return out
+    data = np.frombuffer(raw, np.uint8)
+    begin = np.cumsum(lengths) - lengths
+    symbols = data.astype(np.int64) + 1
+    symbols[begin + lengths - 1] = 0
+    is_window = np.zeros(len(data), bool)
+    is_window[np.repeat(begin, windows) + np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)] = True
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    order = suffix_arrays(symbols, np.add.reduceat(lengths, first))
+    order = order[is_window[order]]
+    owner = np.searchsorted(begin, order, "right") - 1
+    hit = np.zeros(len(data), bool)
+    hit[order[copies[owner] > 1]] = True
+    near = np.flatnonzero(keys[owner[1:]] == keys[owner[:-1]]) if len(order) else order
+    at = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
+    for k in range(0, len(near), 4096):
+        one, other = order[near[k : k + 4096]], order[near[k : k + 4096] + 1]
+        alike = (at[one] == at[other]).all(axis=1)
+        hit[one[alike]] = True
+        hit[other[alike]] = True
+    return hit
 
 
 def sort_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: the repeats in each key's surroundings."""
-    key, own = None, {}
-
-    def out() -> list[dict]:
-        found = sorted_repeats(list(own.values())) if len(own) > 1 else []
-        return [{"key": key, "sig": sig, "start": s, "end": e} for sig, s, e in found]
-
-    schema = pa.schema([("key", pa.int64()), ("sig", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+    """Rows sorted by key and sig: runs of repeated windows of each surrounding that has any, by place from the anchor."""
+    columns = ("key", "sig", "n", "before", "after", "bytes")
+    held: list[list] = [[] for _ in columns]
+    size = 0
+
+    def out() -> pa.RecordBatch:
+        key, sig, n, before, after, own = held
+        if not key:
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.list_(RUNS))], ["key", "sig", "runs"])
+        lengths = np.array([len(x) + 1 for x in own])
+        before = np.array(before)
+        hit = repeated_windows(b"\0".join(own) + b"\0", lengths, before + np.array(after) + 1, np.array(n), np.array(key))
+        edges = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))  # the byte after each surrounding ends its runs
+        start, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        begin = np.cumsum(lengths) - lengths
+        owner = np.searchsorted(begin, start, "right") - 1
+        shift = begin[owner] + before[owner]
+        who, count = np.unique(owner, return_counts=True)
+        runs = pa.StructArray.from_arrays([pa.array((start - shift).astype(np.int32)), pa.array((end - shift).astype(np.int32))], fields=list(RUNS))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), runs)
+        return pa.RecordBatch.from_arrays([pa.array([key[k] for k in who], pa.int64()), pa.array([sig[k] for k in who], pa.binary()), lists], ["key", "sig", "runs"])
+
+    last = (None, None)
     for batch in batches:
-        rows: list[dict] = []
-        for r in batch.to_pylist():
-            if r["key"] != key:
-                rows += out()
-                key, own = r["key"], {}
-            own[r["sig"]] = (r["sig"], r["before"] + r["after"] + 1, r["before"], r["bytes"])
-        yield pa.RecordBatch.from_pylist(rows, schema)
-    yield pa.RecordBatch.from_pylist(out(), schema)
-
-
-HASHED = "key long, sig long, start int, h long, g long"
-BLOCK = 16  # windows that are hashed as one at first
-
+        for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+            if row[:2] == last:  # cut again from a repeated row
+                continue
+            if row[0] != last[0] and size >= SORTED_BYTES:
+                yield out()
+                held, size = [[] for _ in columns], 0
+            last = row[:2]
+            size += len(row[5])
+            for into, x in zip(held, row, strict=True):
+                into.append(x)
+    yield out()
 
-def hash_spans(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Two 64-bit hashes of every ``width`` neighbouring windows of the surroundings, dealt by place from the anchor.
 
-    Windows in the blocks that ``skip`` lists by their first place are left out.
-    """
-    for batch in batches:
-        for r in batch.to_pylist():
-            data = np.frombuffer(r["bytes"], np.uint8)
-            size = LENGTH + width - 1
-            start = np.arange(len(data) - size + 1)
-            start = start[(start - r["before"]) % width == 0]
-            if r.get("skip"):
-                start = start[~np.isin((start - r["before"]) // BLOCK * BLOCK, r["skip"])]
-            m = len(start)
-            if not m:
-                continue
-            up, down = powers(len(data))
-            x, y = (np.concatenate([np.zeros(1, U), np.cumsum(v * up)]) for v in (data.astype(U) + U(1), _BYTES[data]))
-            h, g = (mix((z[start + size] - z[start]) * down[start]).view(np.int64) for z in (x, y))
-            yield pa.RecordBatch.from_arrays([pa.array([r["key"]] * m, pa.int64()), pa.array([r["sig"]] * m, pa.int64()), pa.array((start - r["before"]).astype(np.int32)), pa.array(h), pa.array(g)], ["key", "sig", "start", "h", "g"])
+def sorted_repeats(surroundings: DataFrame) -> DataFrame:
+    """key, sig, runs of the surroundings that hold repeats; keys are dealt over tasks, each with few surroundings."""
+    rows = surroundings.select("key", "sig", "n", "before", "after", "bytes")
+    return rows.repartition("key").sortWithinPartitions("key", "sig").mapInArrow(sort_keys, FOUND)
 
 
-def hashed_repeats(surroundings: DataFrame) -> DataFrame:
-    """sig's runs of repeated windows, of keys with very many surroundings: key, sig, before, bytes.
+def split_repeats(surroundings: DataFrame, width: int, *narrower: int) -> DataFrame:
+    """The same for keys of any number of surroundings, each in parts of ``width`` windows and then of narrower ones.
 
-    Blocks of windows that are alike as a whole are settled first; one surrounding of each such block goes on to stand
-    for it, with all windows of the blocks that differ, and these are compared one by one.
+    A part of one window is all that its key's windows can be, so the last split leaves one surrounding under each key.
     """
-    same_place = ["key", "start", "h", "g"]
-    blocks = materialize(surroundings.mapInArrow(lambda b: hash_spans(b, BLOCK), HASHED), "blocks")
-    alike = blocks.groupBy(*same_place).agg(F.count(F.lit(1)).alias("c"), F.min("sig").alias("stands")).filter("c > 1").drop("c")
-    settled = materialize(blocks.join(alike, same_place).select("key", "sig", "start", "stands"), "settled")
-    skip = settled.filter("sig <> stands").groupBy("key", "sig").agg(F.collect_list("start").alias("skip"))
-    windows = surroundings.join(skip, ["key", "sig"], "left").select("key", "sig", "before", "bytes", "skip").mapInArrow(lambda b: hash_spans(b, 1), HASHED)
-    windows = materialize(windows, "windows")
-    twice = windows.groupBy(*same_place).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    single = windows.join(twice, same_place).select("key", "sig", "start", (F.col("start") + 1).alias("end"))
-    return single.unionByName(settled.select("key", "sig", "start", (F.col("start") + BLOCK).alias("end")))
+    parts = materialize(surroundings.drop("split").mapInArrow(lambda b: split_surroundings(b, width), PART), "parts")
+    alike = parts.groupBy("key", "sig").agg(F.sum("n").alias("n"))
+    keys = alike.groupBy("key").agg(F.sum("n").alias("all"), (F.count(F.lit(1)) > MOST_SORTED).alias("split")).filter("all > 1").drop("all")
+    alike = materialize(alike.join(keys, "key"), "alike")
+    of = parts.groupBy("key", "sig").agg(F.first("before").alias("before"), F.first("after").alias("after"), F.first("bytes").alias("bytes"))
+    own = alike.join(of, ["key", "sig"])
+    found = sorted_repeats(own.filter("not split"))
+    if narrower:
+        found = found.unionByName(split_repeats(own.filter("split").select(*surroundings.columns), *narrower))
+    told = parts.select("own_key", "own_sig", "key", "sig").join(materialize(found, "found"), ["key", "sig"])
+    return told.groupBy(F.col("own_key").alias("key"), F.col("own_sig").alias("sig")).agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -246,28 +245,22 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     docs: doc_id, text, unit.
     """
     a = materialize(anchors(docs), "anchors")
-    stats = a.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("sig").alias("lo"), F.max("sig").alias("hi")).filter("n > 1")
-    shared = materialize(a.join(stats, "key").select("key", "sig", "unit", "p", "before", "after", (F.col("lo") == F.col("hi")).alias("alike")), "shared")
-    mixed = shared.filter("not alike")
-    sigs = mixed.groupBy("key", "sig").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("unit", "p", "before", "after")).alias("one"))
+    shared = a.join(a.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "key", "left_semi")
+    shared = materialize(shared, "shared")
+    sigs = shared.groupBy("key", "sig").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("unit", "p", "before", "after")).alias("one"))
     sigs = materialize(sigs.select("key", "sig", "n", "one.*"), "sigs")
-    size = sigs.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+    size = sigs.groupBy("key").agg((F.count(F.lit(1)) > MOST_SORTED).alias("split"))
 
     holders = docs.groupBy("unit").agg(F.min("doc_id").alias("doc_id"))
-    wanted = sigs.groupBy("unit").agg(F.collect_list(F.struct("key", "sig", "n", "p", "before", "after")).alias("wanted")).join(holders, "unit")
+    wanted = sigs.join(size, "key").groupBy("unit").agg(F.collect_list(F.struct("key", "sig", "n", "split", "p", "before", "after")).alias("wanted")).join(holders, "unit")
     texts = docs.alias("d").join(wanted.alias("w"), same("d", "w", ["unit", "doc_id"])).select("d.text", "w.wanted")
-    cut = materialize(texts.mapInArrow(cut_surroundings, "key long, sig long, n long, p int, before short, after short, bytes binary"), "surroundings")
-    cut = cut.select("key", "sig", "n", "before", "after", "bytes").join(size, "key")
-
-    few = cut.filter(F.col("m") <= MOST_SORTED).select("key", "sig", "before", "after", "bytes")
-    found = few.repartition("key").sortWithinPartitions("key").mapInArrow(sort_keys, RUNS)
-    hot = hashed_repeats(cut.filter(F.col("m") > MOST_SORTED).select("key", "sig", "before", "bytes").dropDuplicates(["key", "sig"]))
-    found = materialize(found.unionByName(hot), "found")
+    cut = materialize(texts.mapInArrow(cut_surroundings, SURROUNDING), "surroundings")
+    found = sorted_repeats(cut.filter("not split")).unionByName(split_repeats(cut.filter("split").dropDuplicates(["key", "sig"]), *BLOCKS))
+    found = materialize(found, "found")
 
-    twin = mixed.join(sigs.filter("n > 1").select("key", "sig"), ["key", "sig"], "left_semi")
-    whole = shared.filter("alike").unionByName(twin).select("unit", (F.col("p") - F.col("before")).alias("start"), (F.col("p") + F.col("after") + LENGTH).alias("end"))
-    part = mixed.join(found, ["key", "sig"]).select("unit", (F.col("p") + F.col("start")).alias("start"), (F.col("p") + F.col("end") - 1 + LENGTH).alias("end"))
-    return whole.unionByName(part).groupBy("unit").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    each = shared.select("key", "sig", "unit", "p").join(found, ["key", "sig"]).select("unit", "p", F.explode("runs").alias("run"))
+    span = F.struct((F.col("p") + F.col("run.start")).alias("start"), (F.col("p") + F.col("run.end") - 1 + LENGTH).alias("end"))
+    return each.groupBy("unit").agg(F.collect_set(span).alias("spans"))
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -283,7 +276,7 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept: the bytes that stay of every text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    d = docs.select("doc_id", whole_text().alias("text")).withColumn("unit", F.unhex(F.md5("text")))
+    d = docs.select("doc_id", whole_text().alias("text")).withColumn("unit", F.substring(F.unhex(F.sha2("text", 256)), 1, 16))
     spans = repeated_spans(d)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

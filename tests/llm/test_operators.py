@@ -310,14 +310,58 @@ def removed_by_brute_force(texts):
     return out
 
 
-def test_repeats_of_a_passage_with_many_surroundings(spark, monkeypatch):
-    """Keys above MOST_SORTED go by hashes of blocks and windows; 70 surroundings of one passage are enough as it is."""
-    rng = random.Random(13)
+def passages(seed, n=70):
+    rng = random.Random(seed)
     prose = lambda n: "".join(rng.choices("abcdefgh ", k=n))
     passage = prose(500)
-    texts = [prose(rng.randint(0, 150)) + passage[rng.randint(0, 40) : len(passage) - rng.randint(0, 40)] + prose(rng.randint(0, 150)) for _ in range(70)]
-    used, hashed = [], repeats.hashed_repeats
-    monkeypatch.setattr(repeats, "hashed_repeats", lambda s: used.append(s.select("key").distinct().count()) or hashed(s))
+    return [prose(rng.randint(0, 150)) + passage[rng.randint(0, 40) : len(passage) - rng.randint(0, 40)] + prose(rng.randint(0, 150)) for _ in range(n)]
+
+
+def removed(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in repeats.remove_repeats(docs).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_repeats_of_a_passage_with_many_surroundings(spark, monkeypatch):
+    """Keys above MOST_SORTED are split into blocks of windows, and where these have as many, into single windows."""
+    texts = passages(13)
+    used, split = [], repeats.split_repeats
+    monkeypatch.setattr(repeats, "split_repeats", lambda s, *w: used.append((w, s.count())) or split(s, *w))
+    got = removed(spark, texts)
+    assert [w for w, _ in used] == [(16, 1), (1,)] and all(n for _, n in used)
+    assert [bytes(r.kept) for r in got] == removed_by_brute_force([t.encode() for t in texts])
+
+
+def test_repeats_of_one_letter_and_of_periods(spark):
+    """Windows that repeat inside their own text, and surroundings that are equal at different places."""
+    texts = ["a" * 700, "ab" * 250, "abc" * 90 + "d", "c" + "abc" * 90, "xy" * 99, "é" * 150, "é" * 100, "a" * 199]
+    got = removed(spark, texts)
+    assert [bytes(r.kept) for r in got] == removed_by_brute_force([t.encode() for t in texts])
+    assert [r.n_spans for r in got][:2] == [1, 1] and got[4].n_removed == 0
+
+
+def test_nothing_is_removed_without_the_suffix_order(spark, monkeypatch):
+    """Every repeat is read off the suffix array: with an empty one, exact copies stay too."""
+    from pyspark.sql import functions as F
+
+    from graphloom.llm import suffix_array
+
+    def blind(batches):
+        import numpy as np
+
+        from graphloom.llm import repeats
+
+        real, repeats.suffix_arrays = suffix_array.suffix_arrays, lambda symbols, lengths: np.zeros(0, np.int64)
+        try:
+            yield from repeats.sort_keys(batches)
+        finally:
+            repeats.suffix_arrays = real
+
+    sort_keys = lambda s: s.repartition("key").sortWithinPartitions("key", "sig").mapInArrow(blind, repeats.FOUND)
+    monkeypatch.setattr(repeats, "sorted_repeats", lambda s: sort_keys(s.select("key", "sig", "n", "before", "after", "bytes")))
+    texts = [*passages(3, 20), LONG, LONG]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: bytes(r.kept) for r in repeats.remove_repeats(docs).collect()}
-    assert used[0] > 0 and got == dict(enumerate(removed_by_brute_force([t.encode() for t in texts])))
+    assert repeats.remove_repeats(docs).agg(F.sum("n_removed")).first()[0] == 0
+    monkeypatch.undo()
+    assert repeats.remove_repeats(docs).agg(F.sum("n_removed")).first()[0] > 0

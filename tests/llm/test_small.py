@@ -8,8 +8,8 @@ import pytest
 from graphloom.llm.chat import CONTROL, TEMPLATE, escape, read_turns, unescape
 from graphloom.llm.mixing import fit
 from graphloom.llm.packing import fullest, plan_bins
-from graphloom.llm.repeats import LENGTH, sorted_repeats
-from graphloom.llm.suffix_array import suffix_array
+from graphloom.llm.repeats import LENGTH, repeated_windows
+from graphloom.llm.suffix_array import suffix_array, suffix_arrays
 from graphloom.llm.template import TemplateError, compile_template, fold, parse
 from graphloom.llm.token_files import EliasFano, Shard, pack_shard
 
@@ -21,6 +21,17 @@ def test_suffix_array_sorts_suffixes():
         assert suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
+def test_suffix_arrays_sorts_every_text_on_its_own():
+    random.seed(8)
+    for _ in range(100):
+        texts = [[random.randint(0, random.choice([0, 1, 3, 511])) for _ in range(random.randint(0, 30))] for _ in range(random.randint(0, 6))]
+        expected, at = [], 0
+        for s in texts:
+            expected += [at + i for i in sorted(range(len(s)), key=lambda i: s[i:])]
+            at += len(s)
+        assert suffix_arrays(np.array(sum(texts, []), int), np.array([len(s) for s in texts], int)).tolist() == expected
+
+
 def test_elias_fano_round_trip_and_select():
     rng = np.random.default_rng(1)
     for n, step in ((0, 3), (1, 5), (300, 2), (3000, 900)):
@@ -79,12 +90,12 @@ def test_templates_fold_and_stay_in_the_sandbox():
             compile_template(bad, {})
 
 
-def test_sorted_repeats_finds_shared_windows():
+def test_repeated_windows_stay_within_their_key():
     common = bytes(random.Random(4).choices(range(97, 123), k=240))
-    a, b = b"x" * 10 + common, b"y" * 10 + common
-    own = [(1, len(a) - LENGTH + 1, 60, a), (2, len(b) - LENGTH + 1, 60, b)]
-    assert sorted_repeats(own) == [(1, -50, -9), (2, -50, -9)]
-    assert sorted_repeats([(1, 1, 10, b"p" * 100 + b"q" * 100), (2, 1, 10, b"r" * 200)]) == []
+    own = [b"x" * 10 + common, b"y" * 10 + common, b"x" * 10 + common, b"z" * 220]
+    lengths = np.array([len(x) + 1 for x in own])
+    hit = repeated_windows(b"\0".join(own) + b"\0", lengths, lengths - LENGTH, np.array([1, 1, 1, 3]), np.array([5, 5, 6, 7]))
+    assert np.flatnonzero(hit).tolist() == [*range(10, 51), *range(251 + 10, 251 + 51), *range(753, 774)]
 
 
 def test_fit_is_exact_for_documents_longer_than_the_knapsack():
