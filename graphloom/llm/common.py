@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -33,11 +34,13 @@ def let(value: Column, body) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or an own one on a local master (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found and (own := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         found = own.get()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
         found = tempfile.mkdtemp(prefix="graphloom-")
         atexit.register(shutil.rmtree, found, True)
         spark.sparkContext.setCheckpointDir(found)
@@ -52,7 +55,27 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts the lineage, and survives lost executors."""
     path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+_paths: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize() wrote; for those that only written tables were made of."""
+    for t in tables:
+        known, path = _paths.pop(id(t), (None, None))
+        if known and known() is t:
+            p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def rows_of(docs: DataFrame, **more: str | Column) -> DataFrame:
+    """Every row as one struct ``row``, and further columns beside it: no name of the input's can clash with them."""
+    columns = [docs[f"`{c}`"] for c in docs.columns]
+    return docs.select(F.struct(*columns).alias("row"), *((F.col(v) if isinstance(v, str) else v).alias(k) for k, v in more.items()))
 
 
 def same(a: str, b: str, columns: list[str]) -> Column:

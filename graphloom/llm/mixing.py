@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize, rank_in_groups, same, whole_text, words_of
+from graphloom.llm.common import materialize, rank_in_groups, rows_of, same, whole_text, words_of
 from graphloom.llm.packing import fullest
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -119,16 +119,14 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repea
     """The documents, all columns, each as often as the mix takes it."""
     keys = ["doc_id", "source", "text_hash"]
     m = materialize(mix(docs, weights, repeats, seed).filter("times > 0").select(*keys, "times"), "mix")
-    renamed = [F.col(k).alias(f"__{k}") for k in keys]
-    left = docs.withColumn("__doc_id", F.col("doc_id")).withColumn("__source", F.col("source")).withColumn("__text_hash", F.xxhash64("text"))
-    right = m.select(*renamed, F.col("times").alias("__times"))
-    own = [f"__{k}" for k in keys]
+    left = rows_of(docs, doc_id="doc_id", source="source", text_hash=F.xxhash64("text"))
+    on = keys
     if not m.groupBy(*keys).count().filter("count > 1").isEmpty():  # rows that agree in all keys: number both sides alike
-        left = left.withColumn("__k", F.row_number().over(W.partitionBy(*own).orderBy(F.lit(1))))
-        right = right.withColumn("__k", F.row_number().over(W.partitionBy(*own).orderBy(F.desc("__times"))))
-        own = [*own, "__k"]
-    j = left.alias("a").join(right.alias("b"), same("a", "b", own)).select("a.*", "b.__times")
-    return j.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*docs.columns)
+        left = left.withColumn("k", F.row_number().over(W.partitionBy(*keys).orderBy(F.lit(1))))
+        m = m.withColumn("k", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("times"))))
+        on = [*keys, "k"]
+    j = left.alias("a").join(m.alias("b"), same("a", "b", on)).select("a.row", "b.times")
+    return j.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

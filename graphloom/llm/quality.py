@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import BLANKS, let, whole_text, words_of
+from graphloom.llm.common import BLANKS, let, rows_of, whole_text, words_of
 
 # The contract's symbols, its window, and its limits.
 SYMBOLS = "#*$%&|<>"
@@ -96,12 +96,13 @@ def quality_stats(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
 
 def clean_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """The documents that pass, all columns; their text without the lines that fail."""
-    # A filter over __q would be moved below it and compute it again; a generator's output isn't.
-    q = quality_stats(docs, rules).withColumn("__q", F.explode_outer(F.filter(F.array("__q"), lambda x: x["kept"])))
-    q = q.filter("__q is not null").withColumn("text", F.col("__q.cleaned"))
+    # A filter over the struct would be moved below it and compute it again; a generator's output isn't.
+    q = quality_stats(rows_of(docs, text="text"), rules).select("row", F.explode_outer(F.filter(F.array("__q"), lambda x: x["kept"])).alias("q"))
+    q = q.filter("q is not null")
+    new = {"text": F.col("q.cleaned")}
     if "n_chars" in docs.columns:
-        q = q.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return q.select(*docs.columns)
+        new["n_chars"] = F.length("q.cleaned").cast(docs.schema["n_chars"].dataType)
+    return q.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
