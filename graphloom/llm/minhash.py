@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize, same
+from graphloom.llm.common import materialize, rows_of, same
 from graphloom.llm.components import components
 from graphloom.llm.shingles import mix, shingle_sets
 
@@ -54,10 +54,9 @@ def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def describe(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, also: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_shingles, set_key (128 bits, null for an empty set), bands, and ``also``; a text goes no further than this."""
+def describe(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, text_hash, n_shingles, set_key (128 bits, null for an empty set), bands; a text goes no further than this."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    more = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in also)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,9 +65,9 @@ def describe(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, also: tuple[
                 n.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 out.append(band_hashes(signature(s, bands * rows), bands, rows) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(out, pa.list_(pa.int64())), *batch.columns[2:]], ["doc_id", "n_shingles", "set_key", "bands", *also])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(out, pa.list_(pa.int64())), batch.column(2)], ["doc_id", "n_shingles", "set_key", "bands", "text_hash"])
 
-    return docs.select("doc_id", "text", *also).mapInArrow(run, f"doc_id {kind}, n_shingles long, set_key binary, bands array<long>{more}")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {kind}, n_shingles long, set_key binary, bands array<long>, text_hash long")
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -171,21 +170,20 @@ def confirm_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[
     yield out()
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, also: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_shingles, set_key (null for an empty set), component_id, kept; one row per document.
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, by_row: bool = False) -> DataFrame:
+    """doc_id, text_hash, n_shingles, set_key (null for an empty set), component_id, kept; one row per document.
 
-    With ``also``, columns of docs that tell rows of one doc_id apart, these come too, and kept marks the first row of
-    a component by doc_id (nulls last) and them, and every row without words; only rows that agree in all of them tie.
+    kept marks the rows whose doc_id is component_id; with ``by_row`` the first row of a component by doc_id (nulls
+    last) and text_hash, and every row without words: then only rows that agree in both tie.
 
     1. Signatures, then classes of equal sets. 2. In each band's bucket the most central class (whose buckets are the
     largest) leads; every other class is confirmed against it: no more pairs than rows, hot leaders dealt over salts.
     3. Buckets whose classes still lie in different components are compared whole, in blocks of bounded size, and
     give a forest of links, not all pairs. 4. Components of the confirmed links.
     """
-    spark = docs.sparkSession
-    sig = materialize(describe(docs, bands, rows, also), "minhash")
-    first = [F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *also)).alias("top")] if also else []
-    classes = sig.filter("set_key is not null").groupBy(F.col("set_key").alias("node")).agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), *first)
+    sig = materialize(describe(docs, bands, rows), "minhash")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("top")
+    classes = sig.filter("set_key is not null").groupBy(F.col("set_key").alias("node")).agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), first)
     classes = materialize(classes, "classes")
     banded = classes.select("node", F.explode("bands").alias("bucket"))
     full = materialize(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
@@ -196,9 +194,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     stars = member.select("bucket", "node").join(lead, "bucket").filter("node <> leader").select("leader", "node").distinct()
     stars = materialize(stars, "stars")
 
-    text_of = docs.select("doc_id", "text").filter("text is not null")
-    reps = degree.select("node").join(classes.select("node", "least"), "node")
-    packed = materialize(_packed(text_of, sig, reps), "sets")
+    reps = degree.select("node").join(classes.select("node", "top.doc_id", "top.text_hash"), "node")
+    packed = materialize(_packed(docs, sig, reps), "sets")
 
     many = stars.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / PER_SALT).alias("salts"))
     salted = stars.join(many, "leader").withColumn("salt", F.pmod(F.xxhash64("node"), "salts")).drop("salts")
@@ -215,24 +212,26 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
         links = links.unionByName(materialize(_rest_links(rest, packed, percent), "links"))
         labels = components(links)
 
-    top = ["top"] if also else []
-    named = classes.select("node", "least", *top).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"), *map(F.min, top)).toDF("label", "component_id", *top)
-    of = named.drop(*top).join(least, "label").select(F.col("node").alias("set_key"), "component_id", *top)
-    out = sig.select("doc_id", "n_shingles", "set_key", *also).join(of, "set_key", "left")
+    named = classes.select("node", "least", "top").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = named.groupBy("label").agg(F.min("least").alias("component_id"), F.min("top").alias("top"))
+    of = named.drop("top").join(least, "label").select(F.col("node").alias("set_key"), "component_id", "top")
+    out = sig.select("doc_id", "text_hash", "n_shingles", "set_key").join(of, "set_key", "left")
     out = out.withColumn("component_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    for c in also:
-        kept = kept & (F.col("set_key").isNull() | F.col(c).eqNullSafe(F.col(f"top.{c}")))
-    return out.select("doc_id", "n_shingles", "set_key", "component_id", kept.alias("kept"), *also)
+    if by_row:
+        kept = F.col("set_key").isNull() | F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("text_hash") == F.col("top.text_hash"))
+    return out.select("doc_id", "text_hash", "n_shingles", "set_key", "component_id", kept.alias("kept"))
 
 
-def _packed(texts: DataFrame, sig: DataFrame, reps: DataFrame) -> DataFrame:
-    """node, packed of the classes that are candidates, made again from one text of each."""
-    ids = reps.select("node", "least").alias("r")
-    picked = sig.select("doc_id", "set_key").alias("s").join(ids, (F.col("s.set_key") == F.col("r.node")) & F.col("s.doc_id").eqNullSafe(F.col("r.least"))).select("r.node", "s.doc_id").distinct()
-    found = texts.alias("t").join(picked.alias("p"), same("t", "p", ["doc_id"])).select("p.node", "t.text")
-    return sets_of(found)
+def _packed(docs: DataFrame, sig: DataFrame, reps: DataFrame) -> DataFrame:
+    """node, packed of the classes that are candidates, made again from one text of each (node, doc_id, text_hash)."""
+    texts = docs.filter("text is not null").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    key = ["doc_id", "text_hash"]
+    found = sets_of(texts.alias("t").join(reps.alias("r"), same("t", "r", key)).select("r.node", "t.text"))
+    again = sig.filter("set_key is not null").groupBy(*key).count().filter("count > 1")
+    if not again.alias("a").join(reps.alias("r"), same("a", "r", key), "left_semi").isEmpty():  # repeated rows give a class its set again
+        found = found.dropDuplicates(["node"])
+    return found
 
 
 def _rest_links(rest: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
@@ -245,7 +244,7 @@ def _rest_links(rest: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("set_key")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("set_key", "text_hash")
 
 
 def keep_near(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -253,13 +252,12 @@ def keep_near(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Rows are told apart by doc_id and a hash of the text; of those that agree in both, any one stays.
     """
-    hashed = docs.withColumn("__text_hash", F.xxhash64("text"))
-    marks = near_duplicates(hashed, percent, also=("__text_hash",)).filter("set_key is not null").select("doc_id", "__text_hash", "kept")
+    marks = near_duplicates(docs.select("doc_id", "text"), percent, by_row=True).filter("set_key is not null").select("doc_id", "text_hash", "kept")
     marks = materialize(marks, "near")
-    key = ["doc_id", "__text_hash"]
-    out = hashed.alias("a").join(marks.filter("not kept").alias("b"), same("a", "b", key), "left_anti")
+    key = ["doc_id", "text_hash"]
+    out = rows_of(docs, doc_id="doc_id", text_hash=F.xxhash64("text")).alias("a").join(marks.filter("not kept").alias("b"), same("a", "b", key), "left_anti")
     tied = materialize(marks.filter("kept").groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "tied")
     if not tied.isEmpty():
         alike = out.alias("a").join(tied.alias("b"), same("a", "b", key), "left_semi")
         out = out.alias("a").join(tied.alias("b"), same("a", "b", key), "left_anti").unionByName(alike.dropDuplicates(key))
-    return out.select(*docs.columns)
+    return out.select("row.*")
