@@ -38,12 +38,20 @@ class Ownership:
     placeholders: str = r"(?i)(example|sample|dummy|placeholder|changeme|test|xxxx|your[_-]?|1234567|abcdef)"
 
 
+SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
+BLOCK = 128  # matches whose places are summed up at a time
+
+
 def found(text: Column, pattern: str, kind: int) -> Column:
-    """Spans of a pattern's leftmost non-overlapping matches, in code points; the pieces between give the places."""
+    """Spans of a pattern's leftmost non-overlapping matches, in code points; the pieces between give the places.
+
+    Places are running sums, within blocks of matches first and then over blocks, so that a text with very many
+    matches never copies all that it has found for each further one.
+    """
     matches, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
 
-    def placed(m: Column, p: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>").alias("spans"))
+    def inside(block: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
 
         def step(a: Column, x: Column) -> Column:
             s = a["at"] + F.length(x["piece"])
@@ -51,11 +59,23 @@ def found(text: Column, pattern: str, kind: int) -> Column:
             one = F.struct(s.alias("start"), F.lit(kind).alias("kind"), e.alias("end"), x["match"].alias("value"))
             return F.struct(e.alias("at"), F.concat(a["spans"], F.array(one)).alias("spans"))
 
+        return F.aggregate(block, start, step)
+
+    def across(blocks: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("all"))
+
+        def step(a: Column, block: Column) -> Column:
+            moved = F.transform(block["spans"], lambda x: F.struct((x["start"] + a["at"]).alias("start"), x["kind"].alias("kind"), (x["end"] + a["at"]).alias("end"), x["value"].alias("value")))
+            return F.struct((a["at"] + block["at"]).alias("at"), F.concat(a["all"], F.array(moved)).alias("all"))
+
+        return F.aggregate(blocks, start, step, lambda a: F.flatten(a["all"]))
+
+    def placed(m: Column, p: Column) -> Column:
         rows = F.zip_with(m, F.slice(p, F.lit(1), F.size(m)), lambda a, b: F.struct(b.alias("piece"), a.alias("match")))
-        return F.aggregate(rows, start, step, lambda a: a["spans"])
+        blocks = let(rows, lambda r: F.transform(F.sequence(F.lit(1), F.size(r), F.lit(BLOCK)), lambda k: inside(F.slice(r, k, F.lit(BLOCK)))))
+        return across(blocks)
 
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-    return F.when(text.rlike(pattern), let(matches, lambda m: let(pieces, lambda p: placed(m, p)))).otherwise(none)
+    return F.when(text.rlike(pattern), let(matches, lambda m: let(pieces, lambda p: placed(m, p)))).otherwise(F.array().cast(SPANS))
 
 
 def candidates(text: Column) -> Column:
@@ -104,21 +124,17 @@ def secrets(docs: DataFrame, rules: Ownership = Ownership()) -> DataFrame:
     hit = scanned.filter(F.size("found") > 0)
     verdicts = ownership(hit, rules).filter("verdict <> 'unclear'")
     rows = hit.select("doc_id", "source", "found").distinct().withColumn("x", F.explode("found"))
-    told = rows.select("doc_id", "source", "found", F.col("x.hash").alias("hash")).join(verdicts, "hash")
-    own = told.groupBy("doc_id", "source", "found").agg(
-        F.collect_set(F.when(F.col("verdict") == "live", F.col("hash"))).alias("live"), F.collect_set(F.when(F.col("verdict") == "example", F.col("hash"))).alias("example"), F.max("n_owners").alias("most_owners"),
-    )
+    told = rows.withColumn("hash", F.col("x.hash")).join(verdicts, "hash")
+    live = F.when(F.col("verdict") == "live", F.col("x").withField("kind", F.lit(3)))
+    own = told.groupBy("doc_id", "source", "found").agg(F.collect_list(live).alias("live"), F.count_if(F.col("verdict") == "example").alias("n_example"), F.max("n_owners").alias("most_owners"))
     key = lambda a: F.struct(*(F.col(f"{a}.{c}").alias(c) for c in ("doc_id", "source", "found")))
-    j = hit.alias("h").join(own.alias("o"), key("h").eqNullSafe(key("o")), "left").select("h.doc_id", "h.found", "o.live", "o.example", "o.most_owners")
-    none = F.array().cast("array<string>")
+    j = hit.alias("h").join(own.alias("o"), key("h").eqNullSafe(key("o")), "left").select("h.doc_id", "h.found", "o.live", "o.n_example", "o.most_owners")
     j = j.unionByName(scanned.filter(F.size("found") == 0).select("doc_id", "found"), allowMissingColumns=True)
-    j = j.withColumn("live", F.coalesce("live", none)).withColumn("example", F.coalesce("example", none))
-    of = lambda c: F.filter("found", lambda x: F.array_contains(F.col(c), x["hash"]))
+    j = j.withColumn("live", F.coalesce("live", F.array().cast(j.schema["live"].dataType)))
     n = lambda k: F.size(F.filter("found", lambda x: x["kind"] == k)).cast("long")
-    live = F.transform(of("live"), lambda x: x.withField("kind", F.lit(3)))
     return j.select(
         "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(joined(F.col("found")), 256).alias("base_sha256"),
-        joined(F.array_sort(F.concat("found", live))).alias("spans"), F.size(live).alias("n_live"), F.size(of("example")).alias("n_example"), F.coalesce("most_owners", F.lit(0)).alias("most_owners"),
+        joined(F.array_sort(F.concat("found", "live"))).alias("spans"), F.size("live").alias("n_live"), F.coalesce("n_example", F.lit(0)).cast("int").alias("n_example"), F.coalesce("most_owners", F.lit(0)).alias("most_owners"),
     )
 
 
