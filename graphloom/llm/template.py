@@ -5,7 +5,8 @@ loop.first, loop.last, loop.index, loop.index0), {% set x = expression %}, {% ge
 {# comments #}. Expressions: strings, integers, true, false, none, names, .field and ['field'] of mappings, filters,
 +, ==, !=, <, <=, >, >=, in, and, or, not, and parentheses. There are no calls and no way to Python attributes: .field
 only ever looks a key up, and filters are those that the caller names. Unknown names and fields are none, and print as
-nothing.
+nothing; null texts are none too, and very long ones are values like any other. What the language doesn't have, and
+values that an operator doesn't take (such as 'a' < 1), raise TemplateError.
 """
 
 from __future__ import annotations
@@ -104,7 +105,8 @@ class Rendered:
 
 
 TOKEN = re.compile(r"\s*(?:(?P<string>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<number>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[-+<>|.()\[\]=]))")
-SPLIT = re.compile(r"(\{\{.*?\}\}|\{%.*?%\}|\{#.*?#\})", re.S)
+QUOTED = r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\""  # a closing mark inside a string closes nothing
+SPLIT = re.compile(r"(\{\{(?:" + QUOTED + r"|.)*?\}\}|\{%(?:" + QUOTED + r"|.)*?%\}|\{#.*?#\})", re.S)
 ESCAPES = {"n": "\n", "t": "\t", "\\": "\\", "'": "'", '"': '"'}
 COMPARE: dict[str, Callable] = {"==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "in": lambda a, b: b is not None and a in b}
 
@@ -298,7 +300,15 @@ def evaluator(node: Any, filters: Mapping[str, Callable]) -> Callable[[dict], An
         if node.name not in filters:
             raise TemplateError(f"no such filter: {node.name!r}")
         of, f = evaluator(node.of, filters), filters[node.name]
-        return lambda env: f(of(env))
+
+        def filtered(env: dict) -> Any:
+            x = of(env)
+            try:
+                return f(x)
+            except TypeError as e:
+                raise TemplateError(f"{node.name} doesn't take {x!r}") from e
+
+        return filtered
     if isinstance(node, Unary):
         of = evaluator(node.of, filters)
         return lambda env: not of(env)
@@ -308,7 +318,15 @@ def evaluator(node: Any, filters: Mapping[str, Callable]) -> Callable[[dict], An
     if node.op == "or":
         return lambda env: left(env) or right(env)
     f = plus if node.op == "+" else COMPARE[node.op]
-    return lambda env: f(left(env), right(env))
+
+    def both(env: dict) -> Any:
+        a, b = left(env), right(env)
+        try:
+            return f(a, b)
+        except TypeError as e:
+            raise TemplateError(f"{node.op} doesn't take {a!r} and {b!r}") from e
+
+    return both
 
 
 def writer(node: Any, filters: Mapping[str, Callable]) -> Callable[[dict, Rendered], None]:
@@ -346,7 +364,10 @@ def writer(node: Any, filters: Mapping[str, Callable]) -> Callable[[dict, Render
     of, body, name = evaluator(node.of, filters), writer(node.body, filters), node.name
 
     def loop(env: dict, out: Rendered) -> None:
-        rows = list(of(env) or ())
+        value = of(env) or ()
+        if not isinstance(value, list | tuple):
+            raise TemplateError(f"for takes a list, not {value!r}")
+        rows = list(value)
         own = dict(env)
         for i, x in enumerate(rows):
             own[name] = x
