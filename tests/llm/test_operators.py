@@ -289,7 +289,7 @@ def test_keep_exact_hashes_survivors_once_and_nothing_else(docs, monkeypatch):
     monkeypatch.setattr(exact_dedup, "materialize", spy)
     kept = exact_dedup.keep_exact(docs)
     assert "sha2(" not in kept._jdf.queryExecution().toString()
-    hashed = [r.doc_id for r in next(iter(written.values())).filter("__hash is not null").collect()]
+    hashed = [r.doc_id for r in next(iter(written.values())).filter("hash is not null").collect()]
     assert sorted(hashed, key=repr) == sorted([0, 1, 2, 3, None], key=repr)
     marks = {r.doc_id for r in exact_dedup.exact_dedup(docs).collect() if r.kept}
     assert {r.doc_id for r in kept.collect()} == marks and kept.count() == len(marks)
