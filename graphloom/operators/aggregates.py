@@ -124,13 +124,13 @@ def majority_purity(spark: SparkSession, sf: str) -> DataFrame:
     return r.filter("rn = 1").select(F.col("p_brand").alias("dir"), F.col("p_type").alias("cluster"), F.round(F.col("n") / F.col("total"), 9).alias("purity"))
 
 
-@query("agg_hotspots", f"""WITH {HIST_SQL}, m AS (SELECT id, commits / max(commits) OVER () AS a, authors / max(authors) OVER () AS b FROM hist) SELECT id, round(a * b, 9) AS score FROM m WHERE a * b > 0 ORDER BY score DESC, id LIMIT 10""")
+@query("agg_hotspots", f"""WITH {HIST_SQL}, m AS (SELECT id, commits / max(commits) OVER () * (authors / max(authors) OVER ()) AS s FROM hist) SELECT id, round(s, 9) AS score FROM m WHERE s > 0 ORDER BY s DESC, id LIMIT 10""")
 def hotspots(spark: SparkSession, sf: str) -> DataFrame:
     """Product of two max-normalised axes, the ten largest."""
     h = history(spark, sf)
     top = F.broadcast(h.agg(F.max("commits").alias("mc"), F.max("authors").alias("ma")))
-    s = h.crossJoin(top).select("id", F.round(F.col("commits") / F.col("mc") * (F.col("authors") / F.col("ma")), 9).alias("score"))
-    return s.filter("score > 0").orderBy(F.desc("score"), "id").limit(10)
+    s = h.crossJoin(top).select("id", (F.col("commits") / F.col("mc") * (F.col("authors") / F.col("ma"))).alias("s"))
+    return s.filter("s > 0").orderBy(F.desc("s"), "id").limit(10).select("id", F.round("s", 9).alias("score"))
 
 
 @query("agg_preview_distribution", "SELECT min(n) AS least, CAST(floor(median(n)) AS INTEGER) AS middle, max(n) AS most FROM (SELECT count(*) AS n FROM part GROUP BY p_brand)")
@@ -147,11 +147,20 @@ def method_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return known.join(n, "event_type", "left").select("event_type", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("agg_fingerprint", "SELECT lang, sha256(string_agg(doc_id || chr(31) || sha256(text), chr(10) ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY lang")
+FOLD = 1024  # digests under one digest
+DIGEST = "sha256(string_agg({x}, chr(10) ORDER BY {k}))"
+
+
+@query("agg_fingerprint", f"""WITH a AS (SELECT lang, doc_id // {FOLD} AS k, {DIGEST.format(x="doc_id || chr(31) || sha256(coalesce(text, ''))", k='doc_id')} AS d FROM documents GROUP BY 1, 2),
+b AS (SELECT lang, k // {FOLD} AS k, {DIGEST.format(x='d', k='k')} AS d FROM a GROUP BY 1, 2), c AS (SELECT lang, k // {FOLD} AS k, {DIGEST.format(x='d', k='k')} AS d FROM b GROUP BY 1, 2) SELECT lang, {DIGEST.format(x='d', k='k')} AS fingerprint FROM c GROUP BY 1""")
 def fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("lang", "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("\x1f"), F.sha2("text", 256)).alias("line"))
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "line"))), lambda x: x["line"])
-    return d.groupBy("lang").agg(F.sha2(F.array_join(rows, "\n"), 256).alias("fingerprint"))
+    """A digest of digests over ranges of ids, three levels high: no row holds more than the lines of one range."""
+    line = F.concat(F.col("doc_id").cast("string"), F.lit("\x1f"), F.sha2(F.coalesce("text", F.lit("")), 256))
+    d = table(spark, sf, "documents").select("lang", F.col("doc_id").alias("k"), line.alias("d"))
+    whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda x: x["d"]), "\n"), 256)
+    for _ in range(3):
+        d = d.groupBy("lang", F.floor(F.col("k") / FOLD).alias("up")).agg(whole.alias("d")).withColumnRenamed("up", "k")
+    return d.groupBy("lang").agg(whole.alias("fingerprint"))
 
 
 @query("agg_health_score", """WITH f AS (SELECT n_nationkey AS id, avg(c_acctbal) / 10000 AS a, count(*) FILTER (c_acctbal > 0) / nullif(count(*), 0) AS b, avg(s_acctbal) / 10000 AS c FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN (SELECT s_nationkey, avg(s_acctbal) AS s_acctbal FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) ON s_nationkey = n_nationkey GROUP BY 1)

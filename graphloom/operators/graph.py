@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import itertools
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.plans.projections import G1_SQL, G2_SQL, STEPS_SQL, WEIGHTED_SQL, dense_edges, sparse_edges, steps, weighted_edges
+from graphloom.plans.projections import G1_SQL, G2_SQL, STEPS_SQL, WEIGHT_SQL, WEIGHTED_SQL, dense_edges, files, kind_weight, ordered_edges, steps, weighted_edges
+from graphloom.plans.rounds import Round, written
 from graphloom.registry import query
 
 DAMPING, MOST_ROUNDS, TOLERANCE = 0.85, 100, 1e-8
@@ -30,96 +32,136 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.filter("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max("weight").alias("weight"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A round's result with its lineage cut, in the shared checkpoint folder where one is set."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
-    return df.checkpoint()
+def by_source(edges: DataFrame) -> DataFrame:
+    """The edges kept dealt by src for the rounds of a loop, so that only what joins them moves."""
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return edges.repartition(parts, "src").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = DAMPING, rounds: int = MOST_ROUNDS, tolerance: float = TOLERANCE, seeds: DataFrame | None = None) -> DataFrame:
     """id, rank. Transition by weight (1 if edges have none); teleport and dangling mass go to the seeds, all nodes if none.
 
-    The driver sees two numbers a round: the dangling mass and the change.
+    A round is one job over edges that stay where they are: ranks go out to them, inflows are added up before they
+    move, and the write returns two numbers, the dangling mass and the change.
     """
     if "weight" not in edges.columns:
         edges = edges.withColumn("weight", F.lit(1.0))
     share = edges.join(edges.groupBy("src").agg(F.sum("weight").alias("total")), "src").filter("total > 0").select("src", "dst", (F.col("weight") / F.col("total")).alias("p"))
-    share = checkpointed(share)
-    start = nodes if seeds is None or seeds.isEmpty() else seeds
+    share = by_source(share)
+    start = nodes if seeds is None or seeds.isEmpty() else seeds.join(nodes, "id", "left_semi").distinct()
     n = start.count()
     base = nodes.join(start.select("id", F.lit(1.0 / max(n, 1)).alias("v")), "id", "left").fillna(0.0, ["v"])
-    base = checkpointed(base.join(share.select(F.col("src").alias("id")).distinct().withColumn("out", F.lit(True)), "id", "left").select("id", "v", F.col("out").isNull().alias("dangling")))
-    rank = base.select("id", "v", "dangling", F.col("v").alias("rank"))
+    base = base.join(share.select(F.col("src").alias("id")).distinct().withColumn("out", F.lit(True)), "id", "left")
+    lost = F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))
+    state = Round(base.select("id", "v", F.col("out").isNull().alias("dangling"), F.col("v").alias("rank")), "rank", lost=lost)
     for _ in range(rounds):
-        lost = rank.filter("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        flow = rank.select(F.col("id").alias("src"), "rank").join(share, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("inflow"))
-        new = rank.join(flow, "id", "left").withColumn("new", (1 - damping) * F.col("v") + damping * (F.coalesce("inflow", F.lit(0.0)) + lost * F.col("v")))
-        new = checkpointed(new.select("id", "v", "dangling", F.col("new").alias("rank"), F.abs(F.col("new") - F.col("rank")).alias("change")))
-        change = new.agg(F.sum("change")).first()[0]
-        rank = new.drop("change")
-        if change is None or change < tolerance:
+        flow = state.table.select(F.col("id").alias("src"), "rank").join(share, "src").select(F.col("dst").alias("id"), (F.col("rank") * F.col("p")).alias("flow"))
+        own = state.table.select("id", F.lit(0.0).alias("flow"), "v", "dangling", F.col("rank").alias("old"))
+        new = own.unionByName(flow, allowMissingColumns=True).groupBy("id").agg(F.sum("flow").alias("inflow"), F.max("v").alias("v"), F.max("dangling").alias("dangling"), F.max("old").alias("old"))
+        rank = (1 - damping) * F.col("v") + damping * (F.col("inflow") + state.metrics["lost"] * F.col("v"))
+        done, state = state, Round(new.filter("v is not null").withColumn("rank", rank), "rank", ["id", "v", "dangling", "rank"], lost=lost, change=F.sum(F.abs(F.col("rank") - F.col("old"))))
+        done.delete()
+        if (state.metrics["change"] or 0.0) < tolerance:
             break
-    return rank.select("id", "rank")
+    share.unpersist()
+    return state.table.select("id", "rank")
+
 
+def walk(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """id, hop: the fewest steps along the edges from any start to each node that can be reached.
 
-def layers(edges: DataFrame, nodes: DataFrame, entries: DataFrame) -> DataFrame:
-    """id, layer: hops from the nearest entry, null where there is no way; the frontier alone is joined each round."""
-    seen = checkpointed(entries.select("id").distinct().withColumn("layer", F.lit(0)))
-    frontier = seen
+    Only the frontier moves; what was reached stays in the tables that its rounds wrote.
+    """
+    edges = by_source(edges.select("src", "dst"))
+    reached = [Round(start.select("id").distinct().withColumn("hop", F.lit(0)), "walk", n=F.count(F.lit(1)))]
+    spark = edges.sparkSession
     for hop in itertools.count(1):
-        reached = frontier.select(F.col("id").alias("src")).join(edges, "src").select(F.col("dst").alias("id")).distinct()
-        frontier = checkpointed(reached.join(seen, "id", "left_anti").withColumn("layer", F.lit(hop)))
-        if frontier.isEmpty():
+        if not reached[-1].metrics["n"]:
             break
-        seen = checkpointed(seen.unionByName(frontier))
-    return nodes.join(seen, "id", "left").select("id", "layer")
+        seen = spark.read.schema(reached[0].table.schema).parquet(*(r.path for r in reached))
+        step = reached[-1].table.select(F.col("id").alias("src")).join(edges, "src").select(F.col("dst").alias("id")).distinct()
+        reached.append(Round(step.join(seen, "id", "left_anti").withColumn("hop", F.lit(hop)), "walk", n=F.count(F.lit(1))))
+    edges.unpersist()
+    return spark.read.schema(reached[0].table.schema).parquet(*(r.path for r in reached))
+
+
+def spread(edges: DataFrame, values: DataFrame) -> DataFrame:
+    """id, label: the smallest label that reaches each node along the edges, by rounds in which only news move."""
+    edges = by_source(edges.select("src", "dst"))
+    state = Round(values.select("id", "label", F.lit(True).alias("new")), "spread", n=F.count(F.lit(1)))
+    while state.metrics["n"]:
+        news = state.table.filter("new").select(F.col("id").alias("src"), "label").join(edges, "src").select(F.col("dst").alias("id"), F.col("label").alias("arriving"))
+        both = state.table.select("id", "label").unionByName(news, allowMissingColumns=True).groupBy("id").agg(F.min("label").alias("old"), F.min("arriving").alias("arriving")).filter("old is not null")
+        better = F.col("arriving").isNotNull() & (F.col("arriving") < F.col("old"))
+        done, state = state, Round(both.select("id", F.when(better, F.col("arriving")).otherwise(F.col("old")).alias("label"), better.alias("new")), "spread", n=F.count_if("new"))
+        done.delete()
+    edges.unpersist()
+    return state.table.select("id", "label")
 
 
-def spread(edges: DataFrame, values: DataFrame, alive: DataFrame) -> DataFrame:
-    """id, label: the smallest label that reaches each node along the edges, by rounds."""
-    inner = edges.join(alive.withColumnRenamed("id", "src"), "src", "left_semi").join(alive.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    inner, state = checkpointed(inner), checkpointed(values)
-    while True:
-        arriving = state.join(inner, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("new"))
-        new = checkpointed(state.join(arriving, "id", "left").select("id", F.least("label", F.coalesce("new", "label")).alias("label"), "label").toDF("id", "label", "old"))
-        changed = new.filter("label <> old").isEmpty()
-        state = new.select("id", "label")
-        if changed:
-            return state
+def among(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges between the nodes."""
+    return edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
 def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """id, scc_id (smallest member), scc_size.
+    """id, scc_id (smallest member), scc_size; no rows for no nodes.
 
-    Forward-backward colouring: the smallest id that reaches a node is its colour; of those with one colour, all from
-    which the colour's root is reached back are a component. Nodes without edges in or out are trimmed first.
+    Nodes without edges in or out are components of their own. The others are coloured: of the labels that reach a
+    node the smallest is its colour, and all of one colour from which the colour's root is reached back are a
+    component. Labels are hashes of ids, so that colours cut what is left into parts of all sizes, and edges between
+    colours go: no component has two.
     """
-    done, alive, e = None, checkpointed(nodes), checkpointed(edges.filter("src <> dst"))
-    while not alive.isEmpty():
-        while True:  # trimming
-            inner = alive.join(e.select(F.col("dst").alias("id")).distinct(), "id", "left_semi").join(e.select(F.col("src").alias("id")).distinct(), "id", "left_semi")
-            single = checkpointed(alive.join(inner, "id", "left_anti"))
-            if single.isEmpty():
-                break
-            done = single.select("id", F.col("id").alias("scc_id")) if done is None else done.unionByName(single.select("id", F.col("id").alias("scc_id")))
-            alive = checkpointed(inner)
-            e = checkpointed(e.join(alive.withColumnRenamed("id", "src"), "src", "left_semi").join(alive.withColumnRenamed("id", "dst"), "dst", "left_semi"))
-        if alive.isEmpty():
+    e = written(edges.filter("src <> dst").select("src", "dst"), "scc-edges")
+    alive = Round(nodes.select("id").distinct(), "scc", n=F.count(F.lit(1)))
+    done: list[DataFrame] = []
+    while alive.metrics["n"]:
+        inner = e.select(F.col("dst").alias("id")).intersect(e.select(F.col("src").alias("id")))
+        mark = alive.table.join(inner.withColumn("inner", F.lit(True)), "id", "left")
+        mark = Round(mark.select("id", F.col("inner").isNotNull().alias("inner")), "scc-trim", n=F.count_if("inner"))
+        done.append(mark.table.filter("not inner").select("id", F.col("id").alias("root")))
+        if not mark.metrics["n"]:
             break
-        colour = spread(e, alive.select("id", F.col("id").alias("label")), alive)
-        c = colour.withColumnRenamed("label", "colour")
-        same = e.join(c.toDF("src", "cs"), "src").join(c.toDF("dst", "cd"), "dst").filter("cs = cd").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        back = spread(same, c.select("id", F.when(F.col("id") == F.col("colour"), 0).otherwise(1).alias("label")), alive)
-        found = checkpointed(back.filter("label = 0").join(c, "id").select("id", F.col("colour").alias("scc_id")))
-        done = found if done is None else done.unionByName(found)
-        alive = checkpointed(alive.join(found, "id", "left_anti"))
-        e = checkpointed(e.join(alive.withColumnRenamed("id", "src"), "src", "left_semi").join(alive.withColumnRenamed("id", "dst"), "dst", "left_semi"))
-    size = done.groupBy("scc_id").agg(F.count(F.lit(1)).alias("scc_size"))
-    return done.join(size, "scc_id").select("id", "scc_id", "scc_size")
+        left = mark.table.filter("inner").select("id", F.xxhash64("id").alias("label"))
+        c = written(spread(among(e, left), left).withColumnRenamed("label", "colour"), "scc-colours")
+        alike = e.join(c.toDF("src", "cs"), "src").join(c.toDF("dst", "cd"), "dst").filter("cs = cd").select("src", "dst")
+        alike = written(alike, "scc-edges")
+        back = walk(alike.select(F.col("dst").alias("src"), F.col("src").alias("dst")), c.filter(F.xxhash64("id") == F.col("colour")).select("id"))
+        seen = Round(c.join(back.withColumn("hit", F.lit(True)), "id", "left").select("id", "colour", F.col("hit").isNotNull().alias("hit")), "scc", n=F.count_if("hit"))
+        done.append(seen.table.filter("hit").select("id", F.col("colour").alias("root")))
+        alive = Round(seen.table.filter("not hit").select("id"), "scc", n=F.count(F.lit(1)))
+        e = written(among(alike, alive.table), "scc-edges")
+    if not done:
+        return nodes.select("id", F.col("id").alias("scc_id"), F.lit(0).cast("long").alias("scc_size")).limit(0)
+    all_ = done[0].withColumn("round", F.lit(0))
+    for k, d in enumerate(done[1:], 1):
+        all_ = all_.unionByName(d.withColumn("round", F.lit(k)))
+    named = all_.groupBy("round", "root").agg(F.min("id").alias("scc_id"), F.count(F.lit(1)).alias("scc_size"))
+    return all_.join(named, ["round", "root"]).select("id", "scc_id", "scc_size")
+
+
+def condensed(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """src, dst: the distinct edges between components."""
+    c = components.select("id", "scc_id")
+    e = edges.join(c.toDF("src", "s"), "src").join(c.toDF("dst", "d"), "dst").filter("s <> d")
+    return e.select(F.col("s").alias("src"), F.col("d").alias("dst")).distinct()
+
+
+def layers(edges: DataFrame, nodes: DataFrame, entries: DataFrame, components: DataFrame | None = None) -> DataFrame:
+    """id, layer: steps between components from the nearest entry's; null where there is no way, or no entry.
+
+    All members of an entry's component are on layer 0: a step inside a component costs nothing.
+    """
+    c = components if components is not None else written(strong_components(edges, nodes), "components")
+    start = c.join(entries.select("id"), "id", "left_semi").select(F.col("scc_id").alias("id"))
+    found = walk(condensed(edges, c), start).select(F.col("id").alias("scc_id"), F.col("hop").alias("layer"))
+    return nodes.join(c.join(found, "scc_id").select("id", "layer"), "id", "left").select("id", "layer")
+
+
+def reachable(layered: DataFrame, entries: DataFrame) -> DataFrame:
+    """id, reachable: null for all where there are no entries."""
+    some = F.broadcast(entries.agg((F.count(F.lit(1)) > 0).alias("some")))  # one row
+    return layered.crossJoin(some).select("id", F.when(F.col("some"), F.col("layer").isNotNull()).alias("reachable"))
 
 
 @query("gr_directed_graph", f"WITH {G1_SQL} SELECT src, dst FROM g1")
@@ -142,44 +184,76 @@ def degree(spark: SparkSession, sf: str) -> DataFrame:
     return degrees(dense_edges(spark, sf), spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("id")))
 
 
-@query("gr_pagerank")
+def rank_sql(edges: str, weight: str, damping: float, seed: str, rounds: int = 60) -> str:
+    """PageRank with a fixed number of rounds as table prf; an edge without weight from each node to itself keeps every node in."""
+    return f"""ids AS (SELECT src AS id FROM {edges} UNION SELECT dst FROM {edges}), tot AS (SELECT src, sum({weight}) AS t FROM {edges} GROUP BY 1), sd AS (SELECT id, ({seed}) AS s FROM ids), v AS (SELECT id, CASE WHEN s THEN 1.0 / (SELECT count(*) FROM sd WHERE s) ELSE 0 END AS v FROM sd),
+e AS (SELECT src, dst, sum({weight} / t) AS p FROM {edges} JOIN tot USING (src) GROUP BY 1, 2 UNION ALL SELECT id, id, 0 FROM ids),
+pr AS (SELECT id, CAST(v AS DOUBLE) AS r, 0 AS k FROM v UNION ALL SELECT q.id, (1 - {damping}) * v.v + {damping} * (q.flow + q.lost * v.v), q.k + 1 FROM (
+  SELECT e.dst AS id, p.k, p.lost, sum(p.r * e.p) AS flow FROM (SELECT pr.id, pr.r, pr.k, coalesce(sum(CASE WHEN t IS NULL THEN pr.r END) OVER (), 0) AS lost FROM pr LEFT JOIN tot ON tot.src = pr.id WHERE k < {rounds}) p JOIN e ON e.src = p.id GROUP BY 1, 2, 3) q JOIN v ON v.id = q.id),
+prf AS (SELECT id, r FROM pr WHERE k = {rounds})"""
+
+
+ENTRY_SEED = "id IN (SELECT p_partkey FROM part WHERE p_size = 1)"
+
+
+@query("gr_pagerank", f"WITH RECURSIVE {G1_SQL}, {rank_sql('g1', '1.0', 0.85, 'true')} SELECT id, round(r, 7) AS rank FROM prf")
 def pagerank_query(spark: SparkSession, sf: str) -> DataFrame:
     e = dense_edges(spark, sf)
-    return pagerank(e, nodes_of(e)).select("id", F.round("rank", 9).alias("rank"))
+    return pagerank(e, nodes_of(e)).select("id", F.round("rank", 7).alias("rank"))
 
 
-@query("gr_weighted_pagerank")
+@query("gr_weighted_pagerank", f"WITH RECURSIVE {WEIGHTED_SQL}, {rank_sql('wg', 'weight', 0.65, ENTRY_SEED)} SELECT id, round(r, 7) AS rank FROM prf")
 def weighted_pagerank_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Personalised by the entry files."""
     e = weighted_edges(spark, sf)
-    seeds = e.select(F.col("src").alias("id")).distinct().filter("id % 97 = 0")
-    return pagerank(e, nodes_of(e), 0.65, seeds=seeds).select("id", F.round("rank", 9).alias("rank"))
+    return pagerank(e, nodes_of(e), 0.65, seeds=files(spark, sf).filter("is_entry").select("id")).select("id", F.round("rank", 7).alias("rank"))
 
 
-@query("gr_scc")
-def scc_query(spark: SparkSession, sf: str) -> DataFrame:
-    e = sparse_edges(spark, sf)
-    return strong_components(e, nodes_of(e))
+SCC_SQL = f"""{G2_SQL}, ids AS (SELECT p_partkey AS id FROM part), cl AS (SELECT src AS a, dst AS b FROM g2 UNION SELECT cl.a, g2.dst FROM cl JOIN g2 ON g2.src = cl.b),
+scc AS (SELECT id, least(id, coalesce(min(x.b), id)) AS scc_id FROM ids LEFT JOIN (SELECT p.a, p.b FROM cl p JOIN cl q ON p.a = q.b AND p.b = q.a) x ON x.a = id GROUP BY id)"""
+CONDENSED_SQL = f"{SCC_SQL}, ce AS (SELECT DISTINCT a.scc_id AS src, b.scc_id AS dst FROM g2 JOIN scc a ON a.id = g2.src JOIN scc b ON b.id = g2.dst WHERE a.scc_id <> b.scc_id)"
+LAYER_SQL = f"""{CONDENSED_SQL}, bfs(id, hop) USING KEY (id) AS (SELECT DISTINCT scc_id, 0 FROM scc JOIN part ON id = p_partkey WHERE p_size = 1 UNION SELECT ce.dst, min(bfs.hop) + 1 FROM bfs JOIN ce ON ce.src = bfs.id LEFT JOIN recurring.bfs AS r ON r.id = ce.dst WHERE r.id IS NULL GROUP BY ce.dst)"""
 
 
-ENTRY_SQL = f"{G2_SQL}, ids AS (SELECT src AS id FROM g2 UNION SELECT dst FROM g2), entry AS (SELECT id FROM ids WHERE id NOT IN (SELECT dst FROM g2 WHERE src <> dst))"
-REACH_SQL = f"WITH RECURSIVE {ENTRY_SQL}, bfs AS (SELECT id, 0 AS hop FROM entry UNION SELECT g2.dst, hop + 1 FROM bfs JOIN g2 ON g2.src = bfs.id WHERE hop < 60)"
+def whole_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All edges, all files and the entry files."""
+    f = files(spark, sf)
+    return ordered_edges(spark, sf), f.select("id"), f.filter("is_entry").select("id")
 
 
-def entry_layers(spark: SparkSession, sf: str) -> DataFrame:
-    e = sparse_edges(spark, sf)
-    n = nodes_of(e)
-    entries = n.join(e.filter("src <> dst").select(F.col("dst").alias("id")), "id", "left_anti")
-    return layers(e, n, entries)
+@query("gr_scc", f"WITH RECURSIVE {SCC_SQL} SELECT id, scc_id, count(*) OVER (PARTITION BY scc_id) AS scc_size FROM scc")
+def scc_query(spark: SparkSession, sf: str) -> DataFrame:
+    e, n, _ = whole_graph(spark, sf)
+    return strong_components(e, n)
+
 
+@query("gr_condensation", f"WITH RECURSIVE {CONDENSED_SQL} SELECT src, dst FROM ce")
+def condensation(spark: SparkSession, sf: str) -> DataFrame:
+    e, n, _ = whole_graph(spark, sf)
+    return condensed(e, strong_components(e, n))
 
-@query("gr_layers", f"{REACH_SQL} SELECT ids.id, CAST(min(hop) AS INTEGER) AS layer FROM ids LEFT JOIN bfs USING (id) GROUP BY ids.id")
+
+@query("gr_layers", f"WITH RECURSIVE {LAYER_SQL} SELECT scc.id, CAST(hop AS INTEGER) AS layer FROM scc LEFT JOIN bfs ON bfs.id = scc_id")
 def layers_query(spark: SparkSession, sf: str) -> DataFrame:
-    return entry_layers(spark, sf)
+    return layers(*whole_graph(spark, sf))
 
 
-@query("gr_reachability", f"{REACH_SQL} SELECT ids.id, count(hop) > 0 AS reachable FROM ids LEFT JOIN bfs USING (id) GROUP BY ids.id")
+@query("gr_reachability", f"WITH RECURSIVE {LAYER_SQL} SELECT scc.id, CASE WHEN (SELECT count(*) FROM part WHERE p_size = 1) > 0 THEN hop IS NOT NULL END AS reachable FROM scc LEFT JOIN bfs ON bfs.id = scc_id")
 def reachability(spark: SparkSession, sf: str) -> DataFrame:
-    return entry_layers(spark, sf).select("id", F.col("layer").isNotNull().alias("reachable"))
+    e, n, entries = whole_graph(spark, sf)
+    return reachable(layers(e, n, entries), entries)
+
+
+@query("gr_structure_summary", f"""WITH RECURSIVE {LAYER_SQL}, z AS (SELECT scc_id, count(*) AS n FROM scc GROUP BY 1)
+SELECT (SELECT count(*) FROM z) AS sccs, (SELECT count(*) FROM z WHERE n > 1) AS cycles, (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM z WHERE n > 1) AS in_cycles, (SELECT max(n) FROM z) AS largest, (SELECT count(*) FROM scc LEFT JOIN bfs ON bfs.id = scc_id WHERE hop IS NULL) AS unreachable""")
+def structure_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """What is kept of a run: components, cycles, files in cycles, the largest, and files that no entry reaches."""
+    e, n, entries = whole_graph(spark, sf)
+    c = written(strong_components(e, n), "components")
+    z = c.groupBy("scc_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = z.agg(F.count(F.lit(1)).alias("sccs"), F.count_if(F.col("n") > 1).alias("cycles"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("in_cycles"), F.max("n").alias("largest"))
+    lost = layers(e, n, entries, c).agg(F.count_if(F.col("layer").isNull()).alias("unreachable"))
+    return counts.crossJoin(F.broadcast(lost))  # one row each
 
 
 @query("gr_connected", f"""WITH {G1_SQL}, nb AS (SELECT CASE WHEN src = 1 THEN dst ELSE src END AS id, src = 1 AS out FROM g1 WHERE (src = 1 OR dst = 1) AND src <> dst)
@@ -215,22 +289,20 @@ def module_dependencies(spark: SparkSession, sf: str) -> DataFrame:
     return e.filter("from_module <> to_module").groupBy("from_module", "to_module").agg(F.count(F.lit(1)).alias("n_edges"))
 
 
-@query("gr_entry_nodes", f"WITH {ENTRY_SQL} SELECT id FROM entry")
+@query("gr_entry_nodes", f"WITH {G2_SQL} SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT dst FROM g2 WHERE src <> dst)")
 def entry_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    e = sparse_edges(spark, sf)
-    return nodes_of(e).join(e.filter("src <> dst").select(F.col("dst").alias("id")), "id", "left_anti")
+    """Files that no other file leads to."""
+    e, n, _ = whole_graph(spark, sf)
+    return n.join(e.filter("src <> dst").select(F.col("dst").alias("id")), "id", "left_anti")
 
 
-@query("gr_neighbor_merge", f"""WITH {STEPS_SQL}, e AS (SELECT dst AS id, CASE l_returnflag || l_linestatus WHEN 'AF' THEN 1.0 WHEN 'NF' THEN 0.8 WHEN 'NO' THEN 0.4 WHEN 'RF' THEN 0.25 ELSE 0.05 END AS w, l_returnflag AS kind FROM steps WHERE src = 1 AND dst IS NOT NULL)
-SELECT id, CAST(max(w) AS DOUBLE) AS weight, arg_max(kind, w * 10 - CASE kind WHEN 'A' THEN 0.1 WHEN 'N' THEN 0.2 ELSE 0.3 END) AS kind, count(*) AS n FROM e GROUP BY id""")
+@query("gr_neighbor_merge", f"""WITH {STEPS_SQL}, e AS (SELECT dst AS id, kind, {WEIGHT_SQL} AS w, CASE WHEN l_quantity > 40 THEN l_returnflag END AS cross_root, l_quantity, l_linenumber FROM steps WHERE src = 1 AND dst IS NOT NULL)
+SELECT id, CAST(max(w) AS DOUBLE) AS weight, arg_min(kind, (-w, kind)) AS kind, min(cross_root) AS cross_root, count(*) AS n FROM e GROUP BY id""")
 def neighbor_merge(spark: SparkSession, sf: str, focus: int = 1) -> DataFrame:
-    """Parallel edges to a neighbour: the heaviest wins, ties by kind."""
-    from graphloom.plans.projections import kind_weight
-
-    e = steps(spark, sf).filter((F.col("src") == focus) & F.col("dst").isNotNull()).withColumn("w", kind_weight(F.concat("l_returnflag", "l_linestatus")))
-    top = W.partitionBy("dst").orderBy(F.desc("w"), "l_returnflag")
-    e = e.withColumn("rn", F.row_number().over(top))
-    return e.groupBy(F.col("dst").alias("id")).agg(F.max("w").alias("weight"), F.max(F.when(F.col("rn") == 1, F.col("l_returnflag"))).alias("kind"), F.count(F.lit(1)).alias("n"))
+    """Parallel edges to a neighbour: the heaviest wins, ties by kind; the least known cross-root value is kept."""
+    cross = F.when(F.col("l_quantity") > 40, F.col("l_returnflag"))
+    e = steps(spark, sf).filter((F.col("src") == focus) & F.col("dst").isNotNull()).select(F.col("dst").alias("id"), "kind", kind_weight(F.col("kind")).alias("w"), cross.alias("cross_root"))
+    return e.groupBy("id").agg(F.max("w").alias("weight"), F.min_by("kind", F.struct(-F.col("w"), "kind")).alias("kind"), F.min("cross_root").alias("cross_root"), F.count(F.lit(1)).alias("n"))
 
 
 @query("gr_resolution_report", f"""WITH {WEIGHTED_SQL}, u AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, max(weight) AS w FROM wg WHERE src <> dst GROUP BY 1, 2)
