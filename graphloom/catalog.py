@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.operators import aggregates, code, communities, graph, groups, health, neighborhood, ranking, rules, text, timeline
+from graphloom.operators import aggregates, code, communities, graph, groups, health, learning, neighborhood, ranking, rollups, rules, speech, strings, text, timeline
 from graphloom.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "code", "communities", "graph", "groups", "health", "neighborhood", "ranking", "rules", "text", "timeline"]
+__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "code", "communities", "graph", "groups", "health", "learning", "neighborhood", "ranking", "rollups", "rules", "speech", "strings", "text", "timeline"]

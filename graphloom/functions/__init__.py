@@ -1 +1 @@
-"""functions of graphloom."""
+"""Scalar functions as Spark expressions."""

@@ -12,7 +12,9 @@ from graphloom.session import table
 HEDGES = ("maybe", "perhaps", "possibly", "sort", "kind", "somewhat", "probably", "i think", "i guess", "i feel", "just", "actually", "basically")
 WEAK = ("very", "really", "quite", "rather", "extremely", "totally", "literally", "definitely")
 FILLERS = ("thing", "things", "stuff", "etc")
-PASSIVE = r"\b(is|are|was|were|be|been|being)\b\s+\w+(ed|en)\b"
+PASSIVE = r"(?U)\b(is|are|was|were|be|been|being)\b\s+\w+(ed|en)\b"
+#: The same where words end at ASCII letters: every other character is doubled, and each match takes one on either side.
+PASSIVE_SQL = r"(^|[^\p{L}\p{N}_])(is|are|was|were|be|been|being)[ \t\n\x0b\f\r\x{85}\x{a0}]+[\p{L}\p{N}_]*[\p{L}\p{N}_](ed|en)([^\p{L}\p{N}_]|$)"
 
 
 def word_list(text: Column) -> Column:
@@ -26,21 +28,35 @@ def syllables(word: Column) -> Column:
 
 
 HEDGE_SQL = " + ".join(f"len(regexp_extract_all(p, ' {h} '))" for h in HEDGES)
+CLAMP = "greatest(0, least(100, {x}))"
 
 
-@query("txt_writing_metrics", f"""WITH t AS (SELECT doc_id, ' ' || lower(trim(text, E' \\t\\n\\r')) || ' ' AS p, regexp_extract_all(lower(text), '[a-z'']+') AS w, len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda x: regexp_matches(x, '\\S'))) AS s FROM documents WHERE lang = 'en'),
-m AS (SELECT doc_id, len(w) AS n_words, greatest(s, 1) AS n_sentences, len(list_distinct(w)) AS n_distinct, coalesce(list_sum(list_transform(w, lambda x: greatest(len(regexp_extract_all(x, '[aeiouy]+')) - CASE WHEN ends_with(x, 'e') AND len(regexp_extract_all(x, '[aeiouy]+')) > 1 THEN 1 ELSE 0 END, 1))), 0) AS syl,
-{HEDGE_SQL} AS n_hedges, len(list_filter(w, lambda x: x IN {WEAK})) AS n_weak, len(list_filter(w, lambda x: x IN {FILLERS})) AS n_fillers, len(regexp_extract_all(p, '{PASSIVE}')) AS n_passive FROM t)
-SELECT doc_id, n_words, n_sentences, CAST(syl AS BIGINT) AS n_syllables, n_hedges, n_weak, n_fillers, n_passive, round(n_distinct / sqrt(n_words), 6) AS root_ttr, round(206.835 - 1.015 * n_words / n_sentences - 84.6 * syl / n_words, 6) AS flesch FROM m WHERE n_words > 0""")
+@query("txt_writing_metrics", f"""WITH t AS (SELECT doc_id, ' ' || lower(trim(coalesce(text, ''), E' \\t\\n\\r')) || ' ' AS p, regexp_extract_all(lower(coalesce(text, '')), '[a-z'']+') AS w, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[.!?]+'), lambda x: regexp_matches(x, '\\S'))) AS s FROM documents),
+m AS (SELECT doc_id, len(w) AS n_words, greatest(s, 1) AS n_sentences, len(list_distinct(w)) AS n_distinct, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS letters, coalesce(list_sum(list_transform(w, lambda x: greatest(len(regexp_extract_all(x, '[aeiouy]+')) - CASE WHEN ends_with(x, 'e') AND len(regexp_extract_all(x, '[aeiouy]+')) > 1 THEN 1 ELSE 0 END, 1))), 0) AS syl,
+{HEDGE_SQL} AS n_hedges, len(list_filter(w, lambda x: x IN {WEAK})) AS n_weak, len(list_filter(w, lambda x: x IN {FILLERS})) AS n_fillers, len(regexp_extract_all(regexp_replace(p, '([^\\p{{L}}\\p{{N}}_])', '\\1\\1', 'g'), '{PASSIVE_SQL}')) AS n_passive FROM t),
+d AS (SELECT *, n_distinct / sqrt(n_words) AS ttr, letters / n_words AS word, n_words / n_sentences AS sentence, 206.835 - 1.015 * n_words / n_sentences - 84.6 * syl / n_words AS flesch, (n_hedges + n_weak + n_fillers + n_passive) / n_words * 100 AS density FROM m WHERE n_words > 0)
+SELECT doc_id, n_words, n_sentences, CAST(syl AS BIGINT) AS n_syllables, n_hedges, n_weak, n_fillers, n_passive, round(ttr, 6) AS root_ttr, round(flesch, 6) AS flesch, round({CLAMP.format(x='45 + (ttr - 4.5) * 16 + (word - 4.2) * 9')}, 4) AS vocabulary,
+round({CLAMP.format(x='CASE WHEN flesch >= 75 THEN 100 - (flesch - 75) * .8 WHEN flesch >= 50 THEN 100 ELSE greatest(0, 100 - (50 - flesch) * 1.3) END')}, 4) AS clarity, round({CLAMP.format(x='100 - 6 * density - 2 * greatest(0, sentence - 24)')}, 4) AS precision FROM d""")
 def writing_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """Counts, root type-token ratio and Flesch reading ease. Hedges count between single spaces, without overlap."""
-    sentences = F.size(F.filter(F.split("text", "[.!?]+"), lambda x: x.rlike(r"\S")))
-    t = table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", F.concat(F.lit(" "), F.lower(F.btrim("text", F.lit(" \t\n\r"))), F.lit(" ")).alias("p"), word_list(F.col("text")).alias("w"), F.greatest(sentences, F.lit(1)).cast("long").alias("n_sentences"))
-    hedges = sum((F.regexp_count("p", F.lit(f" {h} ")) for h in HEDGES), F.lit(0)).cast("long")
+    """Counts, root type-token ratio, Flesch reading ease, and the three scores made of them, of every text with a word.
+
+    Hedges count between single spaces, without overlap. Words are listed once; weak words and fillers are counted among
+    them, and only texts that hold a hedge at all are searched for it.
+    """
+    text = F.coalesce("text", F.lit(""))
+    sentences = F.size(F.filter(F.split(text, "[.!?]+"), lambda x: x.rlike(r"\S")))
+    t = table(spark, sf, "documents").select("doc_id", F.concat(F.lit(" "), F.lower(F.btrim(text, F.lit(" \t\n\r"))), F.lit(" ")).alias("p"), word_list(text).alias("w"), F.greatest(sentences, F.lit(1)).cast("long").alias("n_sentences"))
+    hedges = sum((F.when(F.contains("p", F.lit(f" {h} ")), F.regexp_count("p", F.lit(f" {h} "))).otherwise(0) for h in HEDGES), F.lit(0)).cast("long")
     among = lambda words: F.size(F.filter("w", lambda x: x.isin(*words))).cast("long")
-    m = t.select("doc_id", "n_sentences", F.size("w").cast("long").alias("n_words"), F.size(F.array_distinct("w")).alias("d"), F.aggregate("w", F.lit(0).cast("long"), lambda s, x: s + syllables(x)).alias("n_syllables"), hedges.alias("n_hedges"), among(WEAK).alias("n_weak"), among(FILLERS).alias("n_fillers"), F.regexp_count("p", F.lit(PASSIVE)).cast("long").alias("n_passive"))
-    flesch = 206.835 - 1.015 * F.col("n_words") / F.col("n_sentences") - 84.6 * F.col("n_syllables") / F.col("n_words")
-    return m.filter("n_words > 0").select("doc_id", "n_words", "n_sentences", "n_syllables", "n_hedges", "n_weak", "n_fillers", "n_passive", F.round(F.col("d") / F.sqrt("n_words"), 6).alias("root_ttr"), F.round(flesch, 6).alias("flesch"))
+    total = lambda f: F.aggregate("w", F.lit(0).cast("long"), lambda s, x: s + f(x))
+    m = t.select("doc_id", "n_sentences", F.size("w").cast("long").alias("n_words"), F.size(F.array_distinct("w")).alias("d"), total(F.length).alias("letters"), total(syllables).alias("n_syllables"), hedges.alias("n_hedges"), among(WEAK).alias("n_weak"), among(FILLERS).alias("n_fillers"), F.regexp_count("p", F.lit(PASSIVE)).cast("long").alias("n_passive"))
+    n = F.col("n_words")
+    m = m.filter("n_words > 0").withColumn("ttr", F.col("d") / F.sqrt(n)).withColumn("flesch", 206.835 - 1.015 * n / F.col("n_sentences") - 84.6 * F.col("n_syllables") / n)
+    clamp = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(100.0), x))
+    f, density = F.col("flesch"), (F.col("n_hedges") + F.col("n_weak") + F.col("n_fillers") + F.col("n_passive")) / n * 100
+    clarity = F.when(f >= 75, 100 - (f - 75) * 0.8).when(f >= 50, 100.0).otherwise(100 - (50 - f) * 1.3)
+    scores = {"vocabulary": 45 + (F.col("ttr") - 4.5) * 16 + (F.col("letters") / n - 4.2) * 9, "clarity": clarity, "precision": 100 - 6 * density - 2 * F.greatest(F.lit(0.0), n / F.col("n_sentences") - 24)}
+    return m.select("doc_id", "n_words", "n_sentences", "n_syllables", "n_hedges", "n_weak", "n_fillers", "n_passive", F.round("ttr", 6).alias("root_ttr"), F.round(f, 6).alias("flesch"), *(F.round(clamp(v), 4).alias(k) for k, v in scores.items()))
 
 
 def slug(s: Column, most: int = 100) -> Column:
@@ -92,10 +108,3 @@ def json_lookup(spark: SparkSession, sf: str) -> DataFrame:
 @query("math_repetition_bonus", "SELECT p_partkey, round(least(.2, .05 * log2(greatest(1, p_size))), 9) AS bonus FROM part")
 def repetition_bonus(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", F.round(F.least(F.lit(0.2), 0.05 * F.log2(F.greatest(F.lit(1), F.col("p_size")).cast("double"))), 9).alias("bonus"))
-
-
-@query("txt_word_timing", """WITH w AS (SELECT conv_id, turn, len(string_split(text, ' ')) AS n FROM conversations WHERE role = 'user') SELECT conv_id, turn, n, round(n / (n * .4 / 60), 6) AS wpm, CAST(ceil(n * .4 / 10) AS BIGINT) AS buckets FROM w""")
-def word_timing(spark: SparkSession, sf: str) -> DataFrame:
-    """Words a minute and ten-second buckets of turns at 0.4 s a word."""
-    n = F.size(F.split("text", " ", -1)).cast("long")
-    return table(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", n.alias("n"), F.round(n / (n * 0.4 / 60), 6).alias("wpm"), F.ceil(n * 0.4 / 10).alias("buckets"))
