@@ -113,24 +113,24 @@ def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     colours go: no component has two.
     """
     e = written(edges.filter("src <> dst").select("src", "dst"), "scc-edges")
-    alive = Round(nodes.select("id").distinct(), "scc", n=F.count(F.lit(1)))
-    done: list[DataFrame] = []
-    while alive.metrics["n"]:
+    alive, left, done = nodes.select("id").distinct(), 1, []
+    while left:
         inner = e.select(F.col("dst").alias("id")).intersect(e.select(F.col("src").alias("id")))
-        mark = alive.table.join(inner.withColumn("inner", F.lit(True)), "id", "left")
-        mark = Round(mark.select("id", F.col("inner").isNotNull().alias("inner")), "scc-trim", n=F.count_if("inner"))
-        done.append(mark.table.filter("not inner").select("id", F.col("id").alias("root")))
+        mark = alive.join(inner.withColumn("inner", F.lit(True)), "id", "left")
+        mark = Round(mark.select("id", F.col("inner").isNotNull().alias("inner")), "scc-trim", n=F.count_if("inner"), all=F.count(F.lit(1)))
+        if mark.metrics["all"]:
+            done.append(mark.table.filter("not inner").select("id", F.col("id").alias("root")))
         if not mark.metrics["n"]:
             break
-        left = mark.table.filter("inner").select("id", F.xxhash64("id").alias("label"))
-        c = written(spread(among(e, left), left).withColumnRenamed("label", "colour"), "scc-colours")
+        own = mark.table.filter("inner").select("id", F.xxhash64("id").alias("label"))
+        c = spread(among(e, own), own).withColumnRenamed("label", "colour")
         alike = e.join(c.toDF("src", "cs"), "src").join(c.toDF("dst", "cd"), "dst").filter("cs = cd").select("src", "dst")
         alike = written(alike, "scc-edges")
         back = walk(alike.select(F.col("dst").alias("src"), F.col("src").alias("dst")), c.filter(F.xxhash64("id") == F.col("colour")).select("id"))
-        seen = Round(c.join(back.withColumn("hit", F.lit(True)), "id", "left").select("id", "colour", F.col("hit").isNotNull().alias("hit")), "scc", n=F.count_if("hit"))
+        seen = Round(c.join(back.withColumn("hit", F.lit(True)), "id", "left").select("id", "colour", F.col("hit").isNotNull().alias("hit")), "scc", left=F.count_if(~F.col("hit")))
         done.append(seen.table.filter("hit").select("id", F.col("colour").alias("root")))
-        alive = Round(seen.table.filter("not hit").select("id"), "scc", n=F.count(F.lit(1)))
-        e = written(among(alike, alive.table), "scc-edges")
+        alive, left = seen.table.filter("not hit").select("id"), seen.metrics["left"]
+        e = among(alike, alive)
     if not done:
         return nodes.select("id", F.col("id").alias("scc_id"), F.lit(0).cast("long").alias("scc_size")).limit(0)
     all_ = done[0].withColumn("round", F.lit(0))
@@ -221,6 +221,18 @@ def whole_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Dat
     return ordered_edges(spark, sf), f.select("id"), f.filter("is_entry").select("id")
 
 
+_stored: dict[tuple[str, str], DataFrame] = {}
+
+
+def stored_components(spark: SparkSession, sf: str) -> DataFrame:
+    """The components of the whole graph, found once in a session and kept for all queries that ask for them."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _stored:
+        e, n, _ = whole_graph(spark, sf)
+        _stored[key] = written(strong_components(e, n), "components")
+    return _stored[key]
+
+
 @query("gr_scc", f"WITH RECURSIVE {SCC_SQL} SELECT id, scc_id, count(*) OVER (PARTITION BY scc_id) AS scc_size FROM scc")
 def scc_query(spark: SparkSession, sf: str) -> DataFrame:
     e, n, _ = whole_graph(spark, sf)
@@ -229,19 +241,18 @@ def scc_query(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("gr_condensation", f"WITH RECURSIVE {CONDENSED_SQL} SELECT src, dst FROM ce")
 def condensation(spark: SparkSession, sf: str) -> DataFrame:
-    e, n, _ = whole_graph(spark, sf)
-    return condensed(e, strong_components(e, n))
+    return condensed(whole_graph(spark, sf)[0], stored_components(spark, sf))
 
 
 @query("gr_layers", f"WITH RECURSIVE {LAYER_SQL} SELECT scc.id, CAST(hop AS INTEGER) AS layer FROM scc LEFT JOIN bfs ON bfs.id = scc_id")
 def layers_query(spark: SparkSession, sf: str) -> DataFrame:
-    return layers(*whole_graph(spark, sf))
+    return layers(*whole_graph(spark, sf), stored_components(spark, sf))
 
 
 @query("gr_reachability", f"WITH RECURSIVE {LAYER_SQL} SELECT scc.id, CASE WHEN (SELECT count(*) FROM part WHERE p_size = 1) > 0 THEN hop IS NOT NULL END AS reachable FROM scc LEFT JOIN bfs ON bfs.id = scc_id")
 def reachability(spark: SparkSession, sf: str) -> DataFrame:
     e, n, entries = whole_graph(spark, sf)
-    return reachable(layers(e, n, entries), entries)
+    return reachable(layers(e, n, entries, stored_components(spark, sf)), entries)
 
 
 @query("gr_structure_summary", f"""WITH RECURSIVE {LAYER_SQL}, z AS (SELECT scc_id, count(*) AS n FROM scc GROUP BY 1)
@@ -249,7 +260,7 @@ SELECT (SELECT count(*) FROM z) AS sccs, (SELECT count(*) FROM z WHERE n > 1) AS
 def structure_summary(spark: SparkSession, sf: str) -> DataFrame:
     """What is kept of a run: components, cycles, files in cycles, the largest, and files that no entry reaches."""
     e, n, entries = whole_graph(spark, sf)
-    c = written(strong_components(e, n), "components")
+    c = stored_components(spark, sf)
     z = c.groupBy("scc_id").agg(F.count(F.lit(1)).alias("n"))
     counts = z.agg(F.count(F.lit(1)).alias("sccs"), F.count_if(F.col("n") > 1).alias("cycles"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("in_cycles"), F.max("n").alias("largest"))
     lost = layers(e, n, entries, c).agg(F.count_if(F.col("layer").isNull()).alias("unreachable"))

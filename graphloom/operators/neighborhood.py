@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.operators.graph import degrees, layers, strong_components, whole_graph
+from graphloom.operators.graph import degrees, layers, stored_components, whole_graph
 from graphloom.operators.graph import LAYER_SQL as GRAPH_LAYER_SQL
 from graphloom.plans.projections import FILES_SQL, G1_SQL, G2_SQL, dense_edges, files, ordered_edges
 from graphloom.plans.rounds import Round, ordinal, written
@@ -186,7 +186,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY is_entry ORDER BY score DESC, pa
 def reading_order(spark: SparkSession, sf: str, top: int = 50) -> DataFrame:
     """The list to read: entries always, others by score for the places left; by layer and score, unreachable ones last."""
     e, n, entries = whole_graph(spark, sf)
-    s = degrees(e, n).select("id", F.col("fan_in").alias("score")).join(layers(e, n, entries), "id").join(files(spark, sf).select("id", "path", "is_entry"), "id")
+    s = degrees(e, n).select("id", F.col("fan_in").alias("score")).join(layers(e, n, entries, stored_components(spark, sf)), "id").join(files(spark, sf).select("id", "path", "is_entry"), "id")
     s = written(s, "scored")
     exempt = s.filter("is_entry")
     others = s.filter("not is_entry").orderBy(F.desc("score"), "path").limit(max(top - exempt.count(), 0))
@@ -233,22 +233,21 @@ def context_graph(spark: SparkSession, sf: str) -> DataFrame:
 SELECT scc_id AS node, count(*) AS files, CAST(sum(nloc) AS BIGINT) AS nloc, bool_or(is_entry) AS is_entry, (SELECT arg_min(cluster, (-n.n, cluster)) FROM n WHERE n.scc_id = scc.scc_id) AS cluster FROM scc JOIN files USING (id) GROUP BY scc_id""")
 def render_nodes(spark: SparkSession, sf: str) -> DataFrame:
     """Each circle of imports drawn as one node: sums, any entry, and the cluster that most of its files have."""
-    e, n, _ = whole_graph(spark, sf)
-    f = strong_components(e, n).join(files(spark, sf), "id")
+    f = stored_components(spark, sf).join(files(spark, sf), "id")
     c = f.groupBy("scc_id", "cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("nloc").alias("nloc"), F.bool_or("is_entry").alias("is_entry"))
     return c.groupBy(F.col("scc_id").alias("node")).agg(F.sum("n").alias("files"), F.sum("nloc").alias("nloc"), F.bool_or("is_entry").alias("is_entry"), F.min_by("cluster", F.struct((-F.col("n")).alias("n"), "cluster")).alias("cluster"))
 
 
 @query("misc_layer_histogram", f"WITH RECURSIVE {GRAPH_LAYER_SQL} SELECT CAST(hop AS INTEGER) AS layer, count(*) AS files FROM scc LEFT JOIN bfs ON bfs.id = scc_id GROUP BY 1")
 def layer_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return layers(*whole_graph(spark, sf)).groupBy("layer").agg(F.count(F.lit(1)).alias("files"))
+    return layers(*whole_graph(spark, sf), stored_components(spark, sf)).groupBy("layer").agg(F.count(F.lit(1)).alias("files"))
 
 
 @query("misc_layer_columns", f"WITH RECURSIVE {GRAPH_LAYER_SQL}, fi AS (SELECT dst, count(*) AS n FROM g2 GROUP BY 1) SELECT CAST(hop AS INTEGER) AS layer, list(scc.id ORDER BY coalesce(n, 0) DESC, scc.id)[1:20] AS members, count(*) AS total FROM scc LEFT JOIN bfs ON bfs.id = scc_id LEFT JOIN fi ON fi.dst = scc.id GROUP BY 1")
 def layer_columns(spark: SparkSession, sf: str, most: int = 20) -> DataFrame:
     """A column for each layer, unreachable files in one of their own: the best ranked members and how many there are."""
     e, n, entries = whole_graph(spark, sf)
-    j = layers(e, n, entries).join(degrees(e, n), "id")
+    j = layers(e, n, entries, stored_components(spark, sf)).join(degrees(e, n), "id")
     own = W.partitionBy("layer").orderBy(F.desc("fan_in"), "id")
     top = j.withColumn("k", F.row_number().over(own)).filter(F.col("k") <= most).groupBy("layer").agg(F.array_sort(F.collect_list(F.struct("k", "id"))).alias("m"))
     total = j.groupBy("layer").agg(F.count(F.lit(1)).alias("total"))

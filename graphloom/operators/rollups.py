@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.operators.graph import SCC_SQL, degrees, strong_components
+from graphloom.operators.graph import SCC_SQL, degrees, stored_components
 from graphloom.operators.rules import is_test_file, node_category
 from graphloom.plans.projections import FILE_HIST_SQL, FILES_SQL, WEIGHTED_SQL, file_history, files, ordered_edges, weighted_edges
 from graphloom.plans.rounds import Round, written
@@ -142,7 +142,7 @@ hi AS (SELECT files.id, path, nloc, nloc % 37 AS cyclomatic, z.n AS cycle_size,
 def health_inputs(spark: SparkSession, sf: str) -> DataFrame:
     """A file's measures joined to its facts from the graph and from history."""
     e, f = ordered_edges(spark, sf), files(spark, sf)
-    c = strong_components(e, f.select("id")).select("id", F.col("scc_size").alias("cycle_size"))
+    c = stored_components(spark, sf).select("id", F.col("scc_size").alias("cycle_size"))
     j = f.select("id", "path", "nloc", (F.col("nloc") % 37).alias("cyclomatic")).join(c, "id").join(degrees(e, f.select("id")), "id").join(file_history(spark, sf).drop("authors", "days"), "id")
     return written(j, "health-inputs")
 
@@ -209,7 +209,7 @@ def marker_rollup(spark: SparkSession, sf: str) -> DataFrame:
 def coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Which markers of the architecture axis fired at all. Cycles are counted by distinct sizes, not by components."""
     m = marked(spark, sf)
-    sizes = strong_components(ordered_edges(spark, sf), files(spark, sf).select("id")).filter("scc_size > 1").agg(F.countDistinct("scc_size").alias("file_level_cycles"))
+    sizes = stored_components(spark, sf).filter("scc_size > 1").agg(F.countDistinct("scc_size").alias("file_level_cycles"))
     most = m.agg(F.max("cycle").alias("cycle"), F.max("hub").alias("hub"))
     some = lambda test: F.array_sort(F.array_compact(F.array(*(F.when(test(F.col(k)), F.lit(k)) for k in ("cycle", "hub")))))
     return sizes.crossJoin(most).select("file_level_cycles", some(lambda c: c > 0).alias("active"), some(lambda c: c == 0).alias("inactive"))  # one row each

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.plans.projections import PATH_SQL, paths
+from graphloom.plans.projections import FILES_SQL, PATH_SQL, files, paths
 from graphloom.registry import query
 from graphloom.session import table
 
@@ -17,7 +17,7 @@ SUFFIXES = ("ations", "ation", "ments", "ment", "ings", "ing", "ions", "ion", "e
 LANGUAGES = {"py": "python", "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "javascript"}
 TEST_FOLDERS = ("test", "tests", "__tests__", "__mocks__", "spec", "specs")
 TEST_NAME = r"^test[_.\-]|[_.\-]tests?[_.\-]|[_.\-]tests?\.|\.spec\.|^conftest\.py$"
-PRIORS = {"source": 1.0, "barrel": 0.4, "config": 0.2, "migration": 0.15, "generated": 0.05}
+PRIORS = {"entry": 1.4, "source": 1.0, "barrel": 0.4, "config": 0.2, "migration": 0.15, "generated": 0.05}
 PASS = 70
 LAST_INTERVAL = 4
 
@@ -40,14 +40,6 @@ def stems(spark: SparkSession, sf: str) -> DataFrame:
     return w.select("w", stem(F.col("w")).alias("stem"))
 
 
-FILE_SQL = "f AS (SELECT p_partkey, ['src/a.py', 'tests/a.ts', 'src/web.config.js', 'lib/x_pb2.py', 'db/alembic/versions/1.py', 'pkg/__init__.py', 'src/latest_thing.tsx', 'src/x.test.jsx', 'README'][p_partkey % 9 + 1] AS path FROM part)"
-FILE_NAMES = ("src/a.py", "tests/a.ts", "src/web.config.js", "lib/x_pb2.py", "db/alembic/versions/1.py", "pkg/__init__.py", "src/latest_thing.tsx", "src/x.test.jsx", "README")
-
-
-def files(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select("p_partkey", F.get(F.array(*map(F.lit, FILE_NAMES)), (F.col("p_partkey") % len(FILE_NAMES)).cast("int")).alias("path"))
-
-
 def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
@@ -69,20 +61,24 @@ def node_category(path: Column) -> Column:
     return F.when(name.rlike(r"\.config\.") | name.isin("alembic.ini", "setup.py"), "config").when(F.contains(path, F.lit("alembic/versions/")), "migration").when(F.endswith(name, F.lit("_pb2.py")) | name.isin("package-lock.json", "yarn.lock", "poetry.lock"), "generated").when(name.rlike(r"^(__init__\.py|index\.[jt]sx?)$"), "barrel").otherwise("source")
 
 
-@query("src_language", f"WITH {FILE_SQL} SELECT p_partkey, CASE WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.ts' THEN 'typescript' WHEN path LIKE '%.tsx' THEN 'tsx' WHEN path LIKE '%.js' OR path LIKE '%.jsx' THEN 'javascript' END AS language FROM f")
+@query("src_language", f"WITH {FILES_SQL} SELECT id, CASE regexp_extract(path, '\\.([a-z]+)$', 1) WHEN 'py' THEN 'python' WHEN 'ts' THEN 'typescript' WHEN 'tsx' THEN 'tsx' WHEN 'js' THEN 'javascript' WHEN 'jsx' THEN 'javascript' END AS language FROM files")
 def languages(spark: SparkSession, sf: str) -> DataFrame:
-    return files(spark, sf).select("p_partkey", language(F.col("path")).alias("language"))
+    return files(spark, sf).select("id", language(F.col("path")).alias("language"))
 
 
-@query("flt_test_file", f"WITH {FILE_SQL} SELECT p_partkey, path LIKE 'tests/%' OR path LIKE '%.test.%' AS is_test FROM f")
+@query("flt_test_file", f"WITH {FILES_SQL}, n AS (SELECT id, CASE id % 4 WHEN 0 THEN 'tests/' || path WHEN 1 THEN replace(path, 'part', 'latest_part') WHEN 2 THEN replace(path, '.ts', '.spec.ts') ELSE path END AS path FROM files) SELECT id, starts_with(path, 'tests/') OR regexp_matches(path, '/test_[^/]*$') OR contains(path, '.spec.') AS is_test FROM n")
 def test_files(spark: SparkSession, sf: str) -> DataFrame:
-    return files(spark, sf).select("p_partkey", is_test_file(F.col("path")).alias("is_test"))
+    k, p = F.col("id") % 4, F.col("path")
+    path = F.when(k == 0, F.concat(F.lit("tests/"), p)).when(k == 1, F.replace(p, F.lit("part"), F.lit("latest_part"))).when(k == 2, F.replace(p, F.lit(".ts"), F.lit(".spec.ts"))).otherwise(p)
+    return files(spark, sf).select("id", is_test_file(path).alias("is_test"))
 
 
-@query("gr_node_prior", f"WITH {FILE_SQL}, c AS (SELECT p_partkey, CASE WHEN path LIKE '%.config.%' THEN 'config' WHEN path LIKE '%alembic/versions/%' THEN 'migration' WHEN path LIKE '%\\_pb2.py' ESCAPE '\\' THEN 'generated' WHEN path LIKE '%/\\_\\_init\\_\\_.py' ESCAPE '\\' THEN 'barrel' ELSE 'source' END AS category FROM f) SELECT p_partkey, category, CAST(CASE category WHEN 'config' THEN .2 WHEN 'migration' THEN .15 WHEN 'generated' THEN .05 WHEN 'barrel' THEN .4 ELSE 1 END AS DOUBLE) AS prior FROM c")
+@query("gr_node_prior", f"WITH {FILES_SQL}, c AS (SELECT id, is_entry, CASE WHEN contains(path, '.config.') THEN 'config' WHEN contains(path, 'alembic/versions/') THEN 'migration' WHEN ends_with(path, '_pb2.py') THEN 'generated' WHEN ends_with(path, '/__init__.py') THEN 'barrel' WHEN is_entry THEN 'entry' ELSE 'source' END AS category FROM files) SELECT id, category, CAST(CASE category WHEN 'entry' THEN 1.4 WHEN 'config' THEN .2 WHEN 'migration' THEN .15 WHEN 'generated' THEN .05 WHEN 'barrel' THEN .4 ELSE 1 END AS DOUBLE) AS prior FROM c")
 def node_prior(spark: SparkSession, sf: str) -> DataFrame:
+    """A file's category and what it is worth before any ranking; a source file that is an entry is worth most."""
     known = F.create_map(*(F.lit(x) for kv in PRIORS.items() for x in kv))
-    return files(spark, sf).select("p_partkey", node_category(F.col("path")).alias("category")).withColumn("prior", known[F.col("category")])
+    own = node_category(F.col("path"))
+    return files(spark, sf).select("id", F.when((own == "source") & F.col("is_entry"), "entry").otherwise(own).alias("category")).withColumn("prior", known[F.col("category")])
 
 
 @query("str_parent_directory", f"WITH {PATH_SQL} SELECT path, regexp_replace(path, '/[^/]*$', '') AS parent, split_part(path, '/', 2) AS second FROM paths")

@@ -245,3 +245,39 @@ def fragments(spark: SparkSession, sf: str) -> DataFrame:
     general = F.array(F.lit("data"), F.lit("pipelines"))
     m = mentions(postings(spark, sf)).select("canonical").distinct()
     return m.select("canonical", (F.forall(F.split("canonical", " "), lambda t: F.array_contains(general, t)) | (F.length("canonical") < 3)).alias("fragment"))
+
+
+@query("txt_span_check", "WITH s AS (SELECT item_id, text, CASE item_id % 4 WHEN 0 THEN substr(text, 3, 40) WHEN 1 THEN replace(substr(text, 3, 40), ' ', '  ') WHEN 2 THEN split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 3) || ' ' || split_part(text, ' ', 4) ELSE 'nothing of the kind' END AS span FROM benchmark) SELECT item_id, CASE WHEN contains(text, span) THEN 'exact' WHEN contains(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(span, '\\s+', ' ', 'g')))) THEN 'spaced' WHEN item_id % 4 = 2 THEN 'paraphrase' ELSE 'unverified' END AS verdict FROM s")
+def span_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether what is quoted stands in a text: as it is, once cased and spaced alike, its words in their order, or not at all."""
+    from graphloom.functions.text import contains_in_order, graded_form
+
+    words, k = F.split("text", " "), F.col("item_id") % 4
+    quoted = F.when(k == 0, F.substring("text", 3, 40)).when(k == 1, F.replace(F.substring("text", 3, 40), F.lit(" "), F.lit("  "))).when(k == 2, F.concat_ws(" ", F.get(words, 0), F.get(words, 2), F.get(words, 3))).otherwise("nothing of the kind")
+    b = table(spark, sf, "benchmark").select("item_id", "text", quoted.alias("span"))
+    in_order = contains_in_order(F.split(graded_form(F.col("text")), " "), F.split(graded_form(F.col("span")), " "))
+    v = F.when(F.contains("text", F.col("span")), "exact").when(F.contains(graded_form(F.col("text")), graded_form(F.col("span"))), "spaced").when(in_order, "paraphrase").otherwise("unverified")
+    return b.select("item_id", v.alias("verdict"))
+
+
+@query("er_containment", "WITH n AS (SELECT DISTINCT lower(p_name) AS name FROM part UNION SELECT split_part(lower(p_name), ' ', 2) FROM part), p AS (SELECT s.name, l.name AS keeper, row_number() OVER (PARTITION BY s.name ORDER BY length(l.name) DESC, l.name) AS k FROM n s JOIN n l ON NOT contains(s.name, ' ') AND length(s.name) >= 5 AND split_part(l.name, ' ', 2) = s.name) SELECT name, keeper FROM p WHERE k = 1")
+def containment(spark: SparkSession, sf: str) -> DataFrame:
+    """Names that a longer one holds as whole words in their order, five characters at least: the longest such keeps them.
+
+    A shorter name meets longer ones by its first word.
+    """
+    from graphloom.functions.text import contains_in_order
+
+    p = table(spark, sf, "part").select(F.lower("p_name").alias("name"))
+    n = p.union(p.select(F.get(F.split("name", " "), 1))).distinct().withColumn("words", F.split("name", " "))
+    short = n.filter(F.length("name") >= 5).select("name", "words", F.get("words", 0).alias("word"))
+    long = n.select(F.col("name").alias("keeper"), F.col("words").alias("all"), F.explode(F.array_distinct("words")).alias("word"))
+    j = short.join(long, "word").filter(contains_in_order(F.col("all"), F.col("words")))
+    return j.groupBy("name").agg(F.min_by("keeper", F.struct((-F.length("keeper")).alias("n"), "keeper")).alias("keeper"))
+
+
+@query("txt_shared_stem", "WITH w AS (SELECT p_partkey, list_transform(string_split(p_name, ' '), lambda x: left(x, 5)) AS a, left(lower(p_type), 5) AS b FROM part) SELECT p_partkey, list_contains(a, b) AS shared FROM w")
+def shared_stem(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether two names share the first five letters of a word's stem; names of these tables have no suffixes to cut."""
+    heads = F.transform(F.split("p_name", " "), lambda x: F.left(x, F.lit(5)))
+    return table(spark, sf, "part").select("p_partkey", F.arrays_overlap(heads, F.array(F.left(F.lower("p_type"), F.lit(5)))).alias("shared"))

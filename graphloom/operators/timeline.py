@@ -145,3 +145,50 @@ def buckets(spark: SparkSession, sf: str) -> DataFrame:
 def elapsed(spark: SparkSession, sf: str) -> DataFrame:
     """Whole days of elapsed time, not calendar boundaries."""
     return table(spark, sf, "orders").select("o_orderkey", F.floor((F.unix_timestamp(F.lit(AS_OF).cast("timestamp")) - F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1e6) / 86400).alias("days"))
+
+
+def throttled(rows: DataFrame, key: str, micros: str, gap: int) -> DataFrame:
+    """The rows with ``passed``: the first of a key, each that is ``gap`` after the last one passed, and the key's last.
+
+    Which rows pass depends on those before, so a key's rows stream by in order; a task holds one row.
+    """
+    kept = [c for c in rows.columns]
+    own = W.partitionBy(key).orderBy(micros)
+    marked = rows.withColumn("passed", F.lead(micros).over(own).isNull())
+    at, by, last = kept.index(micros), kept.index(key), len(kept)
+
+    def run(batches):
+        import pyarrow as pa
+
+        before, since = None, None
+        for batch in batches:
+            keys, times = batch.column(by).to_pylist(), batch.column(at).to_pylist()
+            passed = batch.column(last).to_pylist()
+            for i, (k, t) in enumerate(zip(keys, times, strict=True)):
+                if since is None or k != before or t - since >= gap:
+                    passed[i], since = True, t
+                before = k
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(passed, pa.bool_())], [*kept, "passed"])
+
+    return marked.repartition(key).sortWithinPartitions(key, micros).mapInArrow(run, marked.schema)
+
+
+@query("stm_throttled_progress", """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+r AS (SELECT user_id, event_id, k, n, t AS since, true AS passed FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.event_id, e.k, e.n, CASE WHEN e.t - r.since >= 21600000000 THEN e.t ELSE r.since END, e.t - r.since >= 21600000000 FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT user_id, count(*) FILTER (passed OR k = n) AS emitted, count(*) AS total FROM r GROUP BY 1""")
+def throttled_progress(spark: SparkSession, sf: str, gap: int = 21_600_000_000) -> DataFrame:
+    """How many of a job's reports go out when they may come no closer than six hours; the last always does."""
+    e = table(spark, sf, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    return throttled(e, "user_id", "t", gap).groupBy("user_id").agg(F.count_if("passed").alias("emitted"), F.count(F.lit(1)).alias("total"))
+
+
+@query("stm_one_in_flight", """WITH RECURSIVE e AS (SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS job, epoch_us(ts) AS t, row_number() OVER (PARTITION BY json_extract(props, '$.k') ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT job, k, t AS since, true AS started FROM e WHERE k = 1 UNION ALL SELECT e.job, e.k, CASE WHEN e.t - r.since >= 3600000000 THEN e.t ELSE r.since END, e.t - r.since >= 3600000000 FROM r JOIN e ON e.job = r.job AND e.k = r.k + 1)
+SELECT job, count(*) FILTER (started) AS started, count(*) FILTER (NOT started) AS refused FROM r GROUP BY 1""")
+def one_in_flight(spark: SparkSession, sf: str, runs: int = 3_600_000_000) -> DataFrame:
+    """Jobs that take an hour each: a request while one of its key runs is refused."""
+    e = table(spark, sf, "events").select(F.get_json_object("props", "$.k").cast("long").alias("job"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.lit(False).alias("done"))
+    # The last row always passes in throttled(), so whether it would have passed by itself is told by a row after it.
+    ends = e.groupBy("job").agg((F.max("t") + 1).alias("t")).withColumn("done", F.lit(True))
+    t = throttled(e.unionByName(ends), "job", "t", runs).filter("not done")
+    return t.groupBy("job").agg(F.count_if("passed").alias("started"), F.count_if(~F.col("passed")).alias("refused"))

@@ -108,3 +108,51 @@ def test_ranks_over_ranges(spark):
     present = [v for v in values if v is not None]
     expected = {i: None if v is None else sum(x > v for x in present) + (present.count(v) + 1) / 2 for i, v in enumerate(values)}
     assert {r.id: r.rank for r in fractional(d, "v", "rank").collect()} == expected
+
+
+def test_greedy_matching_takes_the_largest_overlap_first(spark):
+    from graphloom.operators.modules import matched
+
+    old = spark.createDataFrame([(i, "a") for i in range(5)] + [(i, "b") for i in range(5, 8)], "id long, old string")
+    new = spark.createDataFrame([(i, "x") for i in (0, 1, 2, 5, 6, 7)] + [(3, "y"), (4, "y")], "id long, new string")
+    assert {tuple(r) for r in matched(old, new).collect()} == {("b", "x", 1.0)}
+    assert {tuple(r) for r in matched(old, new, 0.4).collect()} == {("b", "x", 1.0), ("a", "y", 0.4)}
+
+
+def test_entries_come_from_configurations_first(spark):
+    from graphloom.operators.modules import entry_points
+
+    configs = spark.createDataFrame([("Dockerfile", "FROM x\nCMD [\"uvicorn\", \"app.main:app\"]\n"), ("web/package.json", '{"main": "./src/index.js"}'), ("Procfile", "web: python serve.py")], "path string, content string")
+    sources = spark.createDataFrame([(p, "if __name__ == '__main__':\n") for p in ("app/main.py", "web/src/index.js", "serve.py", "other.py")], "path string, content string")
+    assert sorted(tuple(r) for r in entry_points(configs, sources).collect()) == [("app/main.py", "config"), ("serve.py", "config"), ("web/src/index.js", "config")]
+    assert {r.source for r in entry_points(configs.limit(0), sources).collect()} == {"pattern"}
+
+
+def test_throttling_against_a_loop(spark):
+    from graphloom.operators.timeline import throttled
+
+    rng = random.Random(6)
+    rows = [(k, rng.randrange(1000)) for k in (1, 2, 3) for _ in range(60)] + [(9, 5)]
+    expected, since = [], {}
+    rows = sorted(set(rows))
+    for i, (k, t) in enumerate(rows):
+        last = i + 1 == len(rows) or rows[i + 1][0] != k
+        ok = k not in since or t - since[k] >= 50
+        if ok:
+            since[k] = t
+        if ok or last:
+            expected.append((k, t))
+    got = throttled(spark.createDataFrame(rows, "k long, t long"), "k", "t", 50)
+    assert sorted((r.k, r.t) for r in got.filter("passed").collect()) == expected
+
+
+def test_scorers_by_name(spark):
+    from graphloom.plans import extensions
+    from tests.conftest import SF
+
+    with pytest.raises(ValueError):
+        extensions.scores(spark, SF, "none")
+    got = extensions.comparison(spark, SF).collect()
+    assert len(got) == 3 and all(0 <= r.overlap <= 20 and -1 <= r.tau <= 1 for r in got)
+    extensions.register_sql_functions(spark)
+    assert spark.sql("SELECT python_nloc('x = 1\\n\\n# c\\n'), python_complexity('def f(:')").first()[:] == (1, None)
