@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import chat, exact_dedup, minhash, mixing, packing, quality, repeats, secrets, token_files, warc
+from graphloom.llm import chat, exact_dedup, minhash, mixing, oracles, packing, quality, repeats, secrets, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_revisits": warc.op1,
@@ -21,4 +21,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": exact_dedup.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_warc_revisits": warc.OP1_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc_revisits": warc.OP1_SQL,
+    "op2_chat_format": oracles.OP2_SQL,
+    "op3_secret_ownership": oracles.OP3_SQL,
+    "op4_circulant_minhash": oracles.OP4_SQL,
+    "op7_line_quality": oracles.OP7_SQL,
+    "op8_suffix_dedup": oracles.OP8_SQL,
+    "op10_exact_dedup": exact_dedup.OP10_SQL,
+}

@@ -175,7 +175,7 @@ def test_empty_tables(empty):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df, r = QUERIES[name](spark, SF), con.sql(ORACLE_SQL[name])
     at = [r.columns.index(c) for c in df.columns]
