@@ -26,15 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize, same, whole_text
+from graphloom.llm.common import discard, materialize, same, whole_text
 from graphloom.llm.shingles import U, chunks, mix, text_buffers
 from graphloom.llm.suffix_array import suffix_arrays
 
 LENGTH = 200
 PIECE = 64  # a power of two
 MOST_SORTED = 16  # distinct surroundings of a key; keys with more are split
+LONG_KEY = 4  # surroundings from which keys are sorted apart from shorter ones: a batch takes as many rounds as its longest key
 BLOCKS = (16, 1)  # windows under one key, after the first and the second split
 SORTED_BYTES = 1 << 20  # surroundings whose suffixes are sorted at once, in whole keys
+ROWS = 512  # rows that are cut or split at once, so that a batch never stands in memory several times over
 
 _BYTES = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
 
@@ -94,7 +96,7 @@ def anchors(docs: DataFrame) -> DataFrame:
         for batch in batches:
             unit = batch.column("unit")
             data, offsets = text_buffers(batch.column("text"))
-            for i, j in chunks(offsets):
+            for i, j in chunks(offsets, 1 << 19):
                 own = offsets[i : j + 1]
                 doc, p, before, after, key, sig = anchors_of(data[own[0] : own[-1]], own - own[0])
                 yield pa.RecordBatch.from_arrays([
@@ -109,14 +111,15 @@ SURROUNDING = "key long, sig binary, n long, split boolean, before short, after
 
 def cut_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes around the wanted anchors of each text."""
-    for batch in batches:
+    for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
         data, offsets = text_buffers(batch.column("text"))
         wanted = batch.column("wanted")
         w = wanted.flatten()
         text = offsets[:-1][np.repeat(np.arange(len(wanted)), wanted.value_lengths().to_numpy(zero_copy_only=False))]
         p, before, after = (w.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("p", "before", "after"))
-        start, raw = text + p - before, data.tobytes()
-        own = [raw[a:b] for a, b in zip(start.tolist(), (text + p + after + LENGTH).tolist(), strict=True)]
+        low = int(offsets[0])
+        raw = data[low : offsets[-1]].tobytes()
+        own = [raw[a:b] for a, b in zip((text + p - before - low).tolist(), (text + p + after + LENGTH - low).tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([*(w.field(c) for c in ("key", "sig", "n", "split", "before", "after")), pa.array(own, pa.binary())], ["key", "sig", "n", "split", "before", "after", "bytes"])
 
 
@@ -129,7 +132,7 @@ def split_surroundings(batches: Iterator[pa.RecordBatch], width: int) -> Iterato
     A part's key is the digest of its old key, its place and the bytes that all of its windows share; windows that are
     equal lie at one place, so their parts' keys are equal.
     """
-    for batch in batches:
+    for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
         out: list[tuple] = []
         for r in batch.to_pylist():
             raw, before, windows = r["bytes"], r["before"], r["before"] + r["after"] + 1
@@ -180,11 +183,11 @@ def repeated_windows(raw: bytes, lengths: np.ndarray, windows: np.ndarray, copie
 def sort_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key and sig: runs of repeated windows of each surrounding that has any, by place from the anchor."""
     columns = ("key", "sig", "n", "before", "after", "bytes")
-    held: list[list] = [[] for _ in columns]
-    size = 0
+    waiting: list[list[tuple]] = [[], []]  # rows of short and of long keys
+    size = [0, 0]
 
-    def out() -> pa.RecordBatch:
-        key, sig, n, before, after, own = held
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        key, sig, n, before, after, own = zip(*rows, strict=True) if rows else [()] * 6
         if not key:
             return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.list_(RUNS))], ["key", "sig", "runs"])
         lengths = np.array([len(x) + 1 for x in own])
@@ -200,19 +203,21 @@ def sort_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), runs)
         return pa.RecordBatch.from_arrays([pa.array([key[k] for k in who], pa.int64()), pa.array([sig[k] for k in who], pa.binary()), lists], ["key", "sig", "runs"])
 
-    last = (None, None)
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
-            if row[:2] == last:  # cut again from a repeated row
-                continue
-            if row[0] != last[0] and size >= SORTED_BYTES:
-                yield out()
-                held, size = [[] for _ in columns], 0
-            last = row[:2]
-            size += len(row[5])
-            for into, x in zip(held, row, strict=True):
-                into.append(x)
-    yield out()
+    own: list[tuple] = []
+    for row in (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in columns), strict=True)):
+        if own and row[0] != own[-1][0]:
+            k = len(own) >= LONG_KEY
+            waiting[k] += own
+            size[k] += sum(len(r[5]) for r in own)
+            own = []
+            if size[k] >= SORTED_BYTES:
+                yield out(waiting[k])
+                waiting[k], size[k] = [], 0
+        if not own or row[1] != own[-1][1]:  # else cut again from a repeated row
+            own.append(row)
+    waiting[len(own) >= LONG_KEY] += own
+    yield out(waiting[0])
+    yield out(waiting[1])
 
 
 def sorted_repeats(surroundings: DataFrame) -> DataFrame:
@@ -235,7 +240,8 @@ def split_repeats(surroundings: DataFrame, width: int, *narrower: int) -> DataFr
     found = sorted_repeats(own.filter("not split"))
     if narrower:
         found = found.unionByName(split_repeats(own.filter("split").select(*surroundings.columns), *narrower))
-    told = parts.select("own_key", "own_sig", "key", "sig").join(materialize(found, "found"), ["key", "sig"])
+    found = materialize(found, "found")
+    told = parts.select("own_key", "own_sig", "key", "sig").join(found, ["key", "sig"])
     return told.groupBy(F.col("own_key").alias("key"), F.col("own_sig").alias("sig")).agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
@@ -247,6 +253,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     a = materialize(anchors(docs), "anchors")
     shared = a.join(a.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "key", "left_semi")
     shared = materialize(shared, "shared")
+    discard(a)
     sigs = shared.groupBy("key", "sig").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("unit", "p", "before", "after")).alias("one"))
     sigs = materialize(sigs.select("key", "sig", "n", "one.*"), "sigs")
     size = sigs.groupBy("key").agg((F.count(F.lit(1)) > MOST_SORTED).alias("split"))
@@ -257,22 +264,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     cut = materialize(texts.mapInArrow(cut_surroundings, SURROUNDING), "surroundings")
     found = sorted_repeats(cut.filter("not split")).unionByName(split_repeats(cut.filter("split").dropDuplicates(["key", "sig"]), *BLOCKS))
     found = materialize(found, "found")
+    discard(cut, sigs)
 
     each = shared.select("key", "sig", "unit", "p").join(found, ["key", "sig"]).select("unit", "p", F.explode("runs").alias("run"))
     span = F.struct((F.col("p") + F.col("run.start")).alias("start"), (F.col("p") + F.col("run.end") - 1 + LENGTH).alias("end"))
     return each.groupBy("unit").agg(F.collect_set(span).alias("spans"))
 
 
-def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for s, e in sorted((x["start"], x["end"]) for x in spans or ()):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return out
-
-
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept: the bytes that stay of every text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -280,20 +278,24 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spans = repeated_spans(d)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, 8 * ROWS) for b in batches for k in range(0, b.num_rows, 8 * ROWS)):
             data, offsets = text_buffers(batch.column("text"))
-            n, removed, count, kept = [], [], [], []
-            for a, b, s in zip(offsets[:-1].tolist(), offsets[1:].tolist(), batch.column("spans").to_pylist(), strict=True):
-                raw, own, at, parts = data[a:b].tobytes(), merged(s), 0, []
-                for x, y in own:
-                    parts.append(raw[at:x])
-                    at = y
-                parts.append(raw[at:])
-                n.append(b - a)
-                removed.append(sum(y - x for x, y in own))
-                count.append(len(own))
-                kept.append(b"".join(parts))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+            spans, size = batch.column("spans"), np.diff(offsets)
+            count = spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            shift, each = np.repeat(offsets[:-1], count), spans.flatten()
+            start, end = (each.field(c).to_numpy(zero_copy_only=False) + shift for c in ("start", "end"))
+            depth = np.cumsum(np.bincount(start, minlength=len(data) + 1) - np.bincount(end, minlength=len(data) + 1))
+            gone = depth[:-1] > 0
+            # A run begins where its first byte goes and the byte before stays, or belongs to another text.
+            begins = gone & ~np.append(False, gone[:-1])
+            firsts = offsets[:-1][size > 0]
+            begins[firsts] = gone[firsts]
+            total = lambda flags: np.diff(np.append(0, np.cumsum(flags))[offsets])
+            removed = total(gone)
+            ends = np.append(0, np.cumsum(size - removed)).astype(np.int32)
+            kept = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data[~gone].tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(total(begins), pa.int64()), kept], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     j = d.join(spans, "unit", "left").select("doc_id", "text", "spans")
     return j.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")

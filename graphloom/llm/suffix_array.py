@@ -45,16 +45,17 @@ def suffix_arrays(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     begin = np.cumsum(lengths + 1) - lengths
     text = np.repeat(np.arange(len(lengths)), lengths)
     places = np.arange(len(symbols)) + text + 1
-    group, size, slot, member, pointer = (np.full(total, -1, np.int64) for _ in range(5))
+    group, size, slot, member, pointer = (np.full(total, -1, np.int32) for _ in range(5))
 
-    key = text * 512 + symbols
-    order = np.argsort(key, kind="stable")
-    first = firsts(key[order])
+    order = np.argsort(symbols.astype(np.uint16), kind="stable")
+    order = order[np.argsort(text[order].astype(np.uint16 if len(lengths) < 1 << 16 else np.int64), kind="stable")]
+    first = firsts(text[order], symbols[order])
     count = np.diff(np.append(first, len(order)))
     member[places] = places[order]
     slot[places[order]] = places
     group[places[order]] = np.repeat(places[first], count)
     size[places[first]] = count
+    del order
 
     moving = np.zeros(total, bool)
     top = begin + lengths
@@ -76,7 +77,7 @@ def suffix_arrays(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         if len(reached):
             first = firsts(reached)
             who, times = reached[first], np.diff(np.append(first, len(reached)))
-            by = np.argsort(group[who] * (total + 1) + times)
+            by = np.argsort(group[who].astype(np.int64) * (total + 1) + times)
             who, times = who[by], times[by]
             old = group[who]
             first = firsts(old)
@@ -101,8 +102,8 @@ def suffix_arrays(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         top[active] = low
         active = active[low > begin[active]]
 
-    free = np.arange(total)
-    out = np.zeros(total, np.int64)
+    free = np.arange(total, dtype=np.int32)
+    out = np.zeros(total, np.int32)
     placed = np.zeros(total, bool)
     placed[begin - 1] = True
 
