@@ -315,8 +315,8 @@ def top_k(spark: SparkSession, sf: str, k: int = 5) -> DataFrame:
     return j.withColumn("rn", F.row_number().over(own)).filter(F.col("rn") <= k).select("query_id", "vec_id", F.round("sim", 4).alias("sim"))
 
 
-@query("vec_thresholded_top", f"SELECT q.vec_id AS query_id, e.vec_id, round({COSINE_SQL}, 4) AS sim FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0 AND {COSINE_SQL} >= .5 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE_SQL} DESC, e.vec_id) = 1")
-def thresholded_top(spark: SparkSession, sf: str, least: float = 0.5) -> DataFrame:
+@query("vec_thresholded_top", f"SELECT q.vec_id AS query_id, e.vec_id, round({COSINE_SQL}, 4) AS sim FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0 AND {COSINE_SQL} >= .2 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE_SQL} DESC, e.vec_id) = 1")
+def thresholded_top(spark: SparkSession, sf: str, least: float = 0.2) -> DataFrame:
     """The nearest row of each query, if it is near enough."""
     e = unit_vectors(spark, sf)
     q = e.filter("vec_id % 100 = 0").toDF("query_id", "label", "qv")
