@@ -64,7 +64,7 @@ def git_origins(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("p_partkey", git_origin(F.get(F.array(*forms), (F.col("p_partkey") % 4).cast("int"))).alias("o")).select("p_partkey", "o.*")
 
 
-@query("str_plain_text", r"WITH a AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]+>', '', 'g'), '[*_`]+', '', 'g') AS t FROM pages), b AS (SELECT page_id, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '""'), '&#39;', ''''), '&amp;', '&') AS t FROM a), c AS (SELECT page_id, trim(regexp_replace(t, '[ \t\n\x0b\f\r]+', ' ', 'g')) AS t FROM b) SELECT page_id, CASE WHEN length(t) <= 400 THEN t ELSE rtrim(regexp_replace(left(t, 400), '[ \t\n\x0b\f\r]+[^ \t\n\x0b\f\r]*$', '')) || '…' END AS description FROM c".replace('""', '"'))
+@query("str_plain_text", r"WITH a AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]+>', '', 'g'), '[*_`]+', '', 'g') AS t FROM pages), b AS (SELECT page_id, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', ''''), '&amp;', '&') AS t FROM a), c AS (SELECT page_id, trim(regexp_replace(t, '[ \t\n\x0b\f\r]+', ' ', 'g')) AS t FROM b) SELECT page_id, CASE WHEN length(t) <= 400 THEN t ELSE rtrim(regexp_replace(left(t, 400), '[ \t\n\x0b\f\r]+[^ \t\n\x0b\f\r]*$', '')) || '…' END AS description FROM c")
 def plain_texts(spark: SparkSession, sf: str) -> DataFrame:
     """The words of a page's source, whole words of the first 400 characters."""
     return table(spark, sf, "pages").select("page_id", cut_at_word(plain_text(F.coalesce("html", F.lit("")))).alias("description"))
