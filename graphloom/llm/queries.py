@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import chat, exact_dedup, minhash, mixing, oracles, packing, quality, repeats, secrets, token_files, warc
+from graphloom.llm import chat, clustering, exact_dedup, minhash, mixing, oracles, packing, prefix_trie, quality, repeats, secrets, token_files, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_revisits": warc.op1,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": repeats.op8,
     "op9_slack_packing": packing.op9,
     "op10_exact_dedup": exact_dedup.op10,
+    "op11_centroid_clusters": clustering.op11,
+    "op12_prefix_trie": prefix_trie.op12,
+    "op13_url_filter": url_filter.op13,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -29,4 +32,7 @@ ORACLE_SQL: dict[str, str] = {
     "op7_line_quality": oracles.OP7_SQL,
     "op8_suffix_dedup": oracles.OP8_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
+    "op11_centroid_clusters": clustering.OP11_SQL,
+    "op12_prefix_trie": prefix_trie.OP12_SQL,
+    "op13_url_filter": url_filter.OP13_SQL,
 }
