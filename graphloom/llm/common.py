@@ -103,3 +103,17 @@ def rank_in_groups(df: DataFrame, keys: list[str], order: str, ties: list[str],
     own = W.partitionBy(*keys, "__b").orderBy(order, *ties)
     ranked = dealt.withColumn("__r", F.row_number().over(own) - 1)
     return ranked.alias("d").join(offsets.alias("c"), same("d", "c", [*keys, "__b"])).select("d.*", F.col("c.__o")).withColumn(out, F.col("__r") + F.col("__o")).drop("__r", "__b", "__o")
+
+
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], tag: str) -> DataFrame:
+    """Adds sums over the rows that come before, by name; no task has more than a range of the rows.
+
+    Rows are dealt by ranges of ``order``, which must tell all rows apart; a range's sum is one row for each task.
+    """
+    values = {f"__v{k}": c for k, c in enumerate(sums.values())}
+    dealt = df.select("*", *(c.alias(v) for v, c in values.items())).repartitionByRange(*order).withColumn("__b", F.spark_partition_id())
+    dealt = materialize(dealt, tag)
+    earlier = W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)  # as many rows as there were tasks
+    before = dealt.groupBy("__b").agg(*(F.sum(v).alias(v) for v in values)).select("__b", *(F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"{v}b") for v in values))
+    own = W.partitionBy("__b").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    return dealt.join(F.broadcast(before), "__b").select(*df.columns, *((F.col(f"{v}b") + F.coalesce(F.sum(v).over(own), F.lit(0))).alias(name) for name, v in zip(sums, values, strict=True)))

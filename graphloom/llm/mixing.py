@@ -2,12 +2,14 @@
 
 A source is read whole as often as its target allows; the rest of its budget is fitted by length: every length gives
 its share of documents, rounded down over all lengths, and a bounded knapsack over the counts left fits what then
-remains; where that misses the budget, the knapsack takes more, up to the whole budget. Which documents of a length
-go is decided by a seeded hash.
+remains; where that misses the budget, the knapsack takes more, up to the whole budget. Where one more copy of each
+document can't meet the rest, the knapsack has all copies that ``repeats`` allows, and then fewer whole passes below
+them. Copies of a length are dealt evenly over its documents; which get one more is decided by a seeded hash.
 
 A null text has size 0 and is taken 0 times for its words. A null source is a source of its own, last in order. Rows
-are interchangeable if id, source and text agree; each gets its own share. Other columns are ignored by the plan; an
-empty table gives an empty table.
+are interchangeable if id, source and text agree; each gets its own share. A very long text is one value in one row;
+its words are counted where it is read, and no text is shuffled. Other columns are ignored by the plan; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize, rank_in_groups, rows_of, same, whole_text, words_of
+from graphloom.llm.common import materialize, rank_in_groups, rows_of, running_sums, same, whole_text, words_of
 from graphloom.llm.packing import fullest
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -34,16 +36,13 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: i
     In order of size by weight the capped sources come first; at each place, what is left by weight left is the level
     that the rest would get, and the highest such level is where resharing ends.
     """
-    n = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    s = sources.withColumn("weight", F.get(F.array(*map(F.lit, weights)), F.pmod(n, F.lit(len(weights)))))
-    s = s.withColumn("cap", F.col("source_size") * float(repeats))
-    order = W.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = F.coalesce(F.sum("cap").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    ahead = F.sum("weight").over(order.rowsBetween(0, W.unboundedFollowing))
-    everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    s = s.withColumn("level", (F.sum("source_size").over(everything) - before) / ahead)
-    s = s.withColumn("target", F.least("cap", F.col("weight") * F.max("level").over(everything)))
-    return s.select("source", "source_size", "weight", "target")
+    s = running_sums(sources.withColumn("one", F.lit(1)), [F.col("source").asc_nulls_last()], {"n": F.col("one")}, "by-name")
+    s = s.withColumn("weight", F.get(F.array(*map(F.lit, weights)), F.pmod("n", F.lit(len(weights)))))
+    s = s.withColumn("cap", F.col("source_size") * float(repeats)).select("source", "source_size", "weight", "cap")
+    s = running_sums(s, [F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()], {"cap_before": F.col("cap"), "weight_before": F.col("weight")}, "by-cap")
+    whole = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight")).first()
+    level = s.agg(F.max((F.lit(whole.size) - F.col("cap_before")) / (F.lit(whole.weight) - F.col("weight_before")))).first()[0]
+    return s.select("source", "source_size", "weight", F.least("cap", F.col("weight") * F.lit(level or 0.0)).alias("target"))
 
 
 def completed(base: dict[int, int], counts: dict[int, int], budget: int) -> dict[int, int]:
@@ -88,11 +87,35 @@ def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
     return {x * unit: n for x, n in take.items()}
 
 
-def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:
-    size, target = int(rows["source_size"].iloc[0]), float(rows["target"].iloc[0])
-    times = int(target // size) if size else 0
-    take = fit(dict(zip(rows["size"].tolist(), rows["n"].tolist(), strict=True)), round(target - times * size))
-    return pd.DataFrame({"source": rows["source"], "size": rows["size"], "times": times, "more": [take.get(x, 0) for x in rows["size"].tolist()]})
+def copies(counts: dict[int, int], target: float, repeats: int = MOST_REPEATS) -> dict[int, int]:
+    """How many copies of documents of each length to take, up to ``repeats`` of each, to come near the target.
+
+    Whole passes over the source stay below what is fitted, as many as leave the budget a way to be met: first with one
+    more copy of each document at most, then with all that are allowed, then with a pass less.
+    """
+    counts = {x: n for x, n in counts.items() if x > 0 and n > 0}
+    size, budget = sum(x * n for x, n in counts.items()), round(target)
+    if not size:
+        return {}
+    passes = min(repeats, budget // size)
+    best: tuple[int, dict[int, int]] | None = None
+    for whole, most in dict.fromkeys([(passes, min(1, repeats - passes)), *((p, repeats - p) for p in range(passes, -1, -1))]):
+        rest = budget - whole * size
+        more = fit({x: n * most for x, n in counts.items()}, rest)
+        missing = rest - sum(x * n for x, n in more.items())
+        if best is None or missing < best[0]:
+            best = missing, {x: whole * n + more.get(x, 0) for x, n in counts.items()}
+        if not missing:
+            break
+    return best[1]
+
+
+def _fit_source(rows: pd.DataFrame, repeats: int) -> pd.DataFrame:
+    counts = dict(zip(rows["size"].tolist(), rows["n"].tolist(), strict=True))
+    take = copies(counts, float(rows["target"].iloc[0]), repeats)
+    size, n = rows["size"].tolist(), rows["n"].tolist()
+    taken = [take.get(x, 0) for x in size]
+    return pd.DataFrame({"source": rows["source"], "size": size, "times": [t // k for t, k in zip(taken, n, strict=True)], "more": [t % k for t, k in zip(taken, n, strict=True)]})
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = MOST_REPEATS, seed: int = SEED) -> DataFrame:
@@ -107,7 +130,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = MO
     sources = by_length.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     wanted = materialize(targets(sources, weights, repeats), "targets")
     known = by_length.alias("a").join(wanted.alias("b"), same("a", "b", ["source"])).select("a.*", "b.source_size", "b.target")
-    plan = known.groupBy("source").applyInPandas(_fit_source, "source string, size long, times long, more long")
+    plan = known.groupBy("source").applyInPandas(lambda rows: _fit_source(rows, repeats), "source string, size long, times long, more long")
     plan = materialize(plan, "plan")
     hashed = sized.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text_hash"))
     ranked = rank_in_groups(hashed, ["source", "size"], "h", ["doc_id", "text_hash"], "rank").drop("h")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from graphloom.llm.chat import CONTROL, TEMPLATE, escape, read_turns, unescape
-from graphloom.llm.mixing import fit
+from graphloom.llm.mixing import copies, fit
 from graphloom.llm.packing import fullest, plan_bins
 from graphloom.llm.repeats import LENGTH, repeated_windows
 from graphloom.llm.suffix_array import suffix_array, suffix_arrays
@@ -123,3 +123,17 @@ def test_fit_takes_single_documents_of_all_lengths():
     take = fit(dict.fromkeys(lengths, 1), sum(lengths) // 2)
     assert sum(x * n for x, n in take.items()) == sum(lengths) // 2
     assert 400 < sum(take[x] for x in range(1000, 2000)) < 600
+
+
+def test_copies_meet_what_up_to_three_of_each_document_can():
+    rng = random.Random(1)
+    for _ in range(300):
+        counts = {rng.randint(1, 40): rng.randint(1, 4) for _ in range(rng.randint(1, 6))}
+        target = rng.random() * 3 * sum(x * n for x, n in counts.items())
+        sums = {0}
+        for x, n in counts.items():
+            sums = {s + x * k for s in sums for k in range(3 * n + 1)}
+        take = copies(counts, target)
+        assert all(0 <= take[x] <= 3 * n for x, n in counts.items())
+        assert sum(x * k for x, k in take.items()) == max(s for s in sums if s <= round(target))
+    assert copies({}, 5.0) == {} and copies({0: 4}, 0.0) == {}
