@@ -4,13 +4,15 @@ Candidates of three kinds are found in every whole text; their hashes are counte
 and owners (sources). A value that many owners hold is a copied example; one that stays with one owner and looks
 random is live-looking, and the scan adds a span of kind ``live`` for it.
 
-A null text has no candidates. A null source is an owner of its own, a null doc_id a repository of its own. Repeated
+A text with very many matches costs time in proportion: places are summed up in blocks, and only (row, position, hash)
+is exploded to meet the verdicts. A null text has no candidates. A null source is an owner of its own, a null doc_id a repository of its own. Repeated
 rows count once as repository and get the same result each. Other columns are ignored; an empty table gives an empty
 table. Nothing is kept of a value in the counts but its SHA-256.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,12 +70,14 @@ def found(text: Column, pattern: str, kind: int) -> Column:
             moved = F.transform(block["spans"], lambda x: F.struct((x["start"] + a["at"]).alias("start"), x["kind"].alias("kind"), (x["end"] + a["at"]).alias("end"), x["value"].alias("value")))
             return F.struct((a["at"] + block["at"]).alias("at"), F.concat(a["all"], F.array(moved)).alias("all"))
 
-        return F.aggregate(blocks, start, step, lambda a: F.flatten(a["all"]))
+        return F.aggregate(blocks, start, step, lambda a: F.struct(a["at"].alias("at"), F.flatten(a["all"]).alias("spans")))
+
+    def in_blocks(rows: Column, one: Callable[[Column], Column]) -> Column:
+        return let(rows, lambda r: F.transform(F.sequence(F.lit(1), F.size(r), F.lit(BLOCK)), lambda k: one(F.slice(r, k, F.lit(BLOCK)))))
 
     def placed(m: Column, p: Column) -> Column:
         rows = F.zip_with(m, F.slice(p, F.lit(1), F.size(m)), lambda a, b: F.struct(b.alias("piece"), a.alias("match")))
-        blocks = let(rows, lambda r: F.transform(F.sequence(F.lit(1), F.size(r), F.lit(BLOCK)), lambda k: inside(F.slice(r, k, F.lit(BLOCK)))))
-        return across(blocks)
+        return across(in_blocks(in_blocks(rows, inside), across))["spans"]
 
     return F.when(text.rlike(pattern), let(matches, lambda m: let(pieces, lambda p: placed(m, p)))).otherwise(F.array().cast(SPANS))
 
@@ -99,9 +103,9 @@ def looks_live(value: Column, rules: Ownership) -> Column:
 
 
 def scan(docs: DataFrame, rules: Ownership = Ownership()) -> DataFrame:
-    """doc_id, source, found: every row with its base spans and the hash of each one's value; texts stay behind."""
+    """row (a number), doc_id, source, found: every row with its base spans and the hash of each one's value; texts stay behind."""
     mark = lambda x: x.withField("hash", F.sha2(x["value"], 256)).withField("random", looks_live(x["value"], rules)).dropFields("value")
-    return docs.select("doc_id", "source", F.transform(candidates(whole_text()), mark).alias("found"))
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", F.transform(candidates(whole_text()), mark).alias("found"))
 
 
 def ownership(scanned: DataFrame, rules: Ownership = Ownership()) -> DataFrame:
@@ -123,14 +127,13 @@ def secrets(docs: DataFrame, rules: Ownership = Ownership()) -> DataFrame:
     scanned = materialize(scan(docs, rules), "secrets")
     hit = scanned.filter(F.size("found") > 0)
     verdicts = ownership(hit, rules).filter("verdict <> 'unclear'")
-    rows = hit.select("doc_id", "source", "found").distinct().withColumn("x", F.explode("found"))
-    told = rows.withColumn("hash", F.col("x.hash")).join(verdicts, "hash")
-    live = F.when(F.col("verdict") == "live", F.col("x").withField("kind", F.lit(3)))
-    own = told.groupBy("doc_id", "source", "found").agg(F.collect_list(live).alias("live"), F.count_if(F.col("verdict") == "example").alias("n_example"), F.max("n_owners").alias("most_owners"))
-    key = lambda a: F.struct(*(F.col(f"{a}.{c}").alias(c) for c in ("doc_id", "source", "found")))
-    j = hit.alias("h").join(own.alias("o"), key("h").eqNullSafe(key("o")), "left").select("h.doc_id", "h.found", "o.live", "o.n_example", "o.most_owners")
+    places = hit.select("row", F.posexplode("found").alias("at", "x")).select("row", "at", F.col("x.hash").alias("hash"))
+    told = places.join(verdicts, "hash").select("row", F.when(F.col("verdict") == "live", F.col("at")).alias("live"), "verdict", "n_owners")
+    own = told.groupBy("row").agg(F.collect_list("live").alias("live"), F.count_if(F.col("verdict") == "example").alias("n_example"), F.max("n_owners").alias("most_owners"))
+    j = hit.join(own, "row", "left").select("doc_id", "found", "live", "n_example", "most_owners")
     j = j.unionByName(scanned.filter(F.size("found") == 0).select("doc_id", "found"), allowMissingColumns=True)
-    j = j.withColumn("live", F.coalesce("live", F.array().cast(j.schema["live"].dataType)))
+    live = F.transform(F.coalesce("live", F.array().cast("array<int>")), lambda k: F.get("found", k).withField("kind", F.lit(3)))
+    j = j.withColumn("live", live)
     n = lambda k: F.size(F.filter("found", lambda x: x["kind"] == k)).cast("long")
     return j.select(
         "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(joined(F.col("found")), 256).alias("base_sha256"),

@@ -154,3 +154,15 @@ def test_url_filter_of_nulls_repeats_and_clashing_names(spark):
     got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, host string")).collect()
     assert sorted((r.page_id or 0, r.verdict, r.rule or "") for r in got) == [(0, "block", ""), (1, "allow", ""), (2, "block", ""), (2, "block", ""), (3, "allow", ""), (4, "block", ""), (5, "block", ""), (6, "block", "net/"), (7, "allow", "example.net/en/")]
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_secrets_of_a_text_with_fifty_thousand_values(spark):
+    from graphloom.llm.secrets import secrets
+
+    names = [hashlib.md5(b"%d" % k).hexdigest() for k in range(50000)]
+    rows = [(1, " ".join(names), "a"), (1, " ".join(names), "a"), (2, "x", "b"), (None, names[0], None)]
+    got = secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    long = [r for r in got if r.doc_id == 1]
+    assert len(got) == 4 and all(r.n_hex == 50000 and r.n_live > 49000 for r in long) and long[0] == long[1]
+    spans = [tuple(map(int, s.split(":")[1:])) for s in long[0].spans.split(",") if s.startswith("hex")]
+    assert spans == [(33 * k, 33 * k + 32) for k in range(50000)]
