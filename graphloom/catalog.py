@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.operators import aggregates, cards, code, communities, graph, groups, health, learning, modules, neighborhood, ranking, rollups, rules, speech, strings, text, timeline
+from graphloom.operators import aggregates, cards, code, communities, graph, groups, health, learning, modules, neighborhood, ranking, rollups, rules, speech, strings, text, timeline, vectors
 from graphloom.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "cards", "code", "communities", "graph", "groups", "health", "learning", "modules", "neighborhood", "ranking", "rollups", "rules", "speech", "strings", "text", "timeline"]
+__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "cards", "code", "communities", "graph", "groups", "health", "learning", "modules", "neighborhood", "ranking", "rollups", "rules", "speech", "strings", "text", "timeline", "vectors"]

@@ -135,20 +135,6 @@ def greedy_match(spark: SparkSession, sf: str) -> DataFrame:
 TITLES_SQL = "t AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN ' ' || upper(p_name) || ' ' WHEN 2 THEN split_part(p_name, ' ', 2) ELSE 'no such thing' END AS title FROM part)"
 
 
-@query("join_cascade", f"WITH {TITLES_SQL}, n AS (SELECT p_name AS name, min(p_partkey) AS id FROM part GROUP BY 1), a AS (SELECT split_part(p_name, ' ', 2) AS alias, min(p_partkey) AS id FROM part GROUP BY 1) SELECT p_partkey, coalesce(n.id, m.id, a.id) AS found, CASE WHEN n.id IS NOT NULL THEN 'exact' WHEN m.id IS NOT NULL THEN 'normal' WHEN a.id IS NOT NULL THEN 'alias' END AS stage FROM t LEFT JOIN n ON n.name = title LEFT JOIN n m ON lower(m.name) = lower(trim(title)) LEFT JOIN a ON a.alias = lower(trim(title))")
-def cascade(spark: SparkSession, sf: str) -> DataFrame:
-    """A title by its exact name, else in normal form, else by alias: the first stage that finds one."""
-    p = table(spark, sf, "part")
-    k = F.col("p_partkey") % 4
-    title = F.when(k == 0, F.col("p_name")).when(k == 1, F.concat(F.lit(" "), F.upper("p_name"), F.lit(" "))).when(k == 2, F.get(F.split("p_name", " "), 1)).otherwise("no such thing")
-    t = p.select("p_partkey", title.alias("title"), F.lower(F.trim(title)).alias("normal"))
-    n = p.groupBy(F.col("p_name").alias("title")).agg(F.min("p_partkey").alias("a"))
-    m = n.select(F.lower("title").alias("normal"), F.col("a").alias("b"))
-    alias = p.groupBy(F.get(F.split("p_name", " "), 1).alias("normal")).agg(F.min("p_partkey").alias("c"))
-    j = t.join(n, "title", "left").join(m, "normal", "left").join(alias, "normal", "left")
-    return j.select("p_partkey", F.coalesce("a", "b", "c").alias("found"), F.when(F.col("a").isNotNull(), "exact").when(F.col("b").isNotNull(), "normal").when(F.col("c").isNotNull(), "alias").alias("stage"))
-
-
 @query("join_alias_list", f"WITH {TITLES_SQL}, x AS (SELECT p_partkey AS id, unnest([lower(p_name), split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)]) AS form FROM part), m AS (SELECT form, min(id) AS id FROM x GROUP BY 1) SELECT p_partkey, m.id AS found FROM t LEFT JOIN m ON form = lower(trim(title))")
 def alias_list(spark: SparkSession, sf: str) -> DataFrame:
     """A title against every name and alias of every map, the least id of those that answer."""

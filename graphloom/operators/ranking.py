@@ -289,37 +289,3 @@ def truthful_limit(spark: SparkSession, sf: str, cap: int = 25) -> DataFrame:
 @query("srt_page", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")
 def page(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey").orderBy("o_orderkey").offset(100).limit(50)
-
-
-COSINE_SQL = "list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))"
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def unit_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """vec_id, label, v with length 1."""
-    e = table(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    norm = F.sqrt(dot(F.col("v"), F.col("v")))
-    return e.withColumn("norm", norm).select("vec_id", "label", F.transform("v", lambda x: F.try_divide(x, F.col("norm"))).alias("v"))
-
-
-@query("vec_top_k", f"SELECT q.vec_id AS query_id, e.vec_id, round({COSINE_SQL}, 4) AS sim FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE_SQL} DESC, e.vec_id) <= 5")
-def top_k(spark: SparkSession, sf: str, k: int = 5) -> DataFrame:
-    """Filtered top-k by cosine: a stated set of queries against the rows of their label; each task sends on k rows a query."""
-    e = unit_vectors(spark, sf)
-    q = e.filter("vec_id % 100 = 0").toDF("query_id", "label", "qv")
-    j = e.join(q, "label").filter("vec_id <> query_id").select("query_id", "vec_id", dot(F.col("v"), F.col("qv")).alias("sim"))
-    own = W.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")
-    return j.withColumn("rn", F.row_number().over(own)).filter(F.col("rn") <= k).select("query_id", "vec_id", F.round("sim", 4).alias("sim"))
-
-
-@query("vec_thresholded_top", f"SELECT q.vec_id AS query_id, e.vec_id, round({COSINE_SQL}, 4) AS sim FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0 AND {COSINE_SQL} >= .2 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE_SQL} DESC, e.vec_id) = 1")
-def thresholded_top(spark: SparkSession, sf: str, least: float = 0.2) -> DataFrame:
-    """The nearest row of each query, if it is near enough."""
-    e = unit_vectors(spark, sf)
-    q = e.filter("vec_id % 100 = 0").toDF("query_id", "label", "qv")
-    j = e.join(q, "label").filter("vec_id <> query_id").select("query_id", "vec_id", dot(F.col("v"), F.col("qv")).alias("sim")).filter(F.col("sim") >= least)
-    best = F.max_by(F.struct("vec_id", "sim"), F.struct("sim", (-F.col("vec_id")).alias("o"))).alias("b")
-    return j.groupBy("query_id").agg(best).select("query_id", "b.vec_id", F.round("b.sim", 4).alias("sim"))
