@@ -88,13 +88,13 @@ def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, convs.select("conv", "length")
 
 
-def labelled(members: DataFrame, depth: int, parent: Column, by: list[str]) -> DataFrame:
-    """The members with their class after a split: top (smallest member), n, rest (turns to come), kind.
+def labelled(members: DataFrame, depth: int) -> DataFrame:
+    """The members with their class after a split: top (smallest member), parent, n, kind.
 
-    by: what the members of a class agree in. Large classes, at most HOT_SHARE of them, reach their members by
+    Members of a class agree in the class that they come from and in their next turn. Large classes, at most HOT_SHARE of them, reach their members by
     broadcast, and only the others are shuffled to meet their members.
     """
-    rest = F.sum(F.col("length") - depth)
+    by, rest = ["old", "key", "bytes"], F.sum(F.col("length") - depth)
     classes = members.groupBy(*by).agg(F.min("conv").alias("top"), F.count(F.lit(1)).alias("n"), rest.alias("rest"))
     kind = F.when(F.col("n") == 1, "chain").when(F.col("n") + F.col("rest") <= LOCAL_ROWS, "local").otherwise("large")
     classes = materialize(classes.withColumn("kind", kind), "classes")
@@ -103,22 +103,24 @@ def labelled(members: DataFrame, depth: int, parent: Column, by: list[str]) -> D
     known = [F.col(c) for c in ("top", "n", "kind")]
     near = members.alias("m").join(hot.alias("c"), same("m", "c", by)).select("m.*", *known)
     far = members.alias("m").join(hot.alias("c"), same("m", "c", by), "left_anti").join(classes.filter(F.col("n") < least).alias("c"), same("m", "c", by)).select("m.*", *known)
-    return near.unionByName(far).withColumn("parent", parent).drop(*[c for c in by if c != "bytes"])
+    return near.unionByName(far).withColumnRenamed("old", "parent").drop("key")
 
 
 def refine(rows: DataFrame, convs: DataFrame) -> list[DataFrame]:
     """Members by round: conv, length, depth, top, parent, n, bytes (of the class's last text), kind; all written."""
-    start = convs.withColumn("one", F.lit(1))
-    state = materialize(labelled(start, 0, F.lit(None).cast("long"), ["one"]).withColumn("bytes", F.lit(0).cast("long")).withColumn("depth", F.lit(0).cast("long")), "members")
+    whole = convs.agg(F.min("conv").alias("top"), F.count(F.lit(1)).alias("n"), F.sum("length").alias("rest")).first()
+    kind = "chain" if whole.n == 1 else "local" if whole.n + whole.rest <= LOCAL_ROWS else "large"
+    zero = F.lit(0).cast("long")
+    first = {"depth": zero, "top": F.lit(whole.top), "parent": F.lit(None).cast("long"), "n": F.lit(whole.n).cast("long"), "bytes": zero, "kind": F.lit(kind)}
+    state = materialize(convs.select("conv", "length", *(v.cast("long").alias(k) if k != "kind" else v.alias(k) for k, v in first.items())), "members")
     out = [state]
     while not (large := state.filter("kind = 'large'")).isEmpty():
         d = len(out)
         turn = rows.filter(F.col("depth") == d).select("conv", "key", "bytes")
         members = materialize(large.select("conv", "length", F.col("top").alias("old")).join(turn, "conv"), "split")
-        state = labelled(members, d, F.col("old"), ["old", "key", "bytes"]) if not members.isEmpty() else None
-        if state is None:  # every member of every large class has ended
+        if members.isEmpty():  # every member of every large class has ended
             break
-        state = materialize(state.withColumn("depth", F.lit(d).cast("long")), "members")
+        state = materialize(labelled(members, d).withColumn("depth", F.lit(d).cast("long")), "members")
         out.append(state)
         discard(members)
     return out
