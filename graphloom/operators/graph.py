@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.plans.projections import G1_SQL, G2_SQL, STEPS_SQL, WEIGHT_SQL, WEIGHTED_SQL, dense_edges, files, kind_weight, ordered_edges, steps, weighted_edges
+from graphloom.plans.projections import G1_SQL, STEPS_SQL, WEIGHT_SQL, WEIGHTED_SQL, dense_edges, files, kind_weight, steps, weighted_edges
 from graphloom.plans.rounds import Round, written
 from graphloom.registry import query
 
@@ -67,22 +67,29 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = DAMPING, round
     return state.table.select("id", "rank")
 
 
+COMPACTED = 8  # tables of rounds that are read side by side before they become one
+
+
 def walk(edges: DataFrame, start: DataFrame) -> DataFrame:
     """id, hop: the fewest steps along the edges from any start to each node that can be reached.
 
-    Only the frontier moves; what was reached stays in the tables that its rounds wrote.
+    Only the frontier moves; what was reached stays in the tables that its rounds wrote, a few of them at any time.
     """
     edges = by_source(edges.select("src", "dst"))
-    reached = [Round(start.select("id").distinct().withColumn("hop", F.lit(0)), "walk", n=F.count(F.lit(1)))]
     spark = edges.sparkSession
+    reached = [Round(start.select("id").distinct().withColumn("hop", F.lit(0)), "walk", n=F.count(F.lit(1)))]
+    read = lambda rounds: spark.read.schema(rounds[0].table.schema).parquet(*(r.path for r in rounds))
     for hop in itertools.count(1):
         if not reached[-1].metrics["n"]:
             break
-        seen = spark.read.schema(reached[0].table.schema).parquet(*(r.path for r in reached))
         step = reached[-1].table.select(F.col("id").alias("src")).join(edges, "src").select(F.col("dst").alias("id")).distinct()
-        reached.append(Round(step.join(seen, "id", "left_anti").withColumn("hop", F.lit(hop)), "walk", n=F.count(F.lit(1))))
+        reached.append(Round(step.join(read(reached), "id", "left_anti").withColumn("hop", F.lit(hop)), "walk", n=F.count(F.lit(1))))
+        if len(reached) > COMPACTED:
+            old, reached = reached[:-1], [Round(read(reached[:-1]), "walk"), reached[-1]]
+            for r in old:
+                r.delete()
     edges.unpersist()
-    return spark.read.schema(reached[0].table.schema).parquet(*(r.path for r in reached))
+    return read(reached)
 
 
 def spread(edges: DataFrame, values: DataFrame) -> DataFrame:
@@ -104,40 +111,63 @@ def among(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
+TRIM_SHARE, GIANT_SHARE = 100, 10
+
+
 def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """id, scc_id (smallest member), scc_size; no rows for no nodes.
 
-    Nodes without edges in or out are components of their own. The others are coloured: of the labels that reach a
-    node the smallest is its colour, and all of one colour from which the colour's root is reached back are a
-    component. Labels are hashes of ids, so that colours cut what is left into parts of all sizes, and edges between
-    colours go: no component has two.
+    Nodes without edges in or out are components of their own; they go, round by round, as long as a round finds one in
+    TRIM_SHARE. What is reached both forward and backward from the node with the most ways through it is a component,
+    of a graph with a giant one mostly that; such pivots are taken as long as one finds a GIANT_SHARE of what is left.
+    The rest, in many small components, is coloured: of the labels that reach a node the smallest is its colour, and
+    all of one colour from which the colour's root is reached back are a component. Labels are hashes of ids, so that
+    colours cut what is left into parts of all sizes, and edges between colours go: no component has two.
     """
-    e = written(edges.filter("src <> dst").select("src", "dst"), "scc-edges")
-    alive, left, done = nodes.select("id").distinct(), 1, []
+    alive = Round(nodes.select("id").distinct(), "scc-alive", n=F.count(F.lit(1)))
+    e = written(edges.filter("src <> dst").select("src", "dst").distinct(), "scc-edges")
+    done: list[DataFrame] = []  # id, root
+    left, pivots = alive.metrics["n"], True
+    own_root = F.col("id").alias("root")
     while left:
-        inner = e.select(F.col("dst").alias("id")).intersect(e.select(F.col("src").alias("id")))
-        mark = alive.join(inner.withColumn("inner", F.lit(True)), "id", "left")
-        mark = Round(mark.select("id", F.col("inner").isNotNull().alias("inner")), "scc-trim", n=F.count_if("inner"), all=F.count(F.lit(1)))
-        if mark.metrics["all"]:
-            done.append(mark.table.filter("not inner").select("id", F.col("id").alias("root")))
-        if not mark.metrics["n"]:
+        ends = e.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(e.select(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+        degree = ends.groupBy("id").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
+        inner = F.coalesce((F.col("o") > 0) & (F.col("i") > 0), F.lit(False))
+        ways = F.struct((F.col("o") * F.col("i")).alias("ways"), "id")
+        mark = Round(alive.table.join(degree, "id", "left").select("id", inner.alias("inner"), F.when(inner, ways).alias("ways")), "scc-trim", ["id", "inner"], n=F.count_if("inner"), most=F.max("ways"))
+        trimmed, left = left - mark.metrics["n"], mark.metrics["n"]
+        done.append(mark.table.filter("not inner").select("id", own_root))
+        alive = Round(mark.table.filter("inner").select("id"), "scc-alive")
+        if not left:
             break
-        own = mark.table.filter("inner").select("id", F.xxhash64("id").alias("label"))
-        c = spread(among(e, own), own).withColumnRenamed("label", "colour")
-        alike = e.join(c.toDF("src", "cs"), "src").join(c.toDF("dst", "cd"), "dst").filter("cs = cd").select("src", "dst")
-        alike = written(alike, "scc-edges")
-        back = walk(alike.select(F.col("dst").alias("src"), F.col("src").alias("dst")), c.filter(F.xxhash64("id") == F.col("colour")).select("id"))
-        seen = Round(c.join(back.withColumn("hit", F.lit(True)), "id", "left").select("id", "colour", F.col("hit").isNotNull().alias("hit")), "scc", left=F.count_if(~F.col("hit")))
-        done.append(seen.table.filter("hit").select("id", F.col("colour").alias("root")))
-        alive, left = seen.table.filter("not hit").select("id"), seen.metrics["left"]
-        e = among(alike, alive)
+        e = written(among(e, alive.table), "scc-edges") if trimmed else e
+        if trimmed * TRIM_SHARE > left:
+            continue
+        if pivots:
+            pivot = nodes.sparkSession.createDataFrame([(mark.metrics["most"]["id"],)], nodes.select("id").schema)
+            there, back = walk(e, pivot), walk(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), pivot)
+            found = Round(there.join(back, "id", "left_semi").select("id"), "scc", n=F.count(F.lit(1)))
+            pivots = found.metrics["n"] * GIANT_SHARE >= left
+            done.append(found.table.select("id", F.lit(mark.metrics["most"]["id"]).alias("root")))
+            left -= found.metrics["n"]
+            alive = Round(alive.table.join(found.table, "id", "left_anti"), "scc-alive")
+        else:
+            c = spread(e, alive.table.select("id", F.xxhash64("id").alias("label"))).withColumnRenamed("label", "colour")
+            alike = written(e.join(c.toDF("src", "cs"), "src").join(c.toDF("dst", "cd"), "dst").filter("cs = cd").select("src", "dst"), "scc-edges")
+            roots = c.filter(F.xxhash64("id") == F.col("colour")).select("id", "colour")
+            back = walk(alike.select(F.col("dst").alias("src"), F.col("src").alias("dst")), roots)
+            named = c.join(roots.select("colour", F.col("id").alias("root")), "colour")
+            seen = Round(named.join(back.withColumn("hit", F.lit(True)), "id", "left").select("id", "root", F.col("hit").isNotNull().alias("hit")), "scc", left=F.count_if(~F.col("hit")))
+            done.append(seen.table.filter("hit").select("id", "root"))
+            alive, left, e = Round(seen.table.filter("not hit").select("id"), "scc-alive"), seen.metrics["left"], alike
+        e = written(among(e, alive.table), "scc-edges") if left else e
     if not done:
         return nodes.select("id", F.col("id").alias("scc_id"), F.lit(0).cast("long").alias("scc_size")).limit(0)
-    all_ = done[0].withColumn("round", F.lit(0))
-    for k, d in enumerate(done[1:], 1):
-        all_ = all_.unionByName(d.withColumn("round", F.lit(k)))
-    named = all_.groupBy("round", "root").agg(F.min("id").alias("scc_id"), F.count(F.lit(1)).alias("scc_size"))
-    return all_.join(named, ["round", "root"]).select("id", "scc_id", "scc_size")
+    all_ = done[0]
+    for d in done[1:]:
+        all_ = all_.unionByName(d)
+    named = all_.groupBy("root").agg(F.min("id").alias("scc_id"), F.count(F.lit(1)).alias("scc_size"))
+    return all_.join(named, "root").select("id", "scc_id", "scc_size")
 
 
 def condensed(edges: DataFrame, components: DataFrame) -> DataFrame:
@@ -209,28 +239,34 @@ def weighted_pagerank_query(spark: SparkSession, sf: str) -> DataFrame:
     return pagerank(e, nodes_of(e), 0.65, seeds=files(spark, sf).filter("is_entry").select("id")).select("id", F.round("rank", 7).alias("rank"))
 
 
-SCC_SQL = f"""{G2_SQL}, ids AS (SELECT p_partkey AS id FROM part), cl AS (SELECT src AS a, dst AS b FROM g2 UNION SELECT cl.a, g2.dst FROM cl JOIN g2 ON g2.src = cl.b),
-scc AS (SELECT id, least(id, coalesce(min(x.b), id)) AS scc_id FROM ids LEFT JOIN (SELECT p.a, p.b FROM cl p JOIN cl q ON p.a = q.b AND p.b = q.a) x ON x.a = id GROUP BY id)"""
-CONDENSED_SQL = f"{SCC_SQL}, ce AS (SELECT DISTINCT a.scc_id AS src, b.scc_id AS dst FROM g2 JOIN scc a ON a.id = g2.src JOIN scc b ON b.id = g2.dst WHERE a.scc_id <> b.scc_id)"
-LAYER_SQL = f"""{CONDENSED_SQL}, bfs(id, hop) USING KEY (id) AS (SELECT DISTINCT scc_id, 0 FROM scc JOIN part ON id = p_partkey WHERE p_size = 1 UNION SELECT ce.dst, min(bfs.hop) + 1 FROM bfs JOIN ce ON ce.src = bfs.id LEFT JOIN recurring.bfs AS r ON r.id = ce.dst WHERE r.id IS NULL GROUP BY ce.dst)"""
+def scc_sql(edges: str) -> str:
+    """Components of a table's edges as table scc: the one around the node with the most edges by two walks, those that are left by their closure."""
+    return f"""ids AS (SELECT p_partkey AS id FROM part), pv AS (SELECT src AS id FROM {edges} GROUP BY 1 ORDER BY count(*) DESC, src LIMIT 1), fw AS (SELECT id FROM pv UNION SELECT e.dst FROM fw JOIN {edges} e ON e.src = fw.id), bw AS (SELECT id FROM pv UNION SELECT e.src FROM bw JOIN {edges} e ON e.dst = bw.id),
+big AS (SELECT id FROM fw INTERSECT SELECT id FROM bw), rest AS (SELECT src, dst FROM {edges} WHERE src NOT IN (SELECT id FROM big) AND dst NOT IN (SELECT id FROM big)), cl AS (SELECT src AS a, dst AS b FROM rest UNION SELECT cl.a, rest.dst FROM cl JOIN rest ON rest.src = cl.b),
+scc AS (SELECT ids.id, CASE WHEN big.id IS NOT NULL THEN (SELECT min(id) FROM big) ELSE least(ids.id, coalesce(min(x.b), ids.id)) END AS scc_id FROM ids LEFT JOIN big ON big.id = ids.id LEFT JOIN (SELECT p.a, p.b FROM cl p JOIN cl q ON p.a = q.b AND p.b = q.a) x ON x.a = ids.id GROUP BY ids.id, big.id)"""
+
+
+def condensed_sql(edges: str) -> str:
+    return f"{scc_sql(edges)}, ce AS (SELECT DISTINCT a.scc_id AS src, b.scc_id AS dst FROM {edges} e JOIN scc a ON a.id = e.src JOIN scc b ON b.id = e.dst WHERE a.scc_id <> b.scc_id)"
+
+
+def layer_sql(edges: str) -> str:
+    return f"""{condensed_sql(edges)}, bfs(id, hop) USING KEY (id) AS (SELECT DISTINCT scc_id, 0 FROM scc JOIN part ON id = p_partkey WHERE p_size = 1 UNION SELECT ce.dst, min(bfs.hop) + 1 FROM bfs JOIN ce ON ce.src = bfs.id LEFT JOIN recurring.bfs AS r ON r.id = ce.dst WHERE r.id IS NULL GROUP BY ce.dst)"""
+
+
+SCC_SQL, CONDENSED_SQL, LAYER_SQL = (f"{G1_SQL}, {f('g1')}" for f in (scc_sql, condensed_sql, layer_sql))
 
 
 def whole_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All edges, all files and the entry files."""
     f = files(spark, sf)
-    return ordered_edges(spark, sf), f.select("id"), f.filter("is_entry").select("id")
-
-
-_stored: dict[tuple[str, str], DataFrame] = {}
+    return dense_edges(spark, sf), f.select("id"), f.filter("is_entry").select("id")
 
 
-def stored_components(spark: SparkSession, sf: str) -> DataFrame:
-    """The components of the whole graph, found once in a session and kept for all queries that ask for them."""
-    key = spark.sparkContext.applicationId, sf
-    if key not in _stored:
-        e, n, _ = whole_graph(spark, sf)
-        _stored[key] = written(strong_components(e, n), "components")
-    return _stored[key]
+def file_components(spark: SparkSession, sf: str) -> DataFrame:
+    """The strong components of the whole graph, written."""
+    e, n, _ = whole_graph(spark, sf)
+    return written(strong_components(e, n), "components")
 
 
 @query("gr_scc", f"WITH RECURSIVE {SCC_SQL} SELECT id, scc_id, count(*) OVER (PARTITION BY scc_id) AS scc_size FROM scc")
@@ -241,18 +277,18 @@ def scc_query(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("gr_condensation", f"WITH RECURSIVE {CONDENSED_SQL} SELECT src, dst FROM ce")
 def condensation(spark: SparkSession, sf: str) -> DataFrame:
-    return condensed(whole_graph(spark, sf)[0], stored_components(spark, sf))
+    return condensed(whole_graph(spark, sf)[0], file_components(spark, sf))
 
 
 @query("gr_layers", f"WITH RECURSIVE {LAYER_SQL} SELECT scc.id, CAST(hop AS INTEGER) AS layer FROM scc LEFT JOIN bfs ON bfs.id = scc_id")
 def layers_query(spark: SparkSession, sf: str) -> DataFrame:
-    return layers(*whole_graph(spark, sf), stored_components(spark, sf))
+    return layers(*whole_graph(spark, sf), file_components(spark, sf))
 
 
 @query("gr_reachability", f"WITH RECURSIVE {LAYER_SQL} SELECT scc.id, CASE WHEN (SELECT count(*) FROM part WHERE p_size = 1) > 0 THEN hop IS NOT NULL END AS reachable FROM scc LEFT JOIN bfs ON bfs.id = scc_id")
 def reachability(spark: SparkSession, sf: str) -> DataFrame:
     e, n, entries = whole_graph(spark, sf)
-    return reachable(layers(e, n, entries, stored_components(spark, sf)), entries)
+    return reachable(layers(e, n, entries, file_components(spark, sf)), entries)
 
 
 @query("gr_structure_summary", f"""WITH RECURSIVE {LAYER_SQL}, z AS (SELECT scc_id, count(*) AS n FROM scc GROUP BY 1)
@@ -260,13 +296,41 @@ SELECT (SELECT count(*) FROM z) AS sccs, (SELECT count(*) FROM z WHERE n > 1) AS
 def structure_summary(spark: SparkSession, sf: str) -> DataFrame:
     """What is kept of a run: components, cycles, files in cycles, the largest, and files that no entry reaches."""
     e, n, entries = whole_graph(spark, sf)
-    c = stored_components(spark, sf)
+    c = file_components(spark, sf)
     z = c.groupBy("scc_id").agg(F.count(F.lit(1)).alias("n"))
     counts = z.agg(F.count(F.lit(1)).alias("sccs"), F.count_if(F.col("n") > 1).alias("cycles"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("in_cycles"), F.max("n").alias("largest"))
     lost = layers(e, n, entries, c).agg(F.count_if(F.col("layer").isNull()).alias("unreachable"))
     return counts.crossJoin(F.broadcast(lost))  # one row each
 
 
+#: A graph of many components beside the whole one: the edges of orders' lines of large quantities alone.
+THIN = 47
+THIN_SQL = STEPS_SQL + f", thin AS (SELECT DISTINCT src, dst FROM steps WHERE dst IS NOT NULL AND l_quantity >= {THIN})"
+
+
+def thin_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges of large quantities, all files and the entry files."""
+    f = files(spark, sf)
+    return steps(spark, sf).filter((F.col("l_quantity") >= THIN) & F.col("dst").isNotNull()).select("src", "dst").distinct(), f.select("id"), f.filter("is_entry").select("id")
+
+
+@query("gr_scc_thin", f"WITH RECURSIVE {THIN_SQL}, {scc_sql('thin')} SELECT id, scc_id, count(*) OVER (PARTITION BY scc_id) AS scc_size FROM scc")
+def thin_scc(spark: SparkSession, sf: str) -> DataFrame:
+    e, n, _ = thin_graph(spark, sf)
+    return strong_components(e, n)
+
+
+@query("gr_condensation_thin", f"WITH RECURSIVE {THIN_SQL}, {condensed_sql('thin')} SELECT src, dst FROM ce")
+def thin_condensation(spark: SparkSession, sf: str) -> DataFrame:
+    e, n, _ = thin_graph(spark, sf)
+    return condensed(e, written(strong_components(e, n), "components"))
+
+
+@query("gr_layers_thin", f"WITH RECURSIVE {THIN_SQL}, {layer_sql('thin')} SELECT scc.id, CAST(hop AS INTEGER) AS layer FROM scc LEFT JOIN bfs ON bfs.id = scc_id")
+def thin_layers(spark: SparkSession, sf: str) -> DataFrame:
+    return layers(*thin_graph(spark, sf))
+
+
 @query("gr_connected", f"""WITH {G1_SQL}, nb AS (SELECT CASE WHEN src = 1 THEN dst ELSE src END AS id, src = 1 AS out FROM g1 WHERE (src = 1 OR dst = 1) AND src <> dst)
 SELECT id, bool_or(out) AS is_import, bool_or(NOT out) AS is_importer FROM nb GROUP BY id""")
 def connected(spark: SparkSession, sf: str, focus: int = 1) -> DataFrame:
@@ -300,7 +364,7 @@ def module_dependencies(spark: SparkSession, sf: str) -> DataFrame:
     return e.filter("from_module <> to_module").groupBy("from_module", "to_module").agg(F.count(F.lit(1)).alias("n_edges"))
 
 
-@query("gr_entry_nodes", f"WITH {G2_SQL} SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT dst FROM g2 WHERE src <> dst)")
+@query("gr_entry_nodes", f"WITH {G1_SQL} SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT dst FROM g1 WHERE src <> dst)")
 def entry_nodes(spark: SparkSession, sf: str) -> DataFrame:
     """Files that no other file leads to."""
     e, n, _ = whole_graph(spark, sf)

@@ -9,10 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.operators.code import candidate_roots, promoted_roots, score_roots
-from graphloom.operators.graph import LAYER_SQL, layers, stored_components, whole_graph
-from graphloom.operators.neighborhood import BRANDS_SQL, longest_layers
+from graphloom.operators.graph import LAYER_SQL, file_components, layers, whole_graph
+from graphloom.operators.neighborhood import BRANDS_SQL, bounded_depth, layers_of_condensation, module_edges
 from graphloom.operators.rules import node_category
-from graphloom.plans.projections import FILES_SQL, files, ordered_edges
+from graphloom.plans.projections import FILES_SQL, G1_SQL, files
 from graphloom.plans.rounds import Round, written
 from graphloom.registry import query
 from graphloom.session import table
@@ -55,34 +55,20 @@ def stages(f: DataFrame, layered: DataFrame, depth: DataFrame, least: float = LE
     return m.crossJoin(share).select(F.col("cluster").alias("module"), F.when(F.col("by_layer"), F.col("layer")).otherwise(F.col("depth")).alias("stage"))
 
 
-@query("gr_module_stages", f"WITH RECURSIVE {LAYER_SQL}, m AS (SELECT p_brand AS module, min(hop) AS layer FROM part JOIN scc ON scc.id = p_partkey LEFT JOIN bfs ON bfs.id = scc_id GROUP BY 1), c AS (SELECT count(hop) / count(*) >= .4 AS by_layer FROM scc LEFT JOIN bfs ON bfs.id = scc_id), be AS (SELECT DISTINCT a.p_brand AS src, b.p_brand AS dst FROM g2 JOIN part a ON a.p_partkey = g2.src JOIN part b ON b.p_partkey = g2.dst WHERE a.p_brand <> b.p_brand), l AS (SELECT p_brand AS id, 0 AS depth FROM (SELECT DISTINCT p_brand FROM part) UNION SELECT be.dst, l.depth + 1 FROM l JOIN be ON be.src = l.id) SELECT module, CAST(CASE WHEN by_layer THEN layer ELSE (SELECT max(depth) FROM l WHERE l.id = module) END AS INTEGER) AS stage FROM m, c")
+_HOPS_SQL = f"{LAYER_SQL}, {BRANDS_SQL.removeprefix(G1_SQL + ', ')}"
+
+
+@query("gr_module_stages", f"""WITH RECURSIVE {_HOPS_SQL}, m AS (SELECT p_brand AS module, min(hop) AS layer FROM part JOIN scc ON scc.id = p_partkey LEFT JOIN bfs ON bfs.id = scc_id GROUP BY 1), c AS (SELECT count(hop) / count(*) >= .4 AS by_layer FROM scc LEFT JOIN bfs ON bfs.id = scc_id),
+l AS (SELECT DISTINCT root AS id, 0 AS depth FROM bs UNION SELECT bd.dst, l.depth + 1 FROM l JOIN bd ON bd.src = l.id) SELECT module, CAST(CASE WHEN by_layer THEN layer ELSE (SELECT max(depth) FROM l JOIN bs ON root = l.id WHERE bs.id = module) END AS INTEGER) AS stage FROM m, c""")
 def stages_query(spark: SparkSession, sf: str) -> DataFrame:
     f, (e, n, entries) = files(spark, sf), whole_graph(spark, sf)
-    b = f.select("id", "cluster")
-    modules = ordered_edges(spark, sf).join(b.toDF("src", "a"), "src").join(b.toDF("dst", "b"), "dst").filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
-    depth = longest_layers(written(modules, "modules"), b.select(F.col("cluster").alias("id")).distinct())
-    return stages(f, layers(e, n, entries, stored_components(spark, sf)), depth)
+    return stages(f, layers(e, n, entries, file_components(spark, sf)), layers_of_condensation(*module_edges(spark, sf)))
 
 
-@query("gr_module_depth", f"WITH RECURSIVE {BRANDS_SQL}, l AS (SELECT p_brand AS id, 0 AS depth FROM (SELECT DISTINCT p_brand FROM part) UNION SELECT be.dst, l.depth + 1 FROM l JOIN be ON be.src = l.id WHERE l.depth + 1 < (SELECT count(DISTINCT p_brand) FROM part)) SELECT id, CAST(max(depth) AS INTEGER) AS depth FROM l GROUP BY 1")
+@query("gr_module_depth", f"WITH RECURSIVE {BRANDS_SQL}, cyc AS (SELECT id FROM bs WHERE root IN (SELECT root FROM bs GROUP BY 1 HAVING count(*) > 1) UNION SELECT be.dst FROM cyc JOIN be ON be.src = cyc.id), l AS (SELECT id, 0 AS depth FROM ms WHERE id NOT IN (SELECT id FROM cyc) UNION SELECT be.dst, l.depth + 1 FROM l JOIN be ON be.src = l.id AND be.dst NOT IN (SELECT id FROM cyc)) SELECT id, CAST(max(depth) AS INTEGER) AS depth FROM (SELECT * FROM l UNION ALL SELECT id, (SELECT count(*) FROM ms) - 1 FROM cyc) GROUP BY 1")
 def module_depth(spark: SparkSession, sf: str) -> DataFrame:
     """Depth of modules by their dependencies, below their number whatever circles they form."""
-    b = files(spark, sf).select("id", "cluster")
-    e = ordered_edges(spark, sf).join(b.toDF("src", "a"), "src").join(b.toDF("dst", "b"), "dst").filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
-    return bounded_depth(written(e, "modules"), b.select(F.col("cluster").alias("id")).distinct())
-
-
-def bounded_depth(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """id, depth: one more than the deepest that leads here, never as much as there are nodes."""
-    most = nodes.count()
-    state = Round(nodes.select("id", F.lit(0).alias("depth"), F.lit(True).alias("grew")), "depth", n=F.count(F.lit(1)))
-    while state.metrics["n"]:
-        up = state.table.filter("grew").select(F.col("id").alias("src"), "depth").join(edges, "src").groupBy(F.col("dst").alias("id")).agg((F.max("depth") + 1).alias("new"))
-        grew = F.coalesce((F.col("new") > F.col("depth")) & (F.col("new") < most), F.lit(False))
-        j = state.table.drop("grew").join(up, "id", "left")
-        done, state = state, Round(j.select("id", F.when(grew, F.col("new")).otherwise(F.col("depth")).alias("depth"), grew.alias("grew")), "depth", n=F.count_if("grew"))
-        done.delete()
-    return state.table.select("id", "depth")
+    return bounded_depth(*module_edges(spark, sf))
 
 
 @query("gr_title_disambiguation", "WITH t AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2), d AS (SELECT p_brand, p_type, p_type AS title, count(*) OVER (PARTITION BY p_type) AS same FROM t) SELECT p_brand, p_type, CASE WHEN same > 1 THEN title || ' (' || p_brand || ')' ELSE title END AS title FROM d")

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.operators.graph import degrees, layers, stored_components, whole_graph
+from graphloom.operators.graph import condensed, degrees, file_components, layers, strong_components, walk, whole_graph
 from graphloom.operators.graph import LAYER_SQL as GRAPH_LAYER_SQL
-from graphloom.plans.projections import FILES_SQL, G1_SQL, G2_SQL, dense_edges, files, ordered_edges
+from graphloom.plans.projections import FILES_SQL, G1_SQL, dense_edges, files
 from graphloom.plans.rounds import Round, ordinal, written
 from graphloom.registry import query
 from graphloom.session import table
@@ -167,18 +167,45 @@ def longest_layers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     raise ValueError("the graph has a cycle: condense it first")
 
 
-BRANDS_SQL = f"{G2_SQL}, be AS (SELECT DISTINCT a.p_brand AS src, b.p_brand AS dst FROM g2 JOIN part a ON a.p_partkey = g2.src JOIN part b ON b.p_partkey = g2.dst WHERE a.p_brand <> b.p_brand)"
+BRANDS_SQL = f"""{G1_SQL}, ms AS (SELECT DISTINCT p_brand AS id FROM part), be AS (SELECT DISTINCT a.p_brand AS src, b.p_brand AS dst FROM g1 JOIN part a ON a.p_partkey = g1.src JOIN part b ON b.p_partkey = g1.dst WHERE a.p_brand <> b.p_brand), bc AS (SELECT src AS a, dst AS b FROM be UNION SELECT bc.a, be.dst FROM bc JOIN be ON be.src = bc.b),
+bs AS (SELECT id, least(id, coalesce(min(b), id)) AS root FROM ms LEFT JOIN (SELECT p.a, p.b FROM bc p JOIN bc q ON p.a = q.b AND p.b = q.a) ON a = id GROUP BY id), bd AS (SELECT DISTINCT x.root AS src, y.root AS dst FROM be JOIN bs x ON x.id = src JOIN bs y ON y.id = dst WHERE x.root <> y.root)"""
 
 
-@query("gr_longest_layers", f"""WITH RECURSIVE {BRANDS_SQL}, l AS (SELECT p_brand AS id, 0 AS layer FROM (SELECT DISTINCT p_brand FROM part) UNION SELECT be.dst, l.layer + 1 FROM l JOIN be ON be.src = l.id) SELECT id, CAST(max(layer) AS INTEGER) AS layer FROM l GROUP BY 1""")
-def longest_query(spark: SparkSession, sf: str) -> DataFrame:
-    """Modules by the longest chain of dependencies that leads to them."""
+def module_edges(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """src, dst between modules, and the modules."""
     b = files(spark, sf).select("id", "cluster")
-    e = ordered_edges(spark, sf).join(b.toDF("src", "a"), "src").join(b.toDF("dst", "b"), "dst").filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
-    return longest_layers(written(e, "modules"), b.select(F.col("cluster").alias("id")).distinct())
+    e = dense_edges(spark, sf).join(b.toDF("src", "a"), "src").join(b.toDF("dst", "b"), "dst").filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    return written(e, "modules"), b.select(F.col("cluster").alias("id")).distinct()
+
+
+def layers_of_condensation(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, layer: the most steps between components that lead to each node's own."""
+    c = written(strong_components(edges, nodes), "components")
+    found = longest_layers(written(condensed(edges, c), "condensed"), c.select(F.col("scc_id").alias("id")).distinct())
+    return c.join(found.withColumnRenamed("id", "scc_id"), "scc_id").select("id", "layer")
+
+
+def bounded_depth(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, depth: one more than the deepest that leads here, never as much as there are nodes.
+
+    Whatever a cycle leads to would rise without end, and has the most; no cycle leads to the others, so that theirs is
+    the longest way to them.
+    """
+    most = nodes.count()
+    c = written(strong_components(edges, nodes), "components")
+    rising = walk(edges, c.filter("scc_size > 1").select("id")).select("id")
+    calm = written(nodes.join(rising, "id", "left_anti"), "calm")
+    found = longest_layers(written(edges.join(calm.withColumnRenamed("id", "src"), "src", "left_semi").join(calm.withColumnRenamed("id", "dst"), "dst", "left_semi"), "modules"), calm)
+    return found.select("id", F.col("layer").alias("depth")).unionByName(rising.select("id", F.lit(most - 1).alias("depth")))
+
+
+@query("gr_longest_layers", f"""WITH RECURSIVE {BRANDS_SQL}, l AS (SELECT DISTINCT root AS id, 0 AS layer FROM bs UNION SELECT bd.dst, l.layer + 1 FROM l JOIN bd ON bd.src = l.id) SELECT bs.id, CAST(max(layer) AS INTEGER) AS layer FROM bs JOIN l ON l.id = root GROUP BY 1""")
+def longest_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Modules by the longest chain of dependencies that leads to them, circles condensed."""
+    return layers_of_condensation(*module_edges(spark, sf))
 
 
-ORDER_SQL = f"""{GRAPH_LAYER_SQL}, {FILES_SQL}, fi AS (SELECT dst, count(*) AS n FROM g2 GROUP BY 1), s AS (SELECT files.id, path, is_entry, coalesce(n, 0) AS score, hop AS layer FROM files LEFT JOIN fi ON dst = files.id JOIN scc ON scc.id = files.id LEFT JOIN bfs ON bfs.id = scc_id),
+ORDER_SQL = f"""{GRAPH_LAYER_SQL}, {FILES_SQL}, fi AS (SELECT dst, count(*) AS n FROM g1 GROUP BY 1), s AS (SELECT files.id, path, is_entry, coalesce(n, 0) AS score, hop AS layer FROM files LEFT JOIN fi ON dst = files.id JOIN scc ON scc.id = files.id LEFT JOIN bfs ON bfs.id = scc_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY is_entry ORDER BY score DESC, path) AS place, (SELECT count(*) FROM part WHERE p_size = 1) AS exempt FROM s), sel AS (SELECT * FROM k WHERE is_entry OR place <= greatest(50 - exempt, 0))"""
 
 
@@ -186,7 +213,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY is_entry ORDER BY score DESC, pa
 def reading_order(spark: SparkSession, sf: str, top: int = 50) -> DataFrame:
     """The list to read: entries always, others by score for the places left; by layer and score, unreachable ones last."""
     e, n, entries = whole_graph(spark, sf)
-    s = degrees(e, n).select("id", F.col("fan_in").alias("score")).join(layers(e, n, entries, stored_components(spark, sf)), "id").join(files(spark, sf).select("id", "path", "is_entry"), "id")
+    s = degrees(e, n).select("id", F.col("fan_in").alias("score")).join(layers(e, n, entries, file_components(spark, sf)), "id").join(files(spark, sf).select("id", "path", "is_entry"), "id")
     s = written(s, "scored")
     exempt = s.filter("is_entry")
     others = s.filter("not is_entry").orderBy(F.desc("score"), "path").limit(max(top - exempt.count(), 0))
@@ -233,21 +260,21 @@ def context_graph(spark: SparkSession, sf: str) -> DataFrame:
 SELECT scc_id AS node, count(*) AS files, CAST(sum(nloc) AS BIGINT) AS nloc, bool_or(is_entry) AS is_entry, (SELECT arg_min(cluster, (-n.n, cluster)) FROM n WHERE n.scc_id = scc.scc_id) AS cluster FROM scc JOIN files USING (id) GROUP BY scc_id""")
 def render_nodes(spark: SparkSession, sf: str) -> DataFrame:
     """Each circle of imports drawn as one node: sums, any entry, and the cluster that most of its files have."""
-    f = stored_components(spark, sf).join(files(spark, sf), "id")
+    f = file_components(spark, sf).join(files(spark, sf), "id")
     c = f.groupBy("scc_id", "cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("nloc").alias("nloc"), F.bool_or("is_entry").alias("is_entry"))
     return c.groupBy(F.col("scc_id").alias("node")).agg(F.sum("n").alias("files"), F.sum("nloc").alias("nloc"), F.bool_or("is_entry").alias("is_entry"), F.min_by("cluster", F.struct((-F.col("n")).alias("n"), "cluster")).alias("cluster"))
 
 
 @query("misc_layer_histogram", f"WITH RECURSIVE {GRAPH_LAYER_SQL} SELECT CAST(hop AS INTEGER) AS layer, count(*) AS files FROM scc LEFT JOIN bfs ON bfs.id = scc_id GROUP BY 1")
 def layer_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return layers(*whole_graph(spark, sf), stored_components(spark, sf)).groupBy("layer").agg(F.count(F.lit(1)).alias("files"))
+    return layers(*whole_graph(spark, sf), file_components(spark, sf)).groupBy("layer").agg(F.count(F.lit(1)).alias("files"))
 
 
-@query("misc_layer_columns", f"WITH RECURSIVE {GRAPH_LAYER_SQL}, fi AS (SELECT dst, count(*) AS n FROM g2 GROUP BY 1) SELECT CAST(hop AS INTEGER) AS layer, list(scc.id ORDER BY coalesce(n, 0) DESC, scc.id)[1:20] AS members, count(*) AS total FROM scc LEFT JOIN bfs ON bfs.id = scc_id LEFT JOIN fi ON fi.dst = scc.id GROUP BY 1")
+@query("misc_layer_columns", f"WITH RECURSIVE {GRAPH_LAYER_SQL}, fi AS (SELECT dst, count(*) AS n FROM g1 GROUP BY 1) SELECT CAST(hop AS INTEGER) AS layer, list(scc.id ORDER BY coalesce(n, 0) DESC, scc.id)[1:20] AS members, count(*) AS total FROM scc LEFT JOIN bfs ON bfs.id = scc_id LEFT JOIN fi ON fi.dst = scc.id GROUP BY 1")
 def layer_columns(spark: SparkSession, sf: str, most: int = 20) -> DataFrame:
     """A column for each layer, unreachable files in one of their own: the best ranked members and how many there are."""
     e, n, entries = whole_graph(spark, sf)
-    j = layers(e, n, entries, stored_components(spark, sf)).join(degrees(e, n), "id")
+    j = layers(e, n, entries, file_components(spark, sf)).join(degrees(e, n), "id")
     own = W.partitionBy("layer").orderBy(F.desc("fan_in"), "id")
     top = j.withColumn("k", F.row_number().over(own)).filter(F.col("k") <= most).groupBy("layer").agg(F.array_sort(F.collect_list(F.struct("k", "id"))).alias("m"))
     total = j.groupBy("layer").agg(F.count(F.lit(1)).alias("total"))

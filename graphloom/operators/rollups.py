@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.operators.graph import SCC_SQL, degrees, stored_components
+from graphloom.operators.graph import SCC_SQL, degrees, file_components
 from graphloom.operators.rules import is_test_file, node_category
-from graphloom.plans.projections import FILE_HIST_SQL, FILES_SQL, WEIGHTED_SQL, file_history, files, ordered_edges, weighted_edges
+from graphloom.plans.projections import FILE_HIST_SQL, FILES_SQL, WEIGHTED_SQL, dense_edges, file_history, files, weighted_edges
 from graphloom.plans.rounds import Round, written
 from graphloom.registry import query
 from graphloom.session import table
@@ -135,14 +135,14 @@ def findings_by_marker(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Health of files on measured inputs: complexity from the size, cycles from components, coupling from the graph, churn from history.
-HEALTH_SQL = f"""{SCC_SQL}, {FILES_SQL}, {FILE_HIST_SQL}, z AS (SELECT scc_id, count(*) AS n FROM scc GROUP BY 1), dg AS (SELECT f.id, (SELECT count(*) FROM g2 WHERE dst = f.id) AS fan_in, (SELECT count(*) FROM g2 WHERE src = f.id) AS fan_out FROM files f),
+HEALTH_SQL = f"""{SCC_SQL}, {FILES_SQL}, {FILE_HIST_SQL}, z AS (SELECT scc_id, count(*) AS n FROM scc GROUP BY 1), dg AS (SELECT f.id, (SELECT count(*) FROM g1 WHERE dst = f.id) AS fan_in, (SELECT count(*) FROM g1 WHERE src = f.id) AS fan_out FROM files f),
 hi AS (SELECT files.id, path, nloc, nloc % 37 AS cyclomatic, z.n AS cycle_size, fan_in, fan_out, commits FROM files JOIN scc USING (id) JOIN z USING (scc_id) JOIN dg USING (id) JOIN fhist USING (id))"""
 
 
 def health_inputs(spark: SparkSession, sf: str) -> DataFrame:
     """A file's measures joined to its facts from the graph and from history."""
-    e, f = ordered_edges(spark, sf), files(spark, sf)
-    c = stored_components(spark, sf).select("id", F.col("scc_size").alias("cycle_size"))
+    e, f = dense_edges(spark, sf), files(spark, sf)
+    c = file_components(spark, sf).select("id", F.col("scc_size").alias("cycle_size"))
     j = f.select("id", "path", "nloc", (F.col("nloc") % 37).alias("cyclomatic")).join(c, "id").join(degrees(e, f.select("id")), "id").join(file_history(spark, sf).drop("authors", "days"), "id")
     return written(j, "health-inputs")
 
@@ -181,7 +181,7 @@ def marked(spark: SparkSession, sf: str) -> DataFrame:
     j = h.crossJoin(F.broadcast(written(context(h), "context")))  # one row beside each
     hub = F.when((F.col("fan_in") >= F.col("i90")) & (F.col("fan_out") >= F.col("o90")), 3.0 * ramp(F.least("fan_in", "fan_out").cast("double"), F.least("i90", "o90"), F.least("i99", "o99"))).otherwise(0.0)
     churn, complex_ = ramp(F.col("commits").cast("double"), F.col("c50"), F.col("c95")), ramp(F.col("cyclomatic").cast("double"), 10, 25)
-    return j.select("id", "path", "nloc", "usable", (4.0 * ramp(F.col("cycle_size").cast("double"), 1, 12)).alias("cycle"), hub.alias("hub"), (2.5 * churn).alias("churn"), (2.5 * ramp(complex_ * churn, 0.2, 0.8)).alias("tangled"), (2.5 * complex_).alias("complex"), (1.5 * ramp(F.col("nloc").cast("double"), 400, 1500)).alias("large"))
+    return j.select("id", "path", "nloc", "usable", "cycle_size", (4.0 * ramp(F.col("cycle_size").cast("double"), 1, 12)).alias("cycle"), hub.alias("hub"), (2.5 * churn).alias("churn"), (2.5 * ramp(complex_ * churn, 0.2, 0.8)).alias("tangled"), (2.5 * complex_).alias("complex"), (1.5 * ramp(F.col("nloc").cast("double"), 400, 1500)).alias("large"))
 
 
 @query("hs_axes", f"WITH RECURSIVE {HEALTH_SQL}, {CONTEXT_SQL}, {MARKERS_SQL} SELECT id, round(10 - least(9, least(4, complex) + least(3, large)), 6) AS maintainability, round(10 - least(9, least(4, cycle) + least(3, hub)), 6) AS architecture, CASE WHEN usable THEN round(least(5, churn + tangled), 6) END AS hotspot, CASE WHEN usable THEN round(least(5, churn + tangled) / (greatest(nloc, 30) / 100.0), 6) END AS exposure FROM mk")
@@ -209,10 +209,9 @@ def marker_rollup(spark: SparkSession, sf: str) -> DataFrame:
 def coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Which markers of the architecture axis fired at all. Cycles are counted by distinct sizes, not by components."""
     m = marked(spark, sf)
-    sizes = stored_components(spark, sf).filter("scc_size > 1").agg(F.countDistinct("scc_size").alias("file_level_cycles"))
-    most = m.agg(F.max("cycle").alias("cycle"), F.max("hub").alias("hub"))
+    most = m.agg(F.countDistinct(F.when(F.col("cycle_size") > 1, F.col("cycle_size"))).alias("file_level_cycles"), F.max("cycle").alias("cycle"), F.max("hub").alias("hub"))
     some = lambda test: F.array_sort(F.array_compact(F.array(*(F.when(test(F.col(k)), F.lit(k)) for k in ("cycle", "hub")))))
-    return sizes.crossJoin(most).select("file_level_cycles", some(lambda c: c > 0).alias("active"), some(lambda c: c == 0).alias("inactive"))  # one row each
+    return most.select("file_level_cycles", some(lambda c: c > 0).alias("active"), some(lambda c: c == 0).alias("inactive"))
 
 
 @query("srt_health_files", f"WITH RECURSIVE {HEALTH_SQL}, {CONTEXT_SQL}, {MARKERS_SQL}, x AS (SELECT id, CASE WHEN id % 10 <> 0 THEN least(5, churn + tangled) / (greatest(nloc, 30) / 100.0) END AS exposure FROM mk) SELECT id, round(exposure, 6) AS exposure, (SELECT count(*) FROM x WHERE exposure IS NULL) AS not_available FROM x WHERE exposure IS NOT NULL ORDER BY round(exposure, 9) DESC, id LIMIT 40")

@@ -11,8 +11,6 @@ from graphloom.session import table
 KIND_SQL = """CASE WHEN l_discount >= 0.1 THEN 'unresolvable_binding' WHEN l_returnflag || l_linestatus = 'AF' THEN 'inherits' WHEN l_returnflag || l_linestatus = 'AO' THEN 'calls' WHEN l_returnflag || l_linestatus = 'NF' THEN 'heavy_use' WHEN l_returnflag || l_linestatus = 'NO' THEN 'light_use' WHEN l_returnflag || l_linestatus = 'RF' THEN 'type_only' WHEN l_linenumber % 2 = 0 THEN 'reexport' ELSE 'test_edge' END"""
 STEPS_SQL = """steps AS (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst, l_returnflag, l_linestatus, l_quantity, l_linenumber, """ + f"{KIND_SQL} AS kind FROM lineitem)"
 G1_SQL = STEPS_SQL + ", g1 AS (SELECT DISTINCT src, dst FROM steps WHERE dst IS NOT NULL)"
-#: All edges, those between brands turned so that brands lie in order: components stay within brands.
-G2_SQL = STEPS_SQL + ", g2 AS (SELECT DISTINCT CASE WHEN a.p_brand > b.p_brand THEN dst ELSE src END AS src, CASE WHEN a.p_brand > b.p_brand THEN src ELSE dst END AS dst FROM steps JOIN part a ON src = a.p_partkey JOIN part b ON dst = b.p_partkey)"
 #: Weights of edge kinds; any other kind weighs nothing.
 KIND_WEIGHTS = {"inherits": 1.0, "calls": 0.8, "heavy_use": 0.8, "light_use": 0.4, "type_only": 0.25, "reexport": 0.15, "test_edge": 0.05, "unresolvable_binding": 0.7}
 WEIGHT_SQL = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in KIND_WEIGHTS.items()) + " ELSE 0 END"
@@ -45,14 +43,6 @@ def dense_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps(spark, sf_dir).filter("dst is not null").select("src", "dst").distinct()
 
 
-def ordered_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same edges, those between brands turned so that brands lie in order."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    j = dense_edges(spark, sf_dir).join(p.toDF("src", "a"), "src").join(p.toDF("dst", "b"), "dst")
-    turned = F.col("a") > F.col("b")
-    return j.select(F.when(turned, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(turned, F.col("src")).otherwise(F.col("dst")).alias("dst")).distinct()
-
-
 def kind_weight(kind: Column) -> Column:
     """Weight of an edge kind, 0 where unknown."""
     known = F.create_map(*(F.lit(x) for kv in KIND_WEIGHTS.items() for x in kv))

@@ -1,5 +1,7 @@
 """Graph operators on tiny graphs whose answers are known."""
 
+import random
+
 import pytest
 
 from graphloom.operators import graph
@@ -36,3 +38,49 @@ def test_layers_go_on_until_the_frontier_is_empty(spark, monkeypatch):
     monkeypatch.setattr(graph, "range", lambda *a: [1, 2], raising=False)
     e = frame(spark, [(i, i + 1) for i in range(1, 7)])
     assert {r.id: r.layer for r in layers(e, nodes_of(e), frame(spark, [(1,)], "id long")).collect()} == {i: i - 1 for i in range(1, 8)}
+
+
+def plain_components(edges, n):
+    out = {i: set() for i in range(n)}
+    for a, b in edges:
+        out[a].add(b)
+    reach = {}
+    for i in range(n):
+        seen, todo = {i}, [i]
+        while todo:
+            new = out[todo.pop()] - seen
+            seen |= new
+            todo += new
+        reach[i] = seen
+    own = {i: [j for j in reach[i] if i in reach[j]] for i in range(n)}
+    return {i: (min(m), len(m)) for i, m in own.items()}
+
+
+@pytest.mark.parametrize("giant, small", [(60, 0), (40, 12), (0, 15)])
+def test_strong_components_of_random_graphs(spark, giant, small):
+    """A giant component with tails in and out of it, many small ones, or both, and isolated nodes."""
+    rng, edges, n = random.Random(giant), [], giant
+    edges += [(rng.randrange(giant), rng.randrange(giant)) for _ in range(4 * giant)]
+    for _ in range(small):
+        k = rng.randint(1, 5)
+        edges += [(n + i, n + (i + 1) % k) for i in range(k)] + ([(n, rng.randrange(n))] if n and rng.random() < 0.7 else [])
+        n += k
+    edges += [(n + i, n + i + 1) for i in range(6)] + ([(rng.randrange(giant), n)] if giant else [])
+    n += 9
+    rng.shuffle(edges)
+    e = frame(spark, edges)
+    got = {r.id: (r.scc_id, r.scc_size) for r in strong_components(e, spark.range(n)).collect()}
+    assert got == plain_components(edges, n)
+
+
+def test_depth_is_bounded_by_cycles(spark):
+    from graphloom.operators.neighborhood import bounded_depth, layers_of_condensation
+
+    e, n = frame(spark, [(1, 2), (2, 3), (3, 4), (4, 3), (4, 5), (1, 5), (6, 7), (7, 8)]), spark.range(1, 9)
+    assert {r.id: r.depth for r in bounded_depth(e, n).collect()} == {1: 0, 2: 1, 3: 7, 4: 7, 5: 7, 6: 0, 7: 1, 8: 2}
+    assert {r.id: r.layer for r in layers_of_condensation(e, n).collect()} == {1: 0, 2: 1, 3: 2, 4: 2, 5: 3, 6: 0, 7: 1, 8: 2}
+
+
+def test_walk_of_a_long_chain_keeps_few_tables(spark):
+    e = frame(spark, [(i, i + 1) for i in range(1, 20)])
+    assert {r.id: r.hop for r in graph.walk(e, frame(spark, [(1,)], "id long")).collect()} == {i: i - 1 for i in range(1, 21)}
