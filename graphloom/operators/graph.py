@@ -41,8 +41,9 @@ def by_source(edges: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = DAMPING, rounds: int = MOST_ROUNDS, tolerance: float = TOLERANCE, seeds: DataFrame | None = None) -> DataFrame:
     """id, rank. Transition by weight (1 if edges have none); teleport and dangling mass go to the seeds, all nodes if none.
 
-    A round is one job over edges that stay where they are: ranks go out to them, inflows are added up before they
-    move, and the write returns two numbers, the dangling mass and the change.
+    Dangling mass goes where the teleport goes, so ranks are those without it, scaled to add up to 1. A round is one
+    job: edges stay where they are dealt; ranks go out to them, inflows are added up before they move, and the write
+    returns the change and the sum.
     """
     if "weight" not in edges.columns:
         edges = edges.withColumn("weight", F.lit(1.0))
@@ -51,20 +52,18 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = DAMPING, round
     start = nodes if seeds is None or seeds.isEmpty() else seeds.join(nodes, "id", "left_semi").distinct()
     n = start.count()
     base = nodes.join(start.select("id", F.lit(1.0 / max(n, 1)).alias("v")), "id", "left").fillna(0.0, ["v"])
-    base = base.join(share.select(F.col("src").alias("id")).distinct().withColumn("out", F.lit(True)), "id", "left")
-    lost = F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))
-    state = Round(base.select("id", "v", F.col("out").isNull().alias("dangling"), F.col("v").alias("rank")), "rank", lost=lost)
+    state = Round(base.select("id", "v", F.col("v").alias("rank")), "rank", total=F.sum("rank"))
     for _ in range(rounds):
         flow = state.table.select(F.col("id").alias("src"), "rank").join(share, "src").select(F.col("dst").alias("id"), (F.col("rank") * F.col("p")).alias("flow"))
-        own = state.table.select("id", F.lit(0.0).alias("flow"), "v", "dangling", F.col("rank").alias("old"))
-        new = own.unionByName(flow, allowMissingColumns=True).groupBy("id").agg(F.sum("flow").alias("inflow"), F.max("v").alias("v"), F.max("dangling").alias("dangling"), F.max("old").alias("old"))
-        rank = (1 - damping) * F.col("v") + damping * (F.col("inflow") + state.metrics["lost"] * F.col("v"))
-        done, state = state, Round(new.filter("v is not null").withColumn("rank", rank), "rank", ["id", "v", "dangling", "rank"], lost=lost, change=F.sum(F.abs(F.col("rank") - F.col("old"))))
+        own = state.table.select("id", F.lit(0.0).alias("flow"), "v", F.col("rank").alias("old"))
+        new = own.unionByName(flow, allowMissingColumns=True).groupBy("id").agg(F.sum("flow").alias("inflow"), F.max("v").alias("v"), F.max("old").alias("old"))
+        new = new.filter("v is not null").select("id", "v", "old", ((1 - damping) * F.col("v") + damping * F.col("inflow")).alias("rank"))
+        done, state = state, Round(new, "rank", ["id", "v", "rank"], total=F.sum("rank"), change=F.sum(F.abs(F.col("rank") - F.col("old"))))
         done.delete()
-        if (state.metrics["change"] or 0.0) < tolerance:
+        if (state.metrics["change"] or 0.0) < tolerance * (state.metrics["total"] or 1.0):
             break
     share.unpersist()
-    return state.table.select("id", "rank")
+    return state.table.select("id", (F.col("rank") / F.lit(state.metrics["total"] or 1.0)).alias("rank"))
 
 
 COMPACTED = 8  # tables of rounds that are read side by side before they become one
@@ -228,14 +227,14 @@ ENTRY_SEED = "id IN (SELECT p_partkey FROM part WHERE p_size = 1)"
 
 @query("gr_pagerank", f"WITH RECURSIVE {G1_SQL}, {rank_sql('g1', '1.0', 0.85, 'true')} SELECT id, round(r, 7) AS rank FROM prf")
 def pagerank_query(spark: SparkSession, sf: str) -> DataFrame:
-    e = dense_edges(spark, sf)
+    e = written(dense_edges(spark, sf), "edges")
     return pagerank(e, nodes_of(e)).select("id", F.round("rank", 7).alias("rank"))
 
 
 @query("gr_weighted_pagerank", f"WITH RECURSIVE {WEIGHTED_SQL}, {rank_sql('wg', 'weight', 0.65, ENTRY_SEED)} SELECT id, round(r, 7) AS rank FROM prf")
 def weighted_pagerank_query(spark: SparkSession, sf: str) -> DataFrame:
     """Personalised by the entry files."""
-    e = weighted_edges(spark, sf)
+    e = written(weighted_edges(spark, sf), "edges")
     return pagerank(e, nodes_of(e), 0.65, seeds=files(spark, sf).filter("is_entry").select("id")).select("id", F.round("rank", 7).alias("rank"))
 
 
@@ -260,7 +259,7 @@ SCC_SQL, CONDENSED_SQL, LAYER_SQL = (f"{G1_SQL}, {f('g1')}" for f in (scc_sql, c
 def whole_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All edges, all files and the entry files."""
     f = files(spark, sf)
-    return dense_edges(spark, sf), f.select("id"), f.filter("is_entry").select("id")
+    return written(dense_edges(spark, sf), "edges"), f.select("id"), f.filter("is_entry").select("id")
 
 
 def file_components(spark: SparkSession, sf: str) -> DataFrame:

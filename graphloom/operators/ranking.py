@@ -61,7 +61,7 @@ def ordinal_query(spark: SparkSession, sf: str) -> DataFrame:
 
 def signals(spark: SparkSession, sf: str) -> DataFrame:
     """A row for each file: fan_in, pagerank, entry, commits, authors, days, path."""
-    e, f = dense_edges(spark, sf), files(spark, sf)
+    e, f = written(dense_edges(spark, sf), "edges"), files(spark, sf)
     d = degrees(e, f.select("id")).select("id", "fan_in")
     p = pagerank(e, f.select("id"), tolerance=1e-12).withColumnRenamed("rank", "pagerank")
     return f.select("id", "path", F.col("is_entry").cast("double").alias("entry")).join(d, "id").join(p, "id").join(file_history(spark, sf), "id")

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.plans.rounds import dealt
 from graphloom.registry import query
 from graphloom.session import table
 
@@ -12,51 +19,69 @@ from graphloom.session import table
 HEDGES = ("maybe", "perhaps", "possibly", "sort", "kind", "somewhat", "probably", "i think", "i guess", "i feel", "just", "actually", "basically")
 WEAK = ("very", "really", "quite", "rather", "extremely", "totally", "literally", "definitely")
 FILLERS = ("thing", "things", "stuff", "etc")
-PASSIVE = r"(?U)\b(is|are|was|were|be|been|being)\b\s+\w+(ed|en)\b"
-#: The same where words end at ASCII letters: every other character is doubled, and each match takes one on either side.
+#: The passive's shape where words end at ASCII letters: every other character is doubled, and each match takes one on either side.
 PASSIVE_SQL = r"(^|[^\p{L}\p{N}_])(is|are|was|were|be|been|being)[ \t\n\x0b\f\r\x{85}\x{a0}]+[\p{L}\p{N}_]*[\p{L}\p{N}_](ed|en)([^\p{L}\p{N}_]|$)"
 
 
-def word_list(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z']+"), F.lit(0))
+_WORD, _VOWELS, _STOP, _BLANK = re.compile("[a-z']+"), re.compile("[aeiouy]+"), re.compile("[.!?]+"), " \t\n\x0b\f\r"
+_PASSIVE = re.compile(r"\b(?:is|are|was|were|be|been|being)\b[ \t\n\x0b\f\r\x85\xa0]+\w+(?:ed|en)\b")
+COUNTS = ("n_words", "n_distinct", "letters", "n_syllables", "n_weak", "n_fillers", "n_sentences", "n_hedges", "n_passive")
 
 
-def syllables(word: Column) -> Column:
+@lru_cache(1 << 16)
+def syllables(word: str) -> int:
     """Vowel groups, less one for a final e that isn't the only one; 1 at least."""
-    n = F.regexp_count(word, F.lit("[aeiouy]+"))
-    return F.greatest(n - F.when(F.endswith(word, F.lit("e")) & (n > 1), 1).otherwise(0), F.lit(1))
+    n = len(_VOWELS.findall(word))
+    return max(n - (word.endswith("e") and n > 1), 1)
+
+
+def text_counts(text: str) -> tuple[int, ...]:
+    """What COUNTS names, of one text. Hedges count between single spaces, without overlap."""
+    low = text.lower()
+    padded, words = f" {low.strip(' \t\n\r')} ", Counter(_WORD.findall(low))
+    return (
+        words.total(), len(words), sum(len(w) * n for w, n in words.items()), sum(syllables(w) * n for w, n in words.items()), sum(words[w] for w in WEAK), sum(words[w] for w in FILLERS),
+        max(1, sum(1 for x in _STOP.split(text) if x.strip(_BLANK))), sum(padded.count(f" {h} ") for h in HEDGES), len(_PASSIVE.findall(padded)),
+    )
+
+
+def counted(texts: DataFrame) -> DataFrame:
+    """doc_id and COUNTS of every text, null as empty: each batch of texts is read once, and only counts come back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [text_counts(t or "") for t in batch.column("text").to_pylist()]
+            columns = zip(*rows, strict=True) if rows else [()] * len(COUNTS)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", *COUNTS])
+
+    return dealt(texts.select("doc_id", "text")).mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in COUNTS))
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """Rounded to digits by way of nine, in decimals: a tie is one whatever a double's last bits are."""
+    return F.round(x.cast("decimal(18,9)"), digits).cast("double")
 
 
+FIXED_SQL = "CAST(round(CAST({x} AS DECIMAL(18,9)), {n}) AS DOUBLE)"
 HEDGE_SQL = " + ".join(f"len(regexp_extract_all(p, ' {h} '))" for h in HEDGES)
-CLAMP = "greatest(0, least(100, {x}))"
+CLAMP = "greatest(0e0, least(100e0, {x}))"
 
 
 @query("txt_writing_metrics", f"""WITH t AS (SELECT doc_id, ' ' || lower(trim(coalesce(text, ''), E' \\t\\n\\r')) || ' ' AS p, regexp_extract_all(lower(coalesce(text, '')), '[a-z'']+') AS w, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[.!?]+'), lambda x: regexp_matches(x, '\\S'))) AS s FROM documents),
 m AS (SELECT doc_id, len(w) AS n_words, greatest(s, 1) AS n_sentences, len(list_distinct(w)) AS n_distinct, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS letters, coalesce(list_sum(list_transform(w, lambda x: greatest(len(regexp_extract_all(x, '[aeiouy]+')) - CASE WHEN ends_with(x, 'e') AND len(regexp_extract_all(x, '[aeiouy]+')) > 1 THEN 1 ELSE 0 END, 1))), 0) AS syl,
 {HEDGE_SQL} AS n_hedges, len(list_filter(w, lambda x: x IN {WEAK})) AS n_weak, len(list_filter(w, lambda x: x IN {FILLERS})) AS n_fillers, len(regexp_extract_all(regexp_replace(p, '([^\\p{{L}}\\p{{N}}_])', '\\1\\1', 'g'), '{PASSIVE_SQL}')) AS n_passive FROM t),
-d AS (SELECT *, n_distinct / sqrt(n_words) AS ttr, letters / n_words AS word, n_words / n_sentences AS sentence, 206.835 - 1.015 * n_words / n_sentences - 84.6 * syl / n_words AS flesch, (n_hedges + n_weak + n_fillers + n_passive) / n_words * 100 AS density FROM m WHERE n_words > 0)
-SELECT doc_id, n_words, n_sentences, CAST(syl AS BIGINT) AS n_syllables, n_hedges, n_weak, n_fillers, n_passive, round(ttr, 6) AS root_ttr, round(flesch, 6) AS flesch, round({CLAMP.format(x='45 + (ttr - 4.5) * 16 + (word - 4.2) * 9')}, 4) AS vocabulary,
-round({CLAMP.format(x='CASE WHEN flesch >= 75 THEN 100 - (flesch - 75) * .8 WHEN flesch >= 50 THEN 100 ELSE greatest(0, 100 - (50 - flesch) * 1.3) END')}, 4) AS clarity, round({CLAMP.format(x='100 - 6 * density - 2 * greatest(0, sentence - 24)')}, 4) AS precision FROM d""")
+d AS (SELECT *, n_distinct / sqrt(n_words) AS ttr, letters / n_words AS word, n_words / n_sentences AS sentence, 206.835e0 - 1.015e0 * n_words / n_sentences - 84.6e0 * syl / n_words AS flesch, (n_hedges + n_weak + n_fillers + n_passive) / n_words * 100e0 AS density FROM m WHERE n_words > 0)
+SELECT doc_id, n_words, n_sentences, CAST(syl AS BIGINT) AS n_syllables, n_hedges, n_weak, n_fillers, n_passive, {FIXED_SQL.format(x='ttr', n=6)} AS root_ttr, {FIXED_SQL.format(x='flesch', n=6)} AS flesch, {FIXED_SQL.format(x=CLAMP.format(x='45e0 + (ttr - 4.5e0) * 16e0 + (word - 4.2e0) * 9e0'), n=4)} AS vocabulary,
+{FIXED_SQL.format(x=CLAMP.format(x='CASE WHEN flesch >= 75 THEN 100e0 - (flesch - 75e0) * .8e0 WHEN flesch >= 50 THEN 100e0 ELSE greatest(0e0, 100e0 - (50e0 - flesch) * 1.3e0) END'), n=4)} AS clarity, {FIXED_SQL.format(x=CLAMP.format(x='100e0 - 6e0 * density - 2e0 * greatest(0e0, sentence - 24e0)'), n=4)} AS precision FROM d""")
 def writing_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """Counts, root type-token ratio, Flesch reading ease, and the three scores made of them, of every text with a word.
-
-    Hedges count between single spaces, without overlap. Words are listed once; weak words and fillers are counted among
-    them, and only texts that hold a hedge at all are searched for it.
-    """
-    text = F.coalesce("text", F.lit(""))
-    sentences = F.size(F.filter(F.split(text, "[.!?]+"), lambda x: x.rlike(r"\S")))
-    t = table(spark, sf, "documents").select("doc_id", F.concat(F.lit(" "), F.lower(F.btrim(text, F.lit(" \t\n\r"))), F.lit(" ")).alias("p"), word_list(text).alias("w"), F.greatest(sentences, F.lit(1)).cast("long").alias("n_sentences"))
-    hedges = sum((F.when(F.contains("p", F.lit(f" {h} ")), F.regexp_count("p", F.lit(f" {h} "))).otherwise(0) for h in HEDGES), F.lit(0)).cast("long")
-    among = lambda words: F.size(F.filter("w", lambda x: x.isin(*words))).cast("long")
-    total = lambda f: F.aggregate("w", F.lit(0).cast("long"), lambda s, x: s + f(x))
-    m = t.select("doc_id", "n_sentences", F.size("w").cast("long").alias("n_words"), F.size(F.array_distinct("w")).alias("d"), total(F.length).alias("letters"), total(syllables).alias("n_syllables"), hedges.alias("n_hedges"), among(WEAK).alias("n_weak"), among(FILLERS).alias("n_fillers"), F.regexp_count("p", F.lit(PASSIVE)).cast("long").alias("n_passive"))
+    """Counts, root type-token ratio, Flesch reading ease, and the three scores made of them, of every text with a word."""
     n = F.col("n_words")
-    m = m.filter("n_words > 0").withColumn("ttr", F.col("d") / F.sqrt(n)).withColumn("flesch", 206.835 - 1.015 * n / F.col("n_sentences") - 84.6 * F.col("n_syllables") / n)
+    m = counted(table(spark, sf, "documents")).filter("n_words > 0").withColumn("ttr", F.col("n_distinct") / F.sqrt(n)).withColumn("flesch", 206.835 - 1.015 * n / F.col("n_sentences") - 84.6 * F.col("n_syllables") / n)
     clamp = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(100.0), x))
     f, density = F.col("flesch"), (F.col("n_hedges") + F.col("n_weak") + F.col("n_fillers") + F.col("n_passive")) / n * 100
     clarity = F.when(f >= 75, 100 - (f - 75) * 0.8).when(f >= 50, 100.0).otherwise(100 - (50 - f) * 1.3)
     scores = {"vocabulary": 45 + (F.col("ttr") - 4.5) * 16 + (F.col("letters") / n - 4.2) * 9, "clarity": clarity, "precision": 100 - 6 * density - 2 * F.greatest(F.lit(0.0), n / F.col("n_sentences") - 24)}
-    return m.select("doc_id", "n_words", "n_sentences", "n_syllables", "n_hedges", "n_weak", "n_fillers", "n_passive", F.round("ttr", 6).alias("root_ttr"), F.round(f, 6).alias("flesch"), *(F.round(clamp(v), 4).alias(k) for k, v in scores.items()))
+    return m.select("doc_id", "n_words", "n_sentences", "n_syllables", "n_hedges", "n_weak", "n_fillers", "n_passive", fixed(F.col("ttr"), 6).alias("root_ttr"), fixed(f, 6).alias("flesch"), *(fixed(clamp(v), 4).alias(k) for k, v in scores.items()))
 
 
 def slug(s: Column, most: int = 100) -> Column:

@@ -52,6 +52,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return Round(df, tag).table
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows of a scan, dealt over all cores where it has fewer splits than there are of them; else as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def placed(df: DataFrame, order: list[Column], within: tuple[str, ...] = (), tag: str = "placed") -> DataFrame:
     """The rows with ``bucket`` and ``before``: the rows of the same group in the buckets before it.
 
@@ -59,18 +65,18 @@ def placed(df: DataFrame, order: list[Column], within: tuple[str, ...] = (), tag
     in the bucket, whatever a group's size. Equal values share a bucket.
     """
     keys = [F.col(c) for c in within]
-    dealt = written(df.repartitionByRange(*keys, *order).withColumn("bucket", F.spark_partition_id()), tag)
-    counts = dealt.groupBy(*within, "bucket").agg(F.count(F.lit(1)).alias("n"))  # a row for each partition and group
+    rows = written(df.repartitionByRange(*keys, *order).withColumn("bucket", F.spark_partition_id()), tag)
+    counts = rows.groupBy(*within, "bucket").agg(F.count(F.lit(1)).alias("n"))  # a row for each partition and group
     earlier = W.partitionBy(*within).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(*within, "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    joined = dealt.alias("d").join(offsets.alias("o"), [F.col(f"d.{c}").eqNullSafe(F.col(f"o.{c}")) for c in (*within, "bucket")])
+    joined = rows.alias("d").join(offsets.alias("o"), [F.col(f"d.{c}").eqNullSafe(F.col(f"o.{c}")) for c in (*within, "bucket")])
     return joined.select("d.*", "o.before")
 
 
 def ordinal(df: DataFrame, order: list[Column], ties: list[str], name: str, within: tuple[str, ...] = ()) -> DataFrame:
-    """Ranks 1 to n by ``order`` and then ``ties``."""
+    """Ranks 1 to n by ``order`` and then ``ties``; ranges are cut by both, so rows of one value may be in many."""
     own = W.partitionBy(*within, "bucket").orderBy(*order, *ties)
-    p = placed(df, order, within)
+    p = placed(df, [*order, *map(F.col, ties)], within)
     return p.withColumn(name, F.col("before") + F.row_number().over(own)).drop("bucket", "before")
 
 
