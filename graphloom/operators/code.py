@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators.rules import is_test_file
+from graphloom.operators.scripts import script_facts, script_metrics
 from graphloom.plans.projections import FILES_SQL, KIND_WEIGHTS, STEPS_SQL, files, kind_weight, steps
 from graphloom.plans.rounds import written
 from graphloom.registry import query
@@ -67,76 +68,6 @@ def python_facts(source: str) -> tuple[list[dict], list[dict]]:
     return symbols, sorted(imports, key=lambda i: i["line"])
 
 
-# What a JavaScript or TypeScript file's facts are read from once comments are blanked out.
-BLANKED = re.compile(r"//[^\n]*|/\*.*?\*/|(\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)", re.S)
-NAMED = r"(?:type\s+)?(?P<clause>[\w$*\s{},]+?)\s*from\s*"
-QUOTE = r"[\"'](?P<spec>[^\"'\n]*)[\"']"
-JS_IMPORT = re.compile(r"^[ \t]*import\s+(?:" + NAMED + ")?" + QUOTE, re.M)
-JS_EXPORT = re.compile(r"^[ \t]*export\s+(?:type\s+)?(?P<clause>\{[^}]*\}|\*(?:\s*as\s+[\w$]+)?)\s*from\s*" + QUOTE, re.M)
-JS_REQUIRE = re.compile(r"(?<![\w$.])require\s*\(\s*" + QUOTE + r"\s*\)")
-JS_TOP = re.compile(r"^(?:export\s+)?(?:default\s+)?(?:(?P<async>async\s+)?function\s*\*?\s*(?P<function>[\w$]+)\s*(?P<params>\([^)]*\))|(?:abstract\s+)?class\s+(?P<class>[\w$]+)|(?:const|let)\s+(?P<arrow>[\w$]+)\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?P<arrow_params>\([^)]*\)|[\w$]+)\s*(?::[^=\n]+)?=>)", re.M)
-JS_METHOD = re.compile(r"^[ \t]+(?:(?:public|private|protected|static|async|get|set|readonly|override)\s+)*(?P<name>[\w$#]+)\s*(?P<params>\([^)]*\))\s*(?::[^{\n]+)?\{", re.M)
-NOT_METHODS = {"if", "for", "while", "switch", "catch", "function", "return", "constructor_"}
-
-
-def block_end(text: str, start: int) -> int:
-    """The place after the brace that closes the first one opened from start; the end of the line without any."""
-    depth = 0
-    for m in re.finditer(r"[{}]", text[start:]):
-        depth += 1 if m[0] == "{" else -1
-        if not depth:
-            return start + m.end()
-    end = text.find("\n", start)
-    return len(text) if end < 0 else end
-
-
-def js_facts(source: str) -> tuple[list[dict], list[dict]]:
-    """The same of a JavaScript or TypeScript file, by patterns: top-level functions, arrow constants, classes and methods."""
-    text = BLANKED.sub(lambda m: m[1] or re.sub(r"[^\n]", " ", m[0]), source)
-    braces = BLANKED.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)  # strings blanked too, for the search of blocks
-    line = lambda at: text.count("\n", 0, at) + 1
-    symbols, imports = [], []
-    for m in JS_TOP.finditer(text):
-        end = line(block_end(braces, m.end() if m["arrow"] else m.start()) - 1) if not m["arrow"] or "{" in braces[m.end() :].split("\n", 1)[0] else line(m.end())
-        name = m["function"] or m["class"] or m["arrow"]
-        signature = f"function {name}{m['params']}" if m["function"] else f"class {name}" if m["class"] else f"const {name} = {m['arrow_params']} =>"
-        symbols.append({"name": name, "kind": "class" if m["class"] else "function", "parent": None, "signature": signature, "docstring": None, "line_start": line(m.start()), "line_end": end})
-        if m["class"]:
-            stop = block_end(braces, m.start())
-            for k in JS_METHOD.finditer(text, m.end(), stop):
-                inside = braces.count("{", m.end(), k.start()) - braces.count("}", m.end(), k.start())
-                if inside == 1 and k["name"] not in NOT_METHODS:
-                    symbols.append({"name": k["name"], "kind": "method", "parent": name, "signature": k["name"] + k["params"], "docstring": None, "line_start": line(k.start() + len(k[0]) - len(k[0].lstrip())), "line_end": line(block_end(braces, k.end() - 1) - 1)})
-
-    def bound(clause: str) -> tuple[list, list]:
-        names, own = [], []
-        inside = re.search(r"\{([^}]*)\}", clause)
-        for part in re.sub(r"\{[^}]*\}", "", clause).split(","):
-            part = part.strip()
-            if part.startswith("*"):
-                names.append("*")
-                own.append(part.rpartition(" ")[2] if " as " in part else None)
-            elif part:
-                names.append("default")
-                own.append(part)
-        for part in (inside[1].split(",") if inside else ()):
-            original, _, alias = part.strip().removeprefix("type ").partition(" as ")
-            if original.strip():
-                names.append(original.strip())
-                own.append((alias or original).strip())
-        return names, own
-
-    for m in JS_IMPORT.finditer(text):
-        names, own = bound(m["clause"] or "")
-        imports.append({"specifier": m["spec"], "names": names, "locals": own, "line": line(m.start()), "reexport": False})
-    for m in JS_EXPORT.finditer(text):
-        names = bound(m["clause"])[0] if m["clause"].startswith("{") else ["*"]
-        imports.append({"specifier": m["spec"], "names": names, "locals": [None] * len(names), "line": line(m.start()), "reexport": True})
-    for m in JS_REQUIRE.finditer(text):
-        imports.append({"specifier": m["spec"], "names": [], "locals": [], "line": line(m.start()), "reexport": False})
-    return symbols, sorted(imports, key=lambda i: i["line"])
-
-
 def extract(sources: DataFrame) -> DataFrame:
     """path, symbols, imports of files (path, content); the language goes by the extension, others have no facts."""
 
@@ -144,7 +75,7 @@ def extract(sources: DataFrame) -> DataFrame:
         for batch in batches:
             symbols, imports = [], []
             for path, text in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                read = python_facts if path and path.endswith(".py") else js_facts if path and path.endswith(JS_EXTENSIONS) else None
+                read = python_facts if path and path.endswith(".py") else script_facts if path and path.endswith(JS_EXTENSIONS) else None
                 s, i = read(text) if read and text else ([], [])
                 symbols.append(s)
                 imports.append(i)
@@ -376,7 +307,7 @@ def two_stage(spark: SparkSession, sf: str) -> DataFrame:
     return resolve_in_two_stages(i, p).select(F.col("specifier").alias("spec"), "target")
 
 
-# Functions' metrics, of Python alone: there is no grammar of other languages here, and theirs are null.
+# Functions' metrics in Python; those of JavaScript and TypeScript are in scripts.py.
 DECISIONS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.match_case)
 NESTING = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.TryStar, ast.With, ast.AsyncWith, ast.Match)
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda)
@@ -442,12 +373,15 @@ def file_metrics(source: str) -> dict | None:
 
 
 def code_metrics(sources: DataFrame) -> DataFrame:
-    """Metrics of every Python file, by path; of other files, and of those that don't parse, all null."""
+    """Metrics of every Python, JavaScript and TypeScript file, by path; of others, and of those that don't parse, all null."""
+
+    def measure(path: str | None):
+        return file_metrics if path and path.endswith(".py") else script_metrics if path and path.endswith(JS_EXTENSIONS) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("nloc", "function_count", "max_cyclomatic", "max_nesting", "max_operands", "max_function_nloc", "broad_handlers", "worst_symbol", "worst_line")
         for batch in batches:
-            found = [file_metrics(t) if p and p.endswith(".py") and t is not None else None for p, t in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True)]
+            found = [measure(p)(t) if t is not None and measure(p) else None for p, t in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True)]
             columns = [pa.array([f[k] if f else None for f in found], pa.string() if k == "worst_symbol" else pa.int32()) for k in names]
             yield pa.RecordBatch.from_arrays([batch.column("path"), *columns], ["path", *names])
 
@@ -464,12 +398,22 @@ def generated_functions(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("# A comment\n\ndef worst(a, b):\n"), deep, repeat("    if a:\n        b = 1", F.col("s") % 7, "\n"), F.when(F.col("s") % 7 > 0, "\n").otherwise(""),
         F.lit("    c = "), repeat("a", F.col("s") % 4 + 1, " and "), F.lit("\n    return c\n\n\ndef other():\n    try:\n        pass\n    except"), F.when(F.col("s") % 2 == 0, ":").otherwise(" ValueError:"), F.lit("\n        pass\n"),
     )
-    return f.select("path", text.alias("content"))
+    loops = F.col("s") % 5 + 1
+    script = F.concat(
+        F.lit("// if (a) { for (;;) {\n\nfunction worst(a, b) {\n"), F.array_join(F.array_repeat(F.lit("for (const i of a) {"), loops), "\n"), F.lit("\ngo(`}${a ? '}' : /[/}]/}`);\n"), F.array_join(F.array_repeat(F.lit("}"), loops), "\n"), F.lit("\n"),
+        repeat("if (a) {\n  b = 1;\n}", F.col("s") % 7, "\n"), F.when(F.col("s") % 7 > 0, "\n").otherwise(""), F.lit("const c = "), repeat("a", F.col("s") % 4 + 1, " && "), F.lit(";\nreturn c;\n}\n\nexport const other = () => {\n  try {\n    go();\n  } catch (e) {\n"),
+        F.when(F.col("s") % 2 == 0, "").otherwise("    throw e;\n"), F.lit("  }\n};\n"),
+    )
+    return f.select("path", F.when(F.col("path").rlike(r"\.(ts|tsx|js|jsx)$"), script).otherwise(text).alias("content"))
+
+
+_BOTH = "CASE WHEN py THEN {py} WHEN js THEN {js} END"
+_WORST = "1 + 2 * (s % 5 + 1) + 1 + 3 * (s % 7) + 3"
 
 
-@query("hs_code_metrics", f"""WITH {FILES_SQL}, s AS (SELECT path, nloc // 20 AS s, ends_with(path, '.py') AS py FROM files)
-SELECT path, CASE WHEN py THEN s % 5 + 5 + 2 * (s % 7) + 5 END AS nloc, CASE WHEN py THEN 2 END AS function_count, CASE WHEN py THEN greatest(2, 1 + s % 5 + 1 + s % 7 + s % 4) END AS max_cyclomatic, CASE WHEN py THEN s % 5 + 1 END AS max_nesting,
-CASE WHEN py THEN CASE WHEN s % 4 = 0 THEN 0 ELSE s % 4 + 1 END END AS max_operands, CASE WHEN py THEN greatest(5, s % 5 + 5 + 2 * (s % 7)) END AS max_function_nloc, CASE WHEN py THEN CASE WHEN s % 2 = 0 THEN 1 ELSE 0 END END AS broad_handlers, CASE WHEN py THEN 'worst' END AS worst_symbol FROM s""")
+@query("hs_code_metrics", f"""WITH {FILES_SQL}, s AS (SELECT path, nloc // 20 AS s, ends_with(path, '.py') AS py, regexp_matches(path, '\\.(ts|tsx|js|jsx)$') AS js FROM files)
+SELECT path, {_BOTH.format(py='s % 5 + 5 + 2 * (s % 7) + 5', js=f'{_WORST} + 6 + s % 2')} AS nloc, CASE WHEN py OR js THEN 2 END AS function_count, {_BOTH.format(py='greatest(2, 1 + s % 5 + 1 + s % 7 + s % 4)', js='greatest(2, 2 + s % 5 + 1 + s % 7 + s % 4)')} AS max_cyclomatic, CASE WHEN py OR js THEN s % 5 + 1 END AS max_nesting,
+CASE WHEN py OR js THEN CASE WHEN s % 4 = 0 THEN 0 ELSE s % 4 + 1 END END AS max_operands, {_BOTH.format(py='greatest(5, s % 5 + 5 + 2 * (s % 7))', js=f'greatest(6 + s % 2, {_WORST})')} AS max_function_nloc, CASE WHEN py OR js THEN CASE WHEN s % 2 = 0 THEN 1 ELSE 0 END END AS broad_handlers, CASE WHEN py OR js THEN 'worst' END AS worst_symbol FROM s""")
 def metrics_query(spark: SparkSession, sf: str) -> DataFrame:
     """Metrics of generated functions of known shape."""
     return code_metrics(generated_functions(spark, sf)).drop("worst_line")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from graphloom.operators import code
+from graphloom.operators.scripts import scan, script_facts, script_metrics
 
 PYTHON = '''"""Doc."""
 import os, a.b as c
@@ -50,7 +51,7 @@ def test_python_facts():
 
 
 def test_script_facts():
-    symbols, imports = code.js_facts(SCRIPT)
+    symbols, imports = script_facts(SCRIPT)
     assert [(s["name"], s["kind"], s["parent"], s["line_start"], s["line_end"]) for s in symbols] == [("arrow", "function", None, 8, 10), ("Foo", "class", None, 11, 16), ("constructor", "method", "Foo", 12, 12), ("run", "method", "Foo", 13, 15), ("old", "function", None, 17, 17)]
     assert [(i["specifier"], i["names"], i["locals"], i["reexport"]) for i in imports] == [("./x", ["default", "b", "D"], ["a", "c", "D"], False), ("y", ["*"], ["ns"], False), ("side", [], [], False), ("../z", ["q"], [None], True), ("./all", ["*"], [None], True), ("mod", [], [], False)]
 
@@ -101,3 +102,52 @@ def test_unknown_languages_have_no_metrics(spark):
 def test_paths_are_normalised(spark):
     d = spark.createDataFrame([("./a//b/../c/./d",), ("../x",), ("a/../../b",), ("",)], "p string")
     assert [r[0] for r in d.select(code.normal_path(F.col("p"))).collect()] == ["a/c/d", "../x", "../b", ""]
+
+
+def test_nothing_inside_strings_templates_or_patterns_is_code():
+    text = """const s = "require('fake')", t = `import a from 'b' ${require('real')} ${`deep ${x ? `}` : "`"} require('no')`} {`;
+const r = /[`/]require('no')\\//.test(s) / 2;
+// require('commented')
+/* import y from 'y' */
+import z, * as w from 'z'
+"""
+    assert [i["specifier"] for i in script_facts(text)[1]] == ["real", "z"]
+    assert [(t.kind, t.text) for t in scan("a / b / c")[0]] == [("name", "a"), ("mark", "/"), ("name", "b"), ("mark", "/"), ("name", "c")]
+    assert [t.kind for t in scan("x = /a[/]b/g; `a${`b${1}`}c`; 'open")[0]] == ["name", "mark", "pattern", "mark", "template", "template", "number", "template", "template", "mark", "string"]
+
+
+def test_script_symbols_of_every_form():
+    text = """export default function () { return 1 }
+export default class extends Base {
+  static async *go<T>(a: string, b = {}): Promise<T> { if (a) { return b } }
+  #hidden() {}
+  get value() { return 1 }
+  field = () => { call() }
+}
+async function later(a, { b }) {}
+export const typed: Fn = async (x: number): Promise<void> => { await x },
+  other = y => y + 1;
+let notAFunction = call(() => 1);
+if (x) { function inner() {} }
+"""
+    got = [(x["name"], x["kind"], x["parent"]) for x in script_facts(text)[0]]
+    assert got == [("default", "function", None), ("default", "class", None), ("go", "method", "default"), ("#hidden", "method", "default"), ("value", "method", "default"), ("later", "function", None), ("typed", "function", None)]
+
+
+def test_script_metrics_by_function():
+    text = """function a(x) { // noted
+  if (x && (y || z)) { for (const k of x) { while (k) { k-- } } } else if (x) { go() } else go();
+  do { x?.y ?? z } while (x);
+  switch (x) { case 1: break; default: }
+  const inner = (q) => q ? 1 : 2;
+  try { x } catch { }
+}
+
+class B { m(p?: string) { try { p } catch (e) { log(e) } finally { } return p } }
+"""
+    m = script_metrics(text)
+    # a: if, &&, ||, for, while, else's if, do, ??, case, catch; inner: the choice; m: catch
+    assert (m["function_count"], m["max_cyclomatic"], m["max_nesting"], m["max_operands"], m["broad_handlers"]) == (3, 11, 3, 3, 1)
+    assert (m["nloc"], m["max_function_nloc"], m["worst_symbol"], m["worst_line"]) == (7, 6, "a", 1)
+    assert script_metrics("")["function_count"] == 0 and script_metrics("}}}((( `${")["max_cyclomatic"] == 0
+    assert script_metrics("function f() { " + "if (a) {} else " * 3000 + "{} }")["max_cyclomatic"] == 3001
