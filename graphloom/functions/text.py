@@ -100,3 +100,20 @@ def uuid5(name: Column, namespace: str = NIL_DNS) -> Column:
 def fenced_json(text: Column) -> Column:
     """The content of a code fence around an answer, or the answer."""
     return F.btrim(F.regexp_replace(F.btrim(text, F.lit(" \n\t\r")), r"^```[A-Za-z]*\s*|\s*```$", ""), F.lit(" \n\t\r"))
+
+
+# The 32-bit FNV-1a hash.
+FNV_START, FNV_PRIME = 2166136261, 16777619
+
+
+def fingerprint(text: Column) -> Column:
+    """The last six base-36 digits of the FNV-1a hash of a text's UTF-16 units."""
+    wide = F.encode(text, "UTF-16BE")
+    unit = lambda k: F.conv(F.hex(F.substring(wide, 2 * k + 1, F.lit(2))), 16, 10).cast("long")
+    places = F.when(text == "", F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), (F.octet_length(wide) / 2).cast("int") - 1))
+    step = lambda h, k: (h.bitwiseXOR(unit(k)) * FNV_PRIME).bitwiseAND(0xFFFFFFFF)
+    return F.right(F.concat(F.lit("00000"), F.lower(F.conv(F.aggregate(places, F.lit(FNV_START), step).cast("string"), 10, 36))), F.lit(6))
+
+
+_FNV = f"list_reduce(list_prepend({FNV_START}::BIGINT, list_transform(string_split({{x}}, ''), lambda c: ord(c)::BIGINT)), lambda h, c: (xor(h, c) * {FNV_PRIME}) & 4294967295)"
+FINGERPRINT_SQL = "array_to_string(list_transform([5, 4, 3, 2, 1, 0], lambda k: substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST((" + _FNV + " // CAST(36 ** k AS BIGINT)) % 36 AS INTEGER) + 1, 1)), '')"

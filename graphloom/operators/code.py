@@ -115,21 +115,38 @@ def python_candidates(specifier: Column, name: Column, from_path: Column, roots:
     return F.when(name.isNull() | (name == "*"), own).otherwise(F.concat(sub, own))
 
 
-def js_candidates(specifier: Column, from_path: Column, aliases: dict[str, list[str]]) -> Column:
-    """Exact path, then each extension, then an index file of each; aliases by the longest prefix first."""
+def tried(base: Column) -> Column:
+    """Exact path, then each extension, then an index file of each."""
+    b = normal_path(base)
+    return F.array(b, *(F.concat(b, F.lit(e)) for e in JS_EXTENSIONS), *(F.concat(b, F.lit(f"/index{e}")) for e in JS_EXTENSIONS))
 
-    def tried(base: Column) -> Column:
-        b = normal_path(base)
-        return F.array(b, *(F.concat(b, F.lit(e)) for e in JS_EXTENSIONS), *(F.concat(b, F.lit(f"/index{e}")) for e in JS_EXTENSIONS))
 
-    out = F.when(F.startswith(specifier, F.lit(".")), tried(F.concat_ws("/", folder(from_path), specifier)))
-    own = F.array().cast("array<string>")
-    for pattern, targets in sorted(aliases.items(), key=lambda x: -len(x[0].rstrip("*"))):
-        prefix = pattern.rstrip("*")
-        rest = F.substring(specifier, F.lit(len(prefix) + 1), F.length(specifier))
-        found = F.concat(*(tried(F.concat(F.lit(t.rstrip("*")), rest)) for t in targets))
-        own = F.concat(own, F.when(F.startswith(specifier, F.lit(prefix)), found).otherwise(F.array().cast("array<string>"))) if aliases else own
-    return out.otherwise(own)
+def js_candidates(specifier: Column, from_path: Column) -> Column:
+    return F.when(F.startswith(specifier, F.lit(".")), tried(F.concat_ws("/", folder(from_path), specifier))).otherwise(F.array().cast("array<string>"))
+
+
+def nearest_config(paths: DataFrame, dirs: DataFrame) -> DataFrame:
+    """path, dir: the deepest of the folders (dir) that a path lies in; folders above a path meet dirs by equality."""
+    parts = F.split(folder(F.col("path")), "/")
+    up = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    above = paths.select("path", F.explode(F.array_distinct(up)).alias("dir")).join(dirs.select("dir").distinct(), "dir")
+    return above.groupBy("path").agg(F.max_by("dir", F.length("dir")).alias("dir"))
+
+
+def aliased(imports: DataFrame, paths: DataFrame, aliases: DataFrame) -> DataFrame:
+    """id, target of imports that an alias of their nearest settings file leads to a file; aliases: dir, alias, targets.
+
+    Only the nearest folder's aliases count, none of those above. Every beginning of a specifier meets the aliases'
+    beginnings by equality; the longest that leads anywhere wins, then the first target, then the first extension.
+    """
+    rows = imports.filter(F.lower("path").rlike(r"\.(ts|tsx|js|jsx)$") & ~F.startswith("specifier", F.lit("."))).select("id", "path", "specifier")
+    own = rows.join(nearest_config(rows.select("path").distinct(), aliases), "path")
+    begun = own.select("id", "dir", "specifier", F.explode(F.sequence(F.lit(0), F.length("specifier"))).alias("n")).withColumn("prefix", F.left("specifier", F.col("n")))
+    table_ = aliases.filter("alias IS NOT NULL").select("dir", "alias", F.rtrim(F.col("alias"), F.lit("*")).alias("prefix"), F.posexplode("targets").alias("nth", "to"))
+    hit = begun.join(table_, ["dir", "prefix"])
+    rest = F.substr("specifier", F.col("n") + 1)
+    c = hit.select("id", "n", "alias", "nth", F.posexplode(tried(F.concat(F.rtrim(F.col("to"), F.lit("*")), rest))).alias("pos", "target"))
+    return c.join(paths.select(F.col("path").alias("target")), "target", "left_semi").groupBy("id").agg(F.min_by("target", F.struct((-F.col("n")).alias("n"), "alias", "nth", "pos")).alias("target"))
 
 
 def imports_of(facts: DataFrame) -> DataFrame:
@@ -146,11 +163,14 @@ def probe(imports: DataFrame, paths: DataFrame) -> DataFrame:
     return c.join(paths.select(F.col("path").alias("target")), "target", "left_semi").groupBy("id").agg(F.min_by("target", "pos").alias("target"))
 
 
-def resolve(imports: DataFrame, paths: DataFrame, roots: tuple[str, ...] = DEFAULT_ROOTS, aliases: dict[str, list[str]] | None = None) -> DataFrame:
-    """The imports with target, null where no file answers."""
+def resolve(imports: DataFrame, paths: DataFrame, roots: tuple[str, ...] = DEFAULT_ROOTS, aliases: DataFrame | None = None) -> DataFrame:
+    """The imports with target, null where no file answers; aliases: dir, alias, targets, by settings file."""
     is_python = F.endswith("path", F.lit(".py"))
-    c = F.when(is_python, python_candidates(F.col("specifier"), F.col("name"), F.col("path"), F.array(*map(F.lit, roots)))).otherwise(js_candidates(F.col("specifier"), F.col("path"), aliases or {}))
-    return imports.join(probe(imports.withColumn("candidates", c), paths), "id", "left")
+    c = F.when(is_python, python_candidates(F.col("specifier"), F.col("name"), F.col("path"), F.array(*map(F.lit, roots)))).otherwise(js_candidates(F.col("specifier"), F.col("path")))
+    found = probe(imports.withColumn("candidates", c), paths)
+    if aliases is not None:  # relative imports have no alias, and no other script's has candidates of its own
+        found = found.unionByName(aliased(imports, paths, aliases))
+    return imports.join(found, "id", "left")
 
 
 def candidate_roots(paths: DataFrame) -> DataFrame:
@@ -183,7 +203,7 @@ def promoted_roots(scores: DataFrame, least_share: float = LEAST_SHARE, least: i
     return scores.filter((F.col("share") >= least_share) & (F.col("score") >= least)).select("root")
 
 
-def resolve_in_two_stages(imports: DataFrame, paths: DataFrame, aliases: dict[str, list[str]] | None = None) -> DataFrame:
+def resolve_in_two_stages(imports: DataFrame, paths: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Default roots first; what stays open is tried under promoted roots: those above the file deepest first, then the others.
 
     Files meet roots by the path's rest, as in score_roots; of the files that answer a row, the first candidate under
@@ -264,7 +284,11 @@ def generated_sources(spark: SparkSession, sf: str) -> DataFrame:
     return f.filter(F.col("path").rlike(CODE)).join(text, "id", "left").select("path", F.concat(F.coalesce("body", F.lit("")), tail).alias("content"))
 
 
-ALIASES = {"@/*": ["*"]}
+def top_config(spark: SparkSession) -> DataFrame:
+    """The settings file of a repository whose alias stands for its top."""
+    from graphloom.sources.repository import path_aliases
+
+    return path_aliases(spark.createDataFrame([("tsconfig.json", '{"compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["*"]}}}')], "path string, content string"))
 
 
 @query("src_symbols", f"""WITH {FILES_SQL} SELECT path, s.name, s.kind, s.parent FROM files, (VALUES ('run', 'function', NULL), ('Kept', 'class', NULL), ('go', 'method', 'Kept')) s(name, kind, parent) WHERE regexp_matches(path, '{CODE}')
@@ -283,7 +307,23 @@ def imports_query(spark: SparkSession, sf: str) -> DataFrame:
     """Every import and the file that answers it, in two stages of roots."""
     s = generated_sources(spark, sf)
     i = written(imports_of(extract(s)), "imports")
-    return resolve_in_two_stages(i, files(spark, sf).select("path"), ALIASES).select("path", "name", "target")
+    return resolve_in_two_stages(i, files(spark, sf).select("path"), top_config(spark)).select("path", "name", "target")
+
+
+@query("src_alias_nearest", f"""WITH {CODE_EDGES_SQL}, j AS (SELECT id, path, split_part(path, '/', 1) AS top, regexp_matches(path, '\\.(ts|tsx|js|jsx)$') AS js FROM files)
+SELECT a.path, b.id AS dst, CASE WHEN a.top = b.top AND NOT ends_with(b.path, '.py') THEN b.path END AS target FROM ce JOIN j a ON a.id = src JOIN j b ON b.id = dst WHERE a.js""")
+def alias_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """Imports by one alias that every top folder's settings file gives another meaning, and the repository's own a third."""
+    from graphloom.sources.repository import path_aliases
+
+    f = files(spark, sf).select("id", "path").withColumn("top", F.substring_index("path", "/", 1))
+    own = F.lit('{"compilerOptions": {"paths": {"@/*": ["./nowhere/*", "./*"]}}}')
+    above = spark.createDataFrame([("tsconfig.json", '{"compilerOptions": {"baseUrl": "lib", "paths": {"@/*": ["*"], "@": ["x"]}}}')], "path string, content string")
+    configs = f.select(F.concat("top", F.lit("/tsconfig.json")).alias("path"), own.alias("content")).distinct().unionByName(above)
+    rest = F.regexp_replace(F.regexp_replace("path", CODE, ""), "^[^/]*/", "")
+    e = code_edges(spark, sf).join(f.select(F.col("id").alias("src"), "path"), "src").filter(F.col("path").rlike(r"\.(ts|tsx|js|jsx)$")).join(f.select(F.col("id").alias("dst"), F.concat(F.lit("@/"), rest).alias("specifier")), "dst")
+    i = written(e.select(F.xxhash64("src", "dst").alias("id"), "path", "dst", "specifier", F.lit(None).cast("string").alias("name")), "imports")
+    return resolve(i, f.select("path"), aliases=path_aliases(configs)).select("path", "dst", "target")
 
 
 @query("gr_edge_kinds", f"""WITH {RESOLVED_SQL} SELECT kind, count(*) AS n, CAST(max(CASE kind WHEN 'inherits' THEN 1 WHEN 'calls' THEN .8 WHEN 'heavy_use' THEN .8 WHEN 'light_use' THEN .4 WHEN 'type_only' THEN .25 ELSE .05 END) AS DOUBLE) AS weight FROM

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import STOPWORDS, clean_word, contains_in_order, cut_at_word, fenced_json, git_origin, glob_pattern, graded_form, long_slug, name_tokens, one_spaced, plain_text, shortest_distinct, similarity, uuid5
+from graphloom.functions.text import FINGERPRINT_SQL, STOPWORDS, clean_word, contains_in_order, cut_at_word, fenced_json, fingerprint, git_origin, glob_pattern, graded_form, long_slug, name_tokens, one_spaced, plain_text, shortest_distinct, similarity, uuid5
 from graphloom.operators.code import normal_path
 from graphloom.plans.projections import FILES_SQL, files
 from graphloom.registry import query
@@ -13,7 +13,7 @@ from graphloom.session import table
 
 # The least severity of a finding, the hours a fetched answer is fresh, the marks of what isn't a seed.
 SEVERITY_FLOOR, FRESH_HOURS = 0.25, 24
-NOT_SEEDS = ("scripts/", "tools/", "examples/", "docs/")
+NOT_SEEDS = ("scripts/", "tools/", "tests/", "test/")
 NOISE = ("config", "migration", "generated")
 
 
@@ -83,9 +83,9 @@ def globs(spark: SparkSession, sf: str) -> DataFrame:
     return files(spark, sf).select("id", name.rlike(glob_pattern("*.config.*")).alias("is_config"), tests.alias("is_script_test"))
 
 
-@query("str_fingerprint", f"WITH {FILES_SQL} SELECT id, left(md5(path), 12) AS fingerprint FROM files")
+@query("str_fingerprint", f"WITH {FILES_SQL} SELECT id, {FINGERPRINT_SQL.format(x='path')} AS fingerprint FROM files")
 def path_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    return files(spark, sf).select("id", F.left(F.md5("path"), F.lit(12)).alias("fingerprint"))
+    return files(spark, sf).select("id", fingerprint(F.col("path")).alias("fingerprint"))
 
 
 @query("str_token_estimate", "SELECT item_id, CAST(floor((length(to_json(text)) + 9) / 3.6) AS BIGINT) AS tokens FROM benchmark")
@@ -168,7 +168,7 @@ def severity_floor(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").filter("event_type <> 'error'").groupBy("event_type").agg(F.count_if(v >= SEVERITY_FLOOR).alias("findings"), F.count_if((v > 0) & (v < SEVERITY_FLOOR)).alias("hidden"))
 
 
-@query("flt_seed_eligible", f"WITH {FILES_SQL}, s AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'scripts/' ELSE '' END || path AS path, id % 3 = 0 AS authoritative, id % 11 = 0 AS excluded FROM files) SELECT id, CASE WHEN excluded THEN false WHEN authoritative THEN true ELSE NOT regexp_matches(path, '(^|/)(scripts|tools|examples|docs)/') END AS eligible FROM s")
+@query("flt_seed_eligible", f"WITH {FILES_SQL}, s AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'scripts/' ELSE '' END || path AS path, id % 3 = 0 AS authoritative, id % 11 = 0 AS excluded FROM files) SELECT id, CASE WHEN excluded THEN false WHEN authoritative THEN true ELSE NOT regexp_matches(path, '(^|/)(scripts|tools|tests|test)/') END AS eligible FROM s")
 def seed_eligible(spark: SparkSession, sf: str) -> DataFrame:
     """A repository's own exclusions win, what a config names is always a seed, what a pattern found isn't in folders of helpers."""
     path = F.concat(F.when(F.col("id") % 5 == 0, "scripts/").otherwise(""), "path")

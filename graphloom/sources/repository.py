@@ -109,10 +109,10 @@ def description(package: Column, project: Column, readme: Column) -> Column:
 
 
 def path_aliases(configs: DataFrame) -> DataFrame:
-    """dir, alias, targets of settings files (path, content): each alias with its targets below the base folder."""
+    """dir, alias, targets of settings files (path, content): each alias with its targets below the base folder; null without any."""
     bare = F.regexp_replace("content", r"(?m)^\s*//.*$", "")
     options = F.from_json(bare, "compilerOptions struct<baseUrl:string,paths:map<string,array<string>>>")["compilerOptions"]
-    c = configs.select(F.regexp_replace("path", "/?[^/]*$", "").alias("dir"), F.coalesce(options["baseUrl"], F.lit(".")).alias("base"), F.explode(options["paths"]).alias("alias", "targets"))
+    c = configs.select(F.regexp_replace("path", "/?[^/]*$", "").alias("dir"), F.coalesce(options["baseUrl"], F.lit(".")).alias("base"), F.explode_outer(options["paths"]).alias("alias", "targets"))
     from graphloom.operators.code import normal_path
 
     return c.select("dir", "alias", F.transform("targets", lambda t: normal_path(F.concat_ws("/", "dir", "base", t))).alias("targets"))

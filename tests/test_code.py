@@ -59,6 +59,8 @@ def test_script_facts():
 def resolved(spark, rows, paths, aliases=None):
     i = spark.createDataFrame(rows, "id long, path string, specifier string, name string")
     p = spark.createDataFrame([(x,) for x in paths], "path string")
+    if aliases is not None:
+        aliases = spark.createDataFrame([("", a, t) for a, t in aliases.items()] if isinstance(aliases, dict) else aliases, "dir string, alias string, targets array<string>")
     return {r.id: r.target for r in code.resolve_in_two_stages(i, p, aliases).collect()}
 
 
@@ -151,3 +153,29 @@ class B { m(p?: string) { try { p } catch (e) { log(e) } finally { } return p }
     assert (m["nloc"], m["max_function_nloc"], m["worst_symbol"], m["worst_line"]) == (7, 6, "a", 1)
     assert script_metrics("")["function_count"] == 0 and script_metrics("}}}((( `${")["max_cyclomatic"] == 0
     assert script_metrics("function f() { " + "if (a) {} else " * 3000 + "{} }")["max_cyclomatic"] == 3001
+
+
+def test_the_nearest_settings_file_decides_an_alias(spark):
+    paths = ["a/src/x.ts", "a/b/lib/x.ts", "a/b/lib/y/index.tsx", "src/x.ts", "src/z.js", "a/src/z.js"]
+    configs = [("", "@/*", ["src/*"]), ("a", "@/*", ["a/src/*"]), ("a/b", "@/*", ["a/b/none/*", "a/b/lib/*"]), ("a/b", "@/y*", ["a/src/x*"]), ("c", None, None)]
+    rows = [(1, "main.ts", "@/x", None), (2, "a/m.ts", "@/x", None), (3, "a/b/deep/m.tsx", "@/x", None), (4, "a/b/m.js", "@/y", None), (5, "a/b/m.js", "@/z", None), (6, "c/m.js", "@/x", None), (7, "ab/m.js", "@/z", None), (8, "a/b/m.js", "@/yz", None)]
+    # 4: the longer beginning; 5: no way back to the settings above; 6: the nearest settings have no alias
+    assert resolved(spark, rows, paths, configs) == {1: "src/x.ts", 2: "a/src/x.ts", 3: "a/b/lib/x.ts", 4: "a/src/x.ts", 5: None, 6: None, 7: "src/z.js", 8: None}
+
+
+def test_fingerprints(spark):
+    from graphloom.functions.text import fingerprint
+
+    def plain(s):
+        h, units = 2166136261, s.encode("utf-16-be")
+        for a, b in zip(units[::2], units[1::2], strict=True):
+            h = ((h ^ (a << 8 | b)) * 16777619) & 0xFFFFFFFF
+        out = ""
+        while h:
+            h, d = divmod(h, 36)
+            out = "0123456789abcdefghijklmnopqrstuvwxyz"[d] + out
+        return out.rjust(6, "0")[-6:]
+
+    texts = ["", "a", "src/app/main.py", "é/ü.ts", "𝒳/日本.py"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fingerprint(F.col("t")).alias("f")).collect()
+    assert {r.t: r.f for r in got} == {t: plain(t) for t in texts}
