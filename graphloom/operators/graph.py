@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.plans.projections import G1_SQL, STEPS_SQL, WEIGHT_SQL, WEIGHTED_SQL, dense_edges, files, kind_weight, steps, weighted_edges
-from graphloom.plans.rounds import Round, written
+from graphloom.plans.rounds import Round, shared_dir, written
 from graphloom.registry import query
+from graphloom.sources.snapshots import SnapshotLog
 
 DAMPING, MOST_ROUNDS, TOLERANCE = 0.85, 100, 1e-8
 
@@ -302,6 +304,16 @@ def structure_summary(spark: SparkSession, sf: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(lost))  # one row each
 
 
+@query("gr_structure_snapshot", f"WITH RECURSIVE {LAYER_SQL} SELECT scc.id, scc_id, CASE WHEN (SELECT count(*) FROM part WHERE p_size = 1) > 0 THEN hop IS NOT NULL END AS reachable FROM scc LEFT JOIN bfs ON bfs.id = scc_id")
+def structure_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """What a run keeps of every file, committed as a snapshot of its own and read back from the log."""
+    e, n, entries = whole_graph(spark, sf)
+    c = file_components(spark, sf)
+    log = SnapshotLog(spark, f"{shared_dir(spark)}/graphloom/structure-{uuid.uuid4().hex}")
+    rows = c.select("id", "scc_id").join(reachable(layers(e, n, entries, c), entries), "id")
+    return log.read(log.commit(rows))
+
+
 #: A graph of many components beside the whole one: the edges of orders' lines of large quantities alone.
 THIN = 47
 THIN_SQL = STEPS_SQL + f", thin AS (SELECT DISTINCT src, dst FROM steps WHERE dst IS NOT NULL AND l_quantity >= {THIN})"

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom.sources import files
@@ -63,3 +64,56 @@ def test_sinks(spark, tmp_path):
     assert sorted((r.id, r.v) for r in files.upsert(now, changes, ["id"]).collect()) == [(2, 9), (3, 2), (4, 5)]
     assert sorted(r.id for r in files.upsert(now, changes, ["id"], keep_unseen=False).collect()) == [2, 4]
     assert spark.read.parquet(files.write_snapshot(now, str(tmp_path / "snaps"))).count() == 2
+
+
+def test_readers_see_finished_snapshots_only(spark, tmp_path):
+    from graphloom.sources.snapshots import LostRace, SnapshotLog
+
+    log = SnapshotLog(spark, str(tmp_path / "log"))
+    with pytest.raises(LookupError):
+        log.read()
+    assert log.commit(spark.range(3)) == 0 and log.commit(spark.range(5)) == 1
+    assert log.read().count() == 5 and log.read(0).count() == 3 and log.manifest(1)["rows"] == 5
+
+    def refuse(rows):
+        raise ValueError(f"{rows} rows are too few")
+
+    with pytest.raises(ValueError, match="7 rows"):
+        log.commit(spark.range(7), check=refuse)  # written, but never committed
+    torn = spark.range(9).select(F.when(F.col("id") == 8, F.raise_error(F.lit("dies"))).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="dies"):
+        log.commit(torn)
+    with pytest.raises(LostRace):
+        log.commit(spark.range(2), parent=0)  # another writer has made version 1
+    assert log.versions() == [0, 1] and log.read().count() == 5 and len(log.unfinished()) == 3
+    assert not [p for p in (tmp_path / "log" / "log").iterdir() if p.name.startswith(".") and not p.name.endswith(".crc")]
+
+
+def test_a_repeated_batch_is_not_doubled(spark, tmp_path):
+    from graphloom.streaming import jobs
+
+    root = str(tmp_path)
+    stream = jobs.streamed_files(spark.range(100), 3, "id", root)
+    out = jobs.drained(stream, root)
+    assert sorted(r.id for r in out.collect()) == list(range(100))
+    last = max(r.batch for r in out.select("batch").distinct().collect())
+    jobs.put_batch(spark.createDataFrame(out.filter(F.col("batch") == last).drop("batch").collect(), "id long"), last, f"{root}/out")
+    for p in (tmp_path / "progress" / "commits").iterdir():  # as if the driver had died before it noted the last batch
+        if p.name.strip(".").removesuffix(".crc") == str(last):
+            p.unlink()
+    again = jobs.drained(spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(f"{root}/in"), root)
+    assert sorted(r.id for r in again.collect()) == list(range(100))
+
+
+def test_one_job_of_a_key_runs(spark, tmp_path):
+    from graphloom.streaming import jobs
+
+    hour = 3600
+    batches = [[(1, 10, at(hour)), (1, 11, at(hour + 5)), (2, 20, at(0))], [(1, 12, at(2 * hour)), (1, 13, at(2 * hour - 1))], [(2, 21, at(30 * hour)), (1, 14, at(30 * hour))], [(2, 22, at(30 * hour + 1))], [(3, 30, at(hour))]]
+    spark.conf.set(*jobs.STATE_STORE)
+    try:
+        got = run(spark, tmp_path, batches, "job long, event_id long, ts timestamp", lambda s: jobs.one_in_flight(s, "2 hours"), "append")
+    finally:
+        spark.conf.unset(jobs.STATE_STORE[0])
+    # 13 comes while 10 still runs; 30 is older than the watermark
+    assert {(r.event_id, r.started, r.running) for r in got} == {(10, True, 10), (11, False, 10), (20, True, 20), (13, False, 10), (12, True, 12), (21, True, 21), (14, True, 14), (22, False, 21)}
