@@ -451,9 +451,13 @@ _BOTH = "CASE WHEN py THEN {py} WHEN js THEN {js} END"
 _WORST = "1 + 2 * (s % 5 + 1) + 1 + 3 * (s % 7) + 3"
 
 
-@query("hs_code_metrics", f"""WITH {FILES_SQL}, s AS (SELECT path, nloc // 20 AS s, ends_with(path, '.py') AS py, regexp_matches(path, '\\.(ts|tsx|js|jsx)$') AS js FROM files)
-SELECT path, {_BOTH.format(py='s % 5 + 5 + 2 * (s % 7) + 5', js=f'{_WORST} + 6 + s % 2')} AS nloc, CASE WHEN py OR js THEN 2 END AS function_count, {_BOTH.format(py='greatest(2, 1 + s % 5 + 1 + s % 7 + s % 4)', js='greatest(2, 2 + s % 5 + 1 + s % 7 + s % 4)')} AS max_cyclomatic, CASE WHEN py OR js THEN s % 5 + 1 END AS max_nesting,
-CASE WHEN py OR js THEN CASE WHEN s % 4 = 0 THEN 0 ELSE s % 4 + 1 END END AS max_operands, {_BOTH.format(py='greatest(5, s % 5 + 5 + 2 * (s % 7))', js=f'greatest(6 + s % 2, {_WORST})')} AS max_function_nloc, CASE WHEN py OR js THEN CASE WHEN s % 2 = 0 THEN 1 ELSE 0 END END AS broad_handlers, CASE WHEN py OR js THEN 'worst' END AS worst_symbol FROM s""")
+#: Metrics of the generated functions, by file, as table cm; null where nothing reads the file's language.
+CODE_METRICS_SQL = f"""ms AS (SELECT id, path, nloc // 20 AS s, ends_with(path, '.py') AS py, regexp_matches(path, '\\.(ts|tsx|js|jsx)$') AS js FROM files),
+cm AS (SELECT id, path, {_BOTH.format(py='s % 5 + 5 + 2 * (s % 7) + 5', js=f'{_WORST} + 6 + s % 2')} AS nloc, CASE WHEN py OR js THEN 2 END AS function_count, {_BOTH.format(py='greatest(2, 1 + s % 5 + 1 + s % 7 + s % 4)', js='greatest(2, 2 + s % 5 + 1 + s % 7 + s % 4)')} AS max_cyclomatic, CASE WHEN py OR js THEN s % 5 + 1 END AS max_nesting,
+CASE WHEN py OR js THEN CASE WHEN s % 4 = 0 THEN 0 ELSE s % 4 + 1 END END AS max_operands, {_BOTH.format(py='greatest(5, s % 5 + 5 + 2 * (s % 7))', js=f'greatest(6 + s % 2, {_WORST})')} AS max_function_nloc, CASE WHEN py OR js THEN CASE WHEN s % 2 = 0 THEN 1 ELSE 0 END END AS broad_handlers, CASE WHEN py OR js THEN 'worst' END AS worst_symbol FROM ms)"""
+
+
+@query("hs_code_metrics", f"WITH {FILES_SQL}, {CODE_METRICS_SQL} SELECT * EXCLUDE (id) FROM cm")
 def metrics_query(spark: SparkSession, sf: str) -> DataFrame:
     """Metrics of generated functions of known shape."""
     return code_metrics(generated_functions(spark, sf)).drop("worst_line")

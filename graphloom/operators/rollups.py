@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.operators.graph import SCC_SQL, degrees, file_components
 from graphloom.operators.rules import is_test_file, node_category
-from graphloom.plans.projections import FILE_HIST_SQL, FILES_SQL, WEIGHTED_SQL, dense_edges, file_history, files, weighted_edges
+from graphloom.plans.projections import FILES_SQL, WEIGHTED_SQL, files, weighted_edges
 from graphloom.plans.rounds import Round, written
 from graphloom.registry import query
 from graphloom.session import table
@@ -134,96 +133,6 @@ def findings_by_marker(spark: SparkSession, sf: str) -> DataFrame:
     return findings(spark, sf).groupBy("marker").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "marker").limit(20)
 
 
-# Health of files on measured inputs: complexity from the size, cycles from components, coupling from the graph, churn from history.
-HEALTH_SQL = f"""{SCC_SQL}, {FILES_SQL}, {FILE_HIST_SQL}, z AS (SELECT scc_id, count(*) AS n FROM scc GROUP BY 1), dg AS (SELECT f.id, (SELECT count(*) FROM g1 WHERE dst = f.id) AS fan_in, (SELECT count(*) FROM g1 WHERE src = f.id) AS fan_out FROM files f),
-hi AS (SELECT files.id, path, nloc, nloc % 37 AS cyclomatic, z.n AS cycle_size, fan_in, fan_out, commits FROM files JOIN scc USING (id) JOIN z USING (scc_id) JOIN dg USING (id) JOIN fhist USING (id))"""
-
-
-def health_inputs(spark: SparkSession, sf: str) -> DataFrame:
-    """A file's measures joined to its facts from the graph and from history."""
-    e, f = dense_edges(spark, sf), files(spark, sf)
-    c = file_components(spark, sf).select("id", F.col("scc_size").alias("cycle_size"))
-    j = f.select("id", "path", "nloc", (F.col("nloc") % 37).alias("cyclomatic")).join(c, "id").join(degrees(e, f.select("id")), "id").join(file_history(spark, sf).drop("authors", "days"), "id")
-    return written(j, "health-inputs")
-
-
-@query("hs_inputs", f"WITH RECURSIVE {HEALTH_SQL} SELECT id, nloc, cyclomatic, cycle_size, fan_in, fan_out, commits FROM hi")
-def inputs_query(spark: SparkSession, sf: str) -> DataFrame:
-    return health_inputs(spark, sf).drop("path")
-
-
-def ramp(v: Column, warn: Column | float, saturate: Column | float) -> Column:
-    """0 up to warn, 1 from saturate on, linear between; a step where these don't differ."""
-    warn, saturate = (x if isinstance(x, Column) else F.lit(float(x)) for x in (warn, saturate))
-    return F.when(v <= warn, 0.0).when((saturate <= warn) | (v >= saturate), 1.0).otherwise((v - warn) / (saturate - warn))
-
-
-RAMP = "CASE WHEN {v} <= {a} THEN 0 WHEN {b} <= {a} OR {v} >= {b} THEN 1 ELSE ({v} - {a}) / ({b} - {a}) END"
-NEAREST = "list_sort(list({x}))[CAST(round_even({p} / 100.0 * (count({x}) - 1), 0) AS INTEGER) + 1]"
-CONTEXT_SQL = "cx AS (SELECT count(DISTINCT commits) >= 3 AS usable, " + ", ".join(f"CAST({NEAREST.format(x=x, p=p)} AS DOUBLE) AS {n}" for x, p, n in (("commits", 50, "c50"), ("commits", 95, "c95"), ("fan_in", 90, "i90"), ("fan_in", 99, "i99"), ("fan_out", 90, "o90"), ("fan_out", 99, "o99"))) + " FROM hi)"
-MARKERS_SQL = f"""mk AS (SELECT id, nloc, usable, 4.0 * {RAMP.format(v='cycle_size', a='1.0', b='12.0')} AS cycle, CASE WHEN fan_in >= i90 AND fan_out >= o90 THEN 3.0 * {RAMP.format(v='least(fan_in, fan_out)', a='least(i90, o90)', b='least(i99, o99)')} ELSE 0 END AS hub,
-2.5 * {RAMP.format(v='commits', a='c50', b='c95')} AS churn, 2.5 * {RAMP.format(v=f"({RAMP.format(v='cyclomatic', a='10.0', b='25.0')} * {RAMP.format(v='commits', a='c50', b='c95')})", a='0.2', b='0.8')} AS tangled, 2.5 * {RAMP.format(v='cyclomatic', a='10.0', b='25.0')} AS complex, 1.5 * {RAMP.format(v='nloc', a='400.0', b='1500.0')} AS large FROM hi, cx)"""
-
-
-def context(h: DataFrame) -> DataFrame:
-    """One row: whether churn tells files apart, and nearest-rank percentiles of churn and coupling."""
-    from graphloom.operators.aggregates import nearest_ranks
-
-    out = h.agg((F.countDistinct("commits") >= 3).alias("usable"))
-    for column, points, names in (("commits", (50, 95), ("c50", "c95")), ("fan_in", (90, 99), ("i90", "i99")), ("fan_out", (90, 99), ("o90", "o99"))):
-        out = out.crossJoin(nearest_ranks(h, [], column, points).select(*(F.col(f"p{p}").cast("double").alias(n) for p, n in zip(points, names, strict=True))))  # one row each
-    return out
-
-
-def marked(spark: SparkSession, sf: str) -> DataFrame:
-    """Deductions of every file's markers; null where a marker has no input."""
-    h = health_inputs(spark, sf)
-    j = h.crossJoin(F.broadcast(written(context(h), "context")))  # one row beside each
-    hub = F.when((F.col("fan_in") >= F.col("i90")) & (F.col("fan_out") >= F.col("o90")), 3.0 * ramp(F.least("fan_in", "fan_out").cast("double"), F.least("i90", "o90"), F.least("i99", "o99"))).otherwise(0.0)
-    churn, complex_ = ramp(F.col("commits").cast("double"), F.col("c50"), F.col("c95")), ramp(F.col("cyclomatic").cast("double"), 10, 25)
-    return j.select("id", "path", "nloc", "usable", "cycle_size", (4.0 * ramp(F.col("cycle_size").cast("double"), 1, 12)).alias("cycle"), hub.alias("hub"), (2.5 * churn).alias("churn"), (2.5 * ramp(complex_ * churn, 0.2, 0.8)).alias("tangled"), (2.5 * complex_).alias("complex"), (1.5 * ramp(F.col("nloc").cast("double"), 400, 1500)).alias("large"))
-
-
-@query("hs_axes", f"WITH RECURSIVE {HEALTH_SQL}, {CONTEXT_SQL}, {MARKERS_SQL} SELECT id, round(10 - least(9, least(4, complex) + least(3, large)), 6) AS maintainability, round(10 - least(9, least(4, cycle) + least(3, hub)), 6) AS architecture, CASE WHEN usable THEN round(least(5, churn + tangled), 6) END AS hotspot, CASE WHEN usable THEN round(least(5, churn + tangled) / (greatest(nloc, 30) / 100.0), 6) END AS exposure FROM mk")
-def axes(spark: SparkSession, sf: str) -> DataFrame:
-    """Three axes of every file: caps by category, then by axis; the third is null where history can't tell files apart."""
-    m = marked(spark, sf)
-    cap = lambda n, c: F.least(F.lit(float(n)), c)
-    hot = F.when(F.col("usable"), cap(5, F.col("churn") + F.col("tangled")))
-    return m.select("id", F.round(10 - cap(9, cap(4, F.col("complex")) + cap(3, F.col("large"))), 6).alias("maintainability"), F.round(10 - cap(9, cap(4, F.col("cycle")) + cap(3, F.col("hub"))), 6).alias("architecture"), F.round(hot, 6).alias("hotspot"), F.round(hot / (F.greatest(F.col("nloc"), F.lit(30)) / 100), 6).alias("exposure"))
-
-
-MARKS = ("complex", "large", "cycle", "hub", "churn", "tangled")
-
-
-@query("agg_marker_rollup", f"WITH RECURSIVE {HEALTH_SQL}, {CONTEXT_SQL}, {MARKERS_SQL}, l AS (SELECT unnest([{', '.join(repr(m) for m in MARKS)}]) AS marker, unnest([{', '.join(f'CAST({m} AS DOUBLE)' for m in MARKS)}]) AS d FROM mk) SELECT marker, count(d) AS evaluated, count(*) FILTER (d > 0) AS fired, round(count(*) FILTER (d > 0) / count(d), 4) AS fire_rate, round(avg(d), 4) AS mean_deduction, round(max(d), 4) AS max_deduction, CASE WHEN count(*) FILTER (d > 0) > 0 THEN 'fired' WHEN count(d) > 0 THEN 'zero_severity' ELSE 'no_input' END AS state FROM l GROUP BY 1")
-def marker_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    """How often each marker was evaluated and fired, what it took off, and the strongest state it is in."""
-    m = marked(spark, sf)
-    long = m.select(F.inline(F.array(*(F.struct(F.lit(k).alias("marker"), F.col(k).alias("d")) for k in MARKS))))
-    n, fired = F.count("d"), F.count_if(F.col("d") > 0)
-    return long.groupBy("marker").agg(n.alias("evaluated"), fired.alias("fired"), F.round(F.try_divide(fired, n), 4).alias("fire_rate"), F.round(F.avg("d"), 4).alias("mean_deduction"), F.round(F.max("d"), 4).alias("max_deduction"), F.when(fired > 0, "fired").when(n > 0, "zero_severity").otherwise("no_input").alias("state"))
-
-
-@query("agg_coverage", f"WITH RECURSIVE {HEALTH_SQL}, {CONTEXT_SQL}, {MARKERS_SQL} SELECT (SELECT count(DISTINCT cycle_size) FROM hi WHERE cycle_size > 1) AS file_level_cycles, list_sort(list_filter([CASE WHEN max(cycle) > 0 THEN 'cycle' END, CASE WHEN max(hub) > 0 THEN 'hub' END], lambda x: x IS NOT NULL)) AS active, list_sort(list_filter([CASE WHEN max(cycle) = 0 THEN 'cycle' END, CASE WHEN max(hub) = 0 THEN 'hub' END], lambda x: x IS NOT NULL)) AS inactive FROM mk")
-def coverage(spark: SparkSession, sf: str) -> DataFrame:
-    """Which markers of the architecture axis fired at all. Cycles are counted by distinct sizes, not by components."""
-    m = marked(spark, sf)
-    most = m.agg(F.countDistinct(F.when(F.col("cycle_size") > 1, F.col("cycle_size"))).alias("file_level_cycles"), F.max("cycle").alias("cycle"), F.max("hub").alias("hub"))
-    some = lambda test: F.array_sort(F.array_compact(F.array(*(F.when(test(F.col(k)), F.lit(k)) for k in ("cycle", "hub")))))
-    return most.select("file_level_cycles", some(lambda c: c > 0).alias("active"), some(lambda c: c == 0).alias("inactive"))
-
-
-@query("srt_health_files", f"WITH RECURSIVE {HEALTH_SQL}, {CONTEXT_SQL}, {MARKERS_SQL}, x AS (SELECT id, CASE WHEN id % 10 <> 0 THEN least(5, churn + tangled) / (greatest(nloc, 30) / 100.0) END AS exposure FROM mk) SELECT id, round(exposure, 6) AS exposure, (SELECT count(*) FROM x WHERE exposure IS NULL) AS not_available FROM x WHERE exposure IS NOT NULL ORDER BY round(exposure, 9) DESC, id LIMIT 40")
-def health_files(spark: SparkSession, sf: str, top: int = 40) -> DataFrame:
-    """Files by exposure for the effort of a review; those without a value are left out and counted."""
-    m = marked(spark, sf)
-    x = m.select("id", F.when(F.col("id") % 10 != 0, F.least(F.lit(5.0), F.col("churn") + F.col("tangled")) / (F.greatest(F.col("nloc"), F.lit(30)) / 100)).alias("exposure"))
-    none = F.broadcast(x.agg(F.count_if(F.col("exposure").isNull()).alias("not_available")))  # one row
-    top_rows = x.filter("exposure is not null").withColumn("e", F.round("exposure", 9)).orderBy(F.desc("e"), "id").limit(top)
-    return top_rows.select("id", F.round("exposure", 6).alias("exposure")).crossJoin(none)
-
-
 @query("hs_rollup", f"WITH {FILES_SQL}, a AS (SELECT id, nloc, (id % 101) / 10.1 AS v, string_split(path, '/') AS p, path FROM files), e AS (SELECT unnest(list_transform(range(1, least(len(p), 3)), lambda k: array_to_string(p[1:k], '/'))) AS dir, nloc, v, path FROM a) SELECT dir, count(*) AS files, round(sum(v * nloc) / sum(nloc), 6) AS weighted_mean, round(avg(v), 6) AS mean, round(min(v), 6) AS worst, arg_min(path, (v, path)) AS worst_path, count(*) >= 3 AS rankable FROM e GROUP BY 1")
 def rollup(spark: SparkSession, sf: str, deepest: int = 2) -> DataFrame:
     """Every folder down to a depth: each file counts in all folders above it; means by lines, the worst value and its file."""
