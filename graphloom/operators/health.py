@@ -68,7 +68,7 @@ MAINTAINABILITY = Axis(
 )
 ARCHITECTURE = Axis(
     "architecture",
-    (Marker("cycle_participation", "cycles", 4.0, "cycle_size", 1, 12), Marker("bidirectional_coupling_hub", "coupling", 3.0, "least(fan_in, fan_out)", "least(i90, o90)", "least(i99, o99)", gate="fan_in >= i90 AND fan_out >= o90")),
+    (Marker("cycle_participation", "cycles", 4.0, "cycle_size", 1, 12), Marker("bidirectional_coupling_hub", "coupling", 3.0, "CASE WHEN fan_in IS NOT NULL AND fan_out IS NOT NULL THEN least(fan_in, fan_out) END", "least(i90, o90)", "least(i99, o99)", gate="fan_in >= i90 AND fan_out >= o90")),
     {"cycles": 4.0, "coupling": 3.0},
     (("no_graph", "cycle_size IS NULL AND fan_in IS NULL"),),
     ("cycle_participation", "bidirectional_coupling_hub"),
