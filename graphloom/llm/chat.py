@@ -54,7 +54,6 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render = compile_template(template, {"escape": escape})
-        schema = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
         key, messages, any_rows = None, [], False
 
         def out() -> dict:
@@ -62,6 +61,7 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE) ->
             return {"conv_id": key, "formatted": text, "loss": [{"start": a, "end": b} for a, b in spans]}
 
         for batch in batches:
+            schema = pa.schema([("conv_id", batch.schema.field("conv_id").type), ("formatted", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
             rows = []
             for c, role, text in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "role", "text")), strict=True):
                 if any_rows and c != key:

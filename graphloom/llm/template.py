@@ -2,7 +2,8 @@
 
 Language: text, {{ expression }}, {% if %} {% elif %} {% else %} {% endif %}, {% for x in list %} {% endfor %} (with
 loop.first, loop.last, loop.index, loop.index0), {% set x = expression %}, {% generation %} {% endgeneration %}, and
-{# comments #}. Expressions: strings, integers, true, false, none, names, .field and ['field'] of mappings, filters,
+{# comments #}. A mark that opens must close; dashes beside marks aren't in the language. Blocks, parentheses and nots
+nest up to MOST_DEPTH, and an expression has MOST_TOKENS at most. Expressions: strings, integers, true, false, none, names, .field and ['field'] of mappings, filters,
 +, ==, !=, <, <=, >, >=, in, and, or, not, and parentheses. There are no calls and no way to Python attributes: .field
 only ever looks a key up, and filters are those that the caller names. Unknown names and fields are none, and print as
 nothing; null texts are none too, and very long ones are values like any other. What the language doesn't have, and
@@ -107,6 +108,7 @@ class Rendered:
 TOKEN = re.compile(r"\s*(?:(?P<string>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<number>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[-+<>|.()\[\]=]))")
 QUOTED = r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\""  # a closing mark inside a string closes nothing
 SPLIT = re.compile(r"(\{\{(?:" + QUOTED + r"|.)*?\}\}|\{%(?:" + QUOTED + r"|.)*?%\}|\{#.*?#\})", re.S)
+MOST_DEPTH, MOST_TOKENS = 40, 300
 ESCAPES = {"n": "\n", "t": "\t", "\\": "\\", "'": "'", '"': '"'}
 COMPARE: dict[str, Callable] = {"==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "in": lambda a, b: b is not None and a in b}
 
@@ -123,7 +125,17 @@ class Expression:
                 raise TemplateError(f"not an expression: {source!r}")
             self.tokens.append((m.lastgroup, m[m.lastgroup]))
             at = m.end()
-        self.at = 0
+        self.at = self.depth = 0
+        if len(self.tokens) > MOST_TOKENS:
+            raise TemplateError(f"more than {MOST_TOKENS} words and marks: {self.source[:40]!r}")
+
+    def deeper(self, parse: Callable) -> Any:
+        self.depth += 1
+        if self.depth > MOST_DEPTH:
+            raise TemplateError(f"nested more than {MOST_DEPTH} deep: {self.source[:40]!r}")
+        out = parse()
+        self.depth -= 1
+        return out
 
     def peek(self, *values: str) -> bool:
         return self.at < len(self.tokens) and self.tokens[self.at][0] in ("op", "name") and self.tokens[self.at][1] in values
@@ -155,7 +167,7 @@ class Expression:
     def negated(self) -> Any:
         if self.peek("not"):
             self.take()
-            return Unary(self.negated())
+            return Unary(self.deeper(self.negated))
         return self.chain(tuple(COMPARE), lambda: self.chain(("+",), self.filtered))
 
     def filtered(self) -> Any:
@@ -169,7 +181,7 @@ class Expression:
         kind, value = self.tokens[self.at] if self.at < len(self.tokens) else (None, None)
         if value == "(":
             self.take()
-            out = self.either()
+            out = self.deeper(self.either)
             self.take("op", ")")
         elif kind == "string":
             self.take()
@@ -183,32 +195,39 @@ class Expression:
             if self.take() == ".":
                 out = Item(out, Const(self.take("name")))
             else:
-                out = Item(out, self.either())
+                out = Item(out, self.deeper(self.either))
                 self.take("op", "]")
         return out
 
 
 def parse(source: str) -> tuple:
     """The syntax tree of a template."""
-    parts = [p for p in SPLIT.split(source) if p and not p.startswith("{#")]
-    at = 0
+    parts = [(k % 2 == 1, p) for k, p in enumerate(SPLIT.split(source)) if p and not (k % 2 and p.startswith("{#"))]
+    at = depth = 0
 
     def block(*ends: str) -> tuple[tuple, str, str]:
-        nonlocal at
+        nonlocal at, depth
         out: list[Any] = []
+        depth += 1
+        if depth > MOST_DEPTH:
+            raise TemplateError(f"blocks nest more than {MOST_DEPTH} deep")
         while at < len(parts):
-            part, at = parts[at], at + 1
-            if part.startswith("{{"):
-                out.append(Output(Expression(part[2:-2].strip("-")).whole()))
-            elif part.startswith("{%"):
-                word, _, rest = part[2:-2].strip("- \t\n").partition(" ")
+            (is_tag, part), at = parts[at], at + 1
+            if not is_tag:
+                if unclosed := re.search(r"\{[{%#]", part):
+                    raise TemplateError(f"never closed: {part[unclosed.start() : unclosed.start() + 40]!r}")
+                out.append(Text(part))
+            elif part.startswith("{{"):
+                out.append(Output(Expression(part[2:-2]).whole()))
+            else:
+                word, _, rest = part[2:-2].strip(" \t\n").partition(" ")
                 if word in ends:
+                    depth -= 1
                     return tuple(out), word, rest
                 out.append(statement(word, rest))
-            else:
-                out.append(Text(part))
         if ends:
             raise TemplateError(f"{ends[-1]} is missing")
+        depth -= 1
         return tuple(out), "", ""
 
     def statement(word: str, rest: str) -> Any:
@@ -226,10 +245,17 @@ def parse(source: str) -> tuple:
         raise TemplateError(f"no such statement: {word!r}")
 
     def condition(rest: str) -> If:
-        test = Expression(rest).whole()
-        then, word, more = block("elif", "else", "endif")
-        other = (condition(more),) if word == "elif" else block("endif")[0] if word == "else" else ()
-        return If(test, then, other)
+        cases, word = [], "elif"
+        while word == "elif":
+            test = Expression(rest).whole()
+            then, word, rest = block("elif", "else", "endif")
+            cases.append((test, then))
+        if len(cases) > MOST_DEPTH:
+            raise TemplateError(f"more than {MOST_DEPTH} cases of one if")
+        other = block("endif")[0] if word == "else" else ()
+        for test, then in reversed(cases):
+            other = (If(test, then, other),)
+        return other[0]
 
     return block()[0]
 

@@ -1,10 +1,11 @@
 """Not-modified revisits of web archives: as-of join by canonical URL to the latest earlier full response.
 
-A record has record_id, kind ('response' or 'revisit'), url, time, headers (map; names in any case, of those that
+A record has record_id, kind ('response', 'revisit' or another), url, time, headers (map; names in any case, of those that
 differ in case only the last one counts) and, of responses, payload_sha256. A revisit takes the latest response of its canonical URL with an earlier time (of equal
 times the largest record_id) if their validators agree, and its headers are that response's with the permitted ones
 of the revisit on top. Verdicts: 'full' (a response), 'resolved', 'unchecked' (merged, but the two share no validator
-to compare), 'mismatch' and 'no_response' (both left as they are).
+to compare), 'mismatch' and 'no_response' (both left as they are), and 'other' (a record of another kind, or of none: neither
+resolved nor of use to revisits).
 
 A record without time is never earlier or later than another: such a revisit stays unresolved, such a response serves
 none. A null URL matches no other. Null headers are none. Repeated records get the same result each; very long URLs and
@@ -93,7 +94,8 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -
     check = validators(hit, F.col("headers"))
     j = all_.withColumn("check", F.when((F.col("kind") == "revisit") & F.col("hit").isNotNull(), check))
     good = F.col("check").isNotNull() & (F.col("check") != "mismatch")
-    verdict = F.when(F.col("kind") == "response", "full").when(F.col("hit").isNull(), "no_response").when(F.col("check") == "mismatch", "mismatch").when(F.col("check") == "none", "unchecked").otherwise("resolved")
+    is_revisit = F.coalesce(F.col("kind") == "revisit", F.lit(False))
+    verdict = F.when(F.col("kind") == "response", "full").when(~is_revisit, "other").when(F.col("hit").isNull(), "no_response").when(F.col("check") == "mismatch", "mismatch").when(F.col("check") == "none", "unchecked").otherwise("resolved")
     return j.select(
         "record_id", "kind", "url_key", verdict.alias("verdict"), F.when(F.col("kind") == "revisit", F.col("hit.record_id")).alias("response_id"), "check",
         F.when(good, merge_headers(hit, F.col("headers"))).otherwise(F.col("headers")).alias("headers"), F.when(good, F.col("hit.payload_sha256")).otherwise(F.col("payload_sha256")).alias("payload_sha256"),

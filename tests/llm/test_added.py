@@ -166,3 +166,35 @@ def test_secrets_of_a_text_with_fifty_thousand_values(spark):
     assert len(got) == 4 and all(r.n_hex == 50000 and r.n_live > 49000 for r in long) and long[0] == long[1]
     spans = [tuple(map(int, s.split(":")[1:])) for s in long[0].spans.split(",") if s.startswith("hex")]
     assert spans == [(33 * k, 33 * k + 32) for k in range(50000)]
+
+
+@pytest.mark.parametrize("source", ["a {{ name", "{% set x = name", "{# open", "{{-1}}", "{{- name -}}", "{%- if a %}x{% endif %}", "{{ 'a' }} {{", "{{ " + "(" * 3000 + "1" + ")" * 3000 + " }}", "{{ " + "not " * 200 + "a }}", "{{ " + "a + " * 400 + "a }}", "{% if a %}" * 60 + "{% endif %}" * 60, "{% if a %}" + "{% elif b %}" * 90 + "{% endif %}"])
+def test_what_the_template_language_does_not_have(source):
+    from graphloom.llm.template import TemplateError, compile_template
+
+    with pytest.raises(TemplateError):
+        compile_template(source)
+
+
+def test_what_looks_like_marks_and_deep_but_allowed_templates():
+    from graphloom.llm.template import compile_template
+
+    deep = "{% if a %}" * 30 + "x" + "{% endif %}" * 30 + "{{ " + "(" * 30 + "b" + ")" * 30 + " }}" + "".join(f"{{% if c == {k} %}}{k}" if not k else f"{{% elif c == {k} %}}{k}" for k in range(30)) + "{% else %}-{% endif %}"
+    assert "".join(compile_template(deep)(a=True, b="y", c=7)[0]) == "xy7"
+    assert "".join(compile_template("}} %} {a} { {{ '{{ }}' }}")()[0]) == "}} %} {a} { {{ }}"
+
+
+def test_records_of_other_kinds_are_neither_resolved_nor_served(spark):
+    from graphloom.llm.warc import resolve_revisits
+
+    rows = [(1, "response", 0, "aa"), (2, "request", 1, None), (3, "metadata", 2, None), (4, None, 3, None), (5, "revisit", 4, None)]
+    df = spark.createDataFrame(rows, "record_id long, kind string, t long, payload_sha256 string").selectExpr("record_id", "kind", "'http://a.org/x' AS url", "timestamp_seconds(1700000000 + t) AS time", "map('etag', 'v', 'content-type', kind) AS headers", "payload_sha256")
+    got = {r.record_id: (r.verdict, r.response_id, r.payload_sha256) for r in resolve_revisits(df).collect()}
+    assert got == {1: ("full", None, "aa"), 2: ("other", None, None), 3: ("other", None, None), 4: ("other", None, None), 5: ("resolved", 1, "aa")}
+
+
+def test_conversations_with_ids_of_text(spark):
+    from graphloom.llm.chat import format_conversations, read_back
+
+    df = spark.createDataFrame([("b", 0, "user", "hi"), ("a", 1, "assistant", "x"), ("a", 0, "user", None)], "conv_id string, turn long, role string, text string")
+    assert sorted((r.conv_id, r.n_turns, r.loss_chars) for r in read_back(format_conversations(df)).collect()) == [("a", 2, 1), ("b", 1, 0)]
