@@ -118,13 +118,14 @@ def postings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def header_label(line: Column) -> Column:
-    """The section that a line names, null if none: decoration goes, an exact phrase beats the longest one it starts with."""
+    """The section that a line names, null if none: decoration goes, an exact phrase beats the longest one it starts with; of equal ones the first in the list."""
     bare = F.regexp_replace(F.regexp_replace(line, r"^[\s#*\-•‣◦⁃∙\d.)(\[\]:>]+", ""), r"[\s:\-–—*]+$", "")
     c = F.lower(F.regexp_replace(bare, r"\s+", " "))
-    options = F.array(*(F.struct(F.lit(p).alias("phrase"), F.lit(s).alias("label")) for s, ps in SECTIONS.items() for p in ps))
+    listed = [(p, label) for label, phrases in SECTIONS.items() for p in phrases]
+    options = F.array(*(F.struct(F.lit(p).alias("phrase"), F.lit(k).alias("place"), F.lit(label).alias("label")) for k, (p, label) in enumerate(listed)))
     fits = F.filter(options, lambda o: (c == o["phrase"]) | (F.startswith(c, o["phrase"]) & (F.length(c) - F.length(o["phrase"]) <= SLACK)))
-    scored = F.transform(fits, lambda o: F.struct((F.length(o["phrase"]) + F.when(c == o["phrase"], 1000).otherwise(0)).alias("score"), o["label"].alias("label")))
-    return F.when((c != "") & (F.length(c) <= LONGEST_HEADER), F.array_max(scored)["label"])
+    best = F.array_min(F.transform(fits, lambda o: F.struct((c != o["phrase"]).alias("longer"), (-F.length(o["phrase"])).alias("size"), o["place"].alias("place"), o["label"].alias("label"))))
+    return F.when((c != "") & (F.length(c) <= LONGEST_HEADER), best["label"])
 
 
 def sections(docs: DataFrame) -> DataFrame:
@@ -138,10 +139,10 @@ def sections(docs: DataFrame) -> DataFrame:
     return heads.select("id", "label", F.col("start").cast("long").alias("start"), end.cast("long").alias("end"))
 
 
-PHRASES_SQL = "ph(phrase, label) AS (VALUES " + ", ".join(f"('{p.replace(chr(39), chr(39) * 2)}', '{s}')" for s, ps in SECTIONS.items() for p in ps) + ")"
+PHRASES_SQL = "ph(phrase, label, place) AS (VALUES " + ", ".join(f"('{p.replace(chr(39), chr(39) * 2)}', '{s}', {k})" for k, (s, p) in enumerate((s, p) for s, ps in SECTIONS.items() for p in ps)) + ")"
 SECTIONS_SQL = f"""{POSTING_SQL}, {PHRASES_SQL}, ln AS (SELECT id, length(text) AS size, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM postings),
 lc AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, lower(regexp_replace(regexp_replace(line, '^[\\s#*\\-•‣◦⁃∙0-9.)(\\[\\]:>]+', ''), '[\\s:\\-–—*]+$', '')) AS c FROM ln),
-lb AS (SELECT id, size, k, start, (SELECT arg_max(label, length(phrase) + CASE WHEN c = phrase THEN 1000 ELSE 0 END) FROM ph WHERE c = phrase OR (starts_with(c, phrase) AND length(c) - length(phrase) <= {SLACK})) AS label FROM lc),
+lb AS (SELECT id, size, k, start, (SELECT arg_min(label, (c <> phrase, -length(phrase), place)) FROM ph WHERE c = phrase OR (starts_with(c, phrase) AND length(c) - length(phrase) <= {SLACK})) AS label FROM lc),
 sec AS (SELECT id, coalesce(label, 'unknown') AS label, CAST(start AS BIGINT) AS start, CAST(coalesce(lead(start) OVER (PARTITION BY id ORDER BY start), size) AS BIGINT) AS "end" FROM lb WHERE label IS NOT NULL OR k = 1)"""
 
 
