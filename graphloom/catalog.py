@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from graphloom.operators import aggregates, cards, code, communities, graph, groups, health, learning, modules, neighborhood, ranking, resolution, rollups, rules, speech, strings, text, timeline, vectors
+from graphloom.operators import aggregates, cards, code, communities, decks, graph, groups, health, learning, modules, neighborhood, ranking, resolution, rollups, rules, speech, strings, text, timeline, vectors
 from graphloom.registry import ORACLE_SQL, QUERIES
 from graphloom.streaming import jobs
 
-__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "cards", "code", "communities", "graph", "groups", "health", "jobs", "learning", "modules", "neighborhood", "ranking", "resolution", "rollups", "rules", "speech", "strings", "text", "timeline", "vectors"]
+__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "cards", "code", "communities", "decks", "graph", "groups", "health", "jobs", "learning", "modules", "neighborhood", "ranking", "resolution", "rollups", "rules", "speech", "strings", "text", "timeline", "vectors"]

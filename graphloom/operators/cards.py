@@ -6,13 +6,14 @@ A module is a cluster of files. Cards of all modules are made at once; a templat
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import STOPWORDS, graded_form, name_tokens, shortest_distinct, similarity
-from graphloom.operators.graph import degrees
+from graphloom.operators.graph import THIN_SQL, degrees, file_components, layer_sql, layers, thin_graph, whole_graph
 from graphloom.plans.projections import FILES_SQL, G1_SQL, dense_edges, files
 from graphloom.plans.rounds import ordinal, written
 from graphloom.registry import query
@@ -81,8 +82,24 @@ def reading_order(f: DataFrame, e: DataFrame) -> DataFrame:
     return top_cards("reading_order", f, F.col("rank"), False)
 
 
+def closest_to_entry(f: DataFrame, e: DataFrame) -> DataFrame:
+    """A card for each module of four files or more that an entry reaches: the first by layer and path, against up to three of deeper layers.
+
+    Files that no entry reaches (layer null) are neither answer nor option; a module without two deeper files has no card.
+    """
+    known = f.filter("layer is not null").select("module", "path", "layer")
+    top = known.groupBy("module").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("layer", "path")).alias("top")).filter("n >= 4")
+    deeper = known.join(top.select("module", "top"), "module").filter(F.col("layer") > F.col("top.layer"))
+    own = W.partitionBy("module").orderBy("layer", "path")
+    wrong = deeper.withColumn("k", F.row_number().over(own)).filter(F.col("k") <= OPTIONS).groupBy("module", "top").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "path"))), lambda x: x["path"]).alias("wrong"))
+    answer = F.col("top.path")
+    return wrong.filter(F.size("wrong") >= LEAST_OPTIONS).select(F.lit("closest_to_entry").alias("template"), "module", answer.alias("subject"), F.col("module").alias("told"), answer.alias("answer"), "wrong")
+
+
 #: Templates by name; a further one is a function of the same two tables.
-TEMPLATES: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {"which_does_it_import": which_does_it_import, "who_imports_it": who_imports_it, "most_depended_on": most_depended_on, "reading_order": reading_order}
+TEMPLATES: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
+    "which_does_it_import": which_does_it_import, "who_imports_it": who_imports_it, "most_depended_on": most_depended_on, "closest_to_entry": closest_to_entry, "reading_order": reading_order,
+}
 
 
 def rejected(told: Column, answer: Column, wrong: Column) -> Column:
@@ -97,12 +114,27 @@ def generate(spark: SparkSession, sf: str, source: str = "deterministic", most:
     if source != "deterministic":
         raise NotImplementedError(f"no card source {source!r}: only deterministic ones are made here")
     f, e = module_facts(spark, sf)
-    all_ = None
-    for make in TEMPLATES.values():
-        all_ = make(f, e) if all_ is None else all_.unionByName(make(f, e))
-    good = all_.filter(rejected(F.col("told"), F.col("answer"), F.col("wrong")).isNull())
+    f = f.join(layers(*whole_graph(spark, sf), file_components(spark, sf)), "id")
+    return chosen(drafts(f, e), most)
+
+
+def drafts(f: DataFrame, e: DataFrame) -> DataFrame:
+    """template, module, subject, told, answer, wrong, reason (null: a good card) of every card that a template makes."""
+    all_ = reduce(DataFrame.unionByName, (make(f, e) for make in TEMPLATES.values()))
+    return all_.withColumn("reason", rejected(F.col("told"), F.col("answer"), F.col("wrong")))
+
+
+def rejections(drafted: DataFrame) -> DataFrame:
+    """template, reason, n of the drafts that are no good."""
+    return drafted.filter("reason is not null").groupBy("template", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def chosen(drafted: DataFrame, most: int = MOST_CARDS) -> DataFrame:
+    """The cards that a module keeps of its good drafts, up to ``most``."""
+    # A template's card past its ``most``-th turn can't be among the first ``most`` of its module.
     turn = F.row_number().over(W.partitionBy("module", "template").orderBy("subject"))
-    c = good.withColumn("turn", turn).withColumn("position", F.row_number().over(W.partitionBy("module").orderBy("turn", "template")) - 1).filter(F.col("position") < most)
+    good = drafted.filter("reason is null").withColumn("turn", turn).filter(F.col("turn") <= most)
+    c = good.withColumn("position", F.row_number().over(W.partitionBy("module").orderBy("turn", "template")) - 1).filter(F.col("position") < most)
     shown = shortest_distinct(F.concat(F.array("answer"), "wrong"))
     return c.select("module", "position", "template", "subject", F.get(shown, 0).alias("answer"), F.array_sort(shown).alias("options"))
 
@@ -141,6 +173,18 @@ def reading_query(spark: SparkSession, sf: str) -> DataFrame:
     return reading_order(f, e).select("module", "answer")
 
 
+CLOSEST_SQL = f"""{THIN_SQL}, {layer_sql('thin')}, {FILES_SQL}, ly AS (SELECT cluster AS module, path, hop AS layer FROM files JOIN scc ON scc.id = files.id JOIN bfs ON bfs.id = scc_id),
+tp AS (SELECT module, min(layer) AS lo, arg_min(path, (layer, path)) AS answer FROM ly GROUP BY 1 HAVING count(*) >= 4), dp AS (SELECT module, answer, lo, path, row_number() OVER (PARTITION BY module ORDER BY layer, path) AS k FROM ly JOIN tp USING (module) WHERE layer > lo)"""
+
+
+@query("card_closest_entry", f"WITH RECURSIVE {CLOSEST_SQL} SELECT module, answer, CAST(lo AS INTEGER) AS layer, string_agg(path, '|' ORDER BY k) AS wrong FROM dp WHERE k <= {OPTIONS} GROUP BY 1, 2, 3 HAVING count(*) >= {LEAST_OPTIONS}")
+def closest_query(spark: SparkSession, sf: str) -> DataFrame:
+    """On the thin graph: in the whole one nearly all files share a component, so a layer."""
+    f = files(spark, sf).select("id", "path", F.col("cluster").alias("module")).join(written(layers(*thin_graph(spark, sf)), "layers"), "id")
+    c = closest_to_entry(f, f).select("module", "answer", F.array_join("wrong", "|").alias("wrong"))
+    return c.join(f.select(F.col("path").alias("answer"), "layer"), "answer").select("module", "answer", "layer", "wrong")
+
+
 @query("card_deck")
 def deck(spark: SparkSession, sf: str) -> DataFrame:
     return generate(spark, sf)
