@@ -2,10 +2,13 @@
 
 import random
 
+import duckdb
 import pytest
 
 from graphloom.operators import graph
 from graphloom.operators.graph import layers, nodes_of, pagerank, strong_components
+from graphloom.registry import ORACLE_SQL, QUERIES
+from tests.conftest import SF
 
 
 def frame(spark, rows, schema="src long, dst long"):
@@ -84,3 +87,27 @@ def test_depth_is_bounded_by_cycles(spark):
 def test_walk_of_a_long_chain_keeps_few_tables(spark):
     e = frame(spark, [(i, i + 1) for i in range(1, 20)])
     assert {r.id: r.hop for r in graph.walk(e, frame(spark, [(1,)], "id long")).collect()} == {i: i - 1 for i in range(1, 21)}
+
+
+def rows_and_sql(spark, folder, name, orders, parts):
+    """A query's rows and its SQL's on tables of these parts and orders' parts, line by line."""
+    line, part = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("lineitem", "part"))
+    one, other = line.first().asDict(), part.first().asDict()
+    lines = [one | {"l_orderkey": i, "l_linenumber": k, "l_partkey": p} for i, o in enumerate(orders) for k, p in enumerate(o, 1)]
+    spark.createDataFrame([tuple(x[c] for c in line.columns) for x in lines], line.schema).write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([tuple((other | {"p_partkey": p})[c] for c in part.columns) for p in parts], part.schema).write.parquet(f"{folder}/part.parquet")
+    con = duckdb.connect()
+    for t in ("lineitem", "part"):
+        con.sql(f"create view {t} as select * from '{folder}/{t}.parquet/*.parquet'")
+    r = con.sql(ORACLE_SQL[name])
+    return sorted(map(tuple, QUERIES[name](spark, str(folder)).select(*r.columns).collect())), sorted(r.fetchall())
+
+
+@pytest.mark.parametrize("orders, parts, want", [
+    ([(1, 2, 1), (2, 3), (3, 4, 5, 3), (6, 6), (7, 1), (5, 8)], range(1, 10), [(1, 3), (3, 8), (7, 1)]),
+    ([(5, 99, 6), (6, 5), (6, 7, 8), (15, 2, 15), (15, 16, 15), (16, 17), (17, 3, 17)], [5, 6, 7, 8, 15, 16, 17], [(2, 3), (5, 7), (7, 8)]),
+], ids=["several components", "held together and named by unknown parts"])
+def test_condensation_query(spark, tmp_path, orders, parts, want):
+    """The given tables are one component, so their condensation has no edges; these have some."""
+    ours, sql = rows_and_sql(spark, tmp_path, "gr_condensation", orders, parts)
+    assert ours == sql == want
