@@ -111,3 +111,9 @@ def test_condensation_query(spark, tmp_path, orders, parts, want):
     """The given tables are one component, so their condensation has no edges; these have some."""
     ours, sql = rows_and_sql(spark, tmp_path, "gr_condensation", orders, parts)
     assert ours == sql == want
+
+
+def test_entry_nodes_query(spark, tmp_path):
+    """Every part of the given tables has an importer; here 7 and 9 have none, 6 only itself."""
+    ours, sql = rows_and_sql(spark, tmp_path, "gr_entry_nodes", [(1, 2, 1), (2, 3), (3, 4, 5, 3), (6, 6), (7, 1), (5, 8)], range(1, 10))
+    assert ours == sql == [(6,), (7,), (9,)]
