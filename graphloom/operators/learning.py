@@ -97,11 +97,14 @@ def review_cards(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("misc_speaking_overall", "SELECT user_id, CAST(round_even(avg(a) * 10, 0) AS BIGINT) AS overall FROM (SELECT user_id, event_type, avg(event_id % 11) AS a FROM events WHERE event_type <> 'error' GROUP BY 1, 2) GROUP BY 1")
 def speaking_overall(spark: SparkSession, sf: str) -> DataFrame:
-    """Ten times the mean of the numeric dimensions of a score map."""
+    """Ten times the mean of the numeric dimensions of a score map, halves to even; users without any have no row.
+
+    The mean is rounded to twelve digits first, so that a half is one in whatever order the dimensions are added.
+    """
     m = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.avg(F.col("event_id") % 11).alias("a"))
     g = m.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", F.when(F.col("event_type") != "error", F.col("a"))))).alias("m"))
-    v = F.filter(F.map_values("m"), lambda x: x.isNotNull())
-    return g.select("user_id", F.bround(F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v) * 10).cast("long").alias("overall"))
+    g = g.select("user_id", F.filter(F.map_values("m"), lambda x: x.isNotNull()).alias("v")).filter(F.size("v") > 0)
+    return g.select("user_id", F.bround(F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / F.size("v") * 10, 12)).cast("long").alias("overall"))
 
 
 @query("misc_speech_history", "SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 50")
