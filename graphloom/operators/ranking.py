@@ -190,11 +190,12 @@ TOP_SQL = "top AS (SELECT c_custkey AS id, c_acctbal AS x, c_custkey % 37 AS y F
 @query("st_spearman_top", f"""WITH {TOP_SQL}, a AS (SELECT id, x FROM top ORDER BY x DESC, id LIMIT 800), b AS (SELECT id, y FROM top ORDER BY y DESC, id LIMIT 800), j AS (SELECT id, x, y FROM a JOIN b USING (id)),
 r AS (SELECT rank() OVER (ORDER BY x DESC) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y DESC) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM j) SELECT count(*) AS n, round(corr(rx, ry), 9) AS rho FROM r""")
 def spearman_top(spark: SparkSession, sf: str, n: int = 800) -> DataFrame:
-    """Correlation of ranks within the intersection of two top-n lists."""
+    """Correlation of ranks within the intersection of two top-n lists: NaN where either side's are all tied, null without rows."""
     t = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x"), (F.col("c_custkey") % 37).alias("y"))
     j = t.select("id", "x").orderBy(F.desc("x"), "id").limit(n).join(t.select("id", "y").orderBy(F.desc("y"), "id").limit(n), "id")
     r = j.select(fractional_rank("x").alias("rx"), fractional_rank("y").alias("ry"))
-    return r.agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("rx", "ry"), 9).alias("rho"))
+    spread = F.stddev_pop("rx") * F.stddev_pop("ry")
+    return r.agg(F.count(F.lit(1)).alias("n"), F.round(F.when(spread == 0, float("nan")).otherwise(F.covar_pop("rx", "ry") / F.nullif(spread, F.lit(0.0))), 9).alias("rho"))
 
 
 @query("st_overlap_at", f"WITH {TOP_SQL}, a AS (SELECT id FROM top ORDER BY x DESC, id LIMIT 400), b AS (SELECT id FROM top ORDER BY y DESC, id LIMIT 400) SELECT count(*) AS overlap, count(*) >= 12 AS go FROM a JOIN b USING (id)")
