@@ -159,7 +159,7 @@ SELECT signal, 20 - count(*) AS n_left, round(1 - 6.0 * sum((ra - rb) * (ra - rb
 def ablation(spark: SparkSession, sf: str, n: int = 20) -> DataFrame:
     """Each signal left out in turn: how many files leave the top n (as many enter), and Spearman's rho of those that stay.
 
-    Top lists have n rows each; only these are compared.
+    Top lists have n rows each; only these are compared. Of a single file that stays rho is NaN.
     """
     s = written(minmaxed(signals(spark, sf), "fan_in", "pagerank", "commits", "authors", "days").withColumn("recency", 1 - F.col("days")), "signals")
     weights = GRAPH_WEIGHTS | HISTORY_WEIGHTS
@@ -176,7 +176,7 @@ def ablation(spark: SparkSession, sf: str, n: int = 20) -> DataFrame:
     own = W.partitionBy("signal")
     j = rows.join(F.broadcast(base), "id").select("signal", F.row_number().over(own.orderBy("base")).alias("ra"), F.row_number().over(own.orderBy("rank")).alias("rb"))
     m = F.count(F.lit(1))
-    return j.groupBy("signal").agg((n - m).alias("n_left"), F.round(1 - 6 * F.sum((F.col("ra") - F.col("rb")) ** 2) / (m * (m * m - 1)), 9).alias("rho"))
+    return j.groupBy("signal").agg((n - m).alias("n_left"), F.round(1 - 6 * F.sum((F.col("ra") - F.col("rb")) ** 2) / F.when(m > 1, m * (m * m - 1)).otherwise(float("nan")), 9).alias("rho"))
 
 
 @query("st_pearson", f"WITH {HIST_SQL} SELECT round(corr(commits, authors), 9) AS r FROM hist")
