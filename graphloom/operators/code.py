@@ -14,11 +14,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.operators.rules import is_test_file
 from graphloom.operators.scripts import script_facts, script_metrics
-from graphloom.plans.projections import FILES_SQL, KIND_WEIGHTS, STEPS_SQL, files, kind_weight, steps
+from graphloom.plans.projections import FILES_SQL, KIND_WEIGHTS, STEPS_SQL, files, kind_weight, line_kind
 from graphloom.plans.rounds import written
 from graphloom.registry import query
 from graphloom.session import table
@@ -259,29 +260,43 @@ CODE = r"\.(py|ts|tsx|js|jsx)$"
 
 
 def code_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """src, dst and the place of the strongest kind of use among the steps between them."""
-    strength = F.when(F.col("kind") == "inherits", 0).when(F.col("kind") == "calls", 1).when(F.col("kind") == "heavy_use", 2).when(F.col("kind") == "light_use", 3).otherwise(4)
-    return steps(spark, sf).filter("dst is not null and src <> dst").groupBy("src", "dst").agg(F.min(strength).alias("k"))
+    """src, dst and the place of the strongest kind of use among the steps between them.
+
+    The place is told from a line alone, so that orders are put together from numbers, without flags.
+    """
+    kind, strength = line_kind(), F.lit(4)
+    for k in (3, 2, 1, 0):
+        strength = F.when(kind == USE_KINDS[k], k).otherwise(strength)
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("src"), "l_suppkey", strength.alias("k"))
+    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "src", "l_suppkey")
+    s = lines.select("src", F.lead("src").over(order).alias("dst"), "k")
+    return s.filter("dst is not null and src <> dst").groupBy("src", "dst").agg(F.min("k").alias("k"))
 
 
 def generated_sources(spark: SparkSession, sf: str) -> DataFrame:
-    """path, content of the files in Python and JavaScript or TypeScript."""
+    """path, content of the files in Python and JavaScript or TypeScript.
+
+    Edges carry nothing but keys and the name of the file that they lead to; lines are put together file by file.
+    """
     f = files(spark, sf).select("id", "path")
-    bare = F.regexp_replace("path", CODE, "")
-    module = F.replace(F.regexp_replace(bare, "/__init__$", ""), F.lit("/"), F.lit("."))
-    name = F.concat(F.lit("Part"), F.col("dst").cast("string"))
-    t = f.select(F.col("id").alias("dst"), bare.alias("bare"), module.alias("module"))
-    e = code_edges(spark, sf).join(f.withColumnRenamed("id", "src"), "src").filter(F.col("path").rlike(CODE)).join(t, "dst")
+    e = code_edges(spark, sf).join(f.select(F.col("id").alias("dst"), F.regexp_replace("path", CODE, "").alias("bare")), "dst")
+    rows = e.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dst", "k", "bare"))).alias("rows")).withColumnRenamed("src", "id")
     python = F.endswith("path", F.lit(".py"))
-    # A path with a dot in a name, such as a config file's, is no module: Python can't import it.
-    line = F.when(python, F.concat(F.lit("from "), F.regexp_replace("module", r"\.config\.", ".config_"), F.lit(" import "), name)).otherwise(F.concat(F.lit("import { "), name, F.lit(" } from '@/"), "bare", F.lit("';")))
-    n = F.col("k")
-    use = F.when(n == 0, F.concat(F.lit("class Own"), F.col("dst").cast("string"), F.when(python, F.lit("(")).otherwise(F.lit(" (")), name, F.lit(")"), F.when(python, F.lit(": pass")).otherwise(F.lit(" {}"))))
-    use = use.when(n == 1, F.concat(F.lit("x = "), name, F.lit("()"))).when(n == 2, F.array_join(F.array_repeat(F.concat(F.lit("y = "), name), 5), "\n")).when(n == 3, F.concat(F.lit("z = "), name)).otherwise(F.lit(""))
-    by = F.array_sort(F.collect_list(F.struct("dst", line.alias("line"), use.alias("use"))))
-    text = e.groupBy("src").agg(by.alias("rows")).select(F.col("src").alias("id"), F.concat_ws("\n", F.transform("rows", lambda r: r["line"]), F.transform("rows", lambda r: r["use"])).alias("body"))
-    tail = F.when(F.endswith("path", F.lit(".py")), F.lit("\n\ndef run(a, b=1):\n    \"\"\"Runs.\"\"\"\n    return a\n\n\nclass Kept:\n    def go(self):\n        return 1\n")).otherwise(F.lit("\n\nexport function run(a, b) {\n  return a;\n}\n\nclass Kept {\n  go() {\n    return 1;\n  }\n}\n"))
-    return f.filter(F.col("path").rlike(CODE)).join(text, "id", "left").select("path", F.concat(F.coalesce("body", F.lit("")), tail).alias("content"))
+    name = lambda r: F.concat(F.lit("Part"), r["dst"].cast("string"))
+
+    def line(r: Column) -> Column:
+        module = F.replace(F.regexp_replace(r["bare"], "/__init__$", ""), F.lit("/"), F.lit("."))
+        # A path with a dot in a name, such as a config file's, is no module: Python can't import it.
+        return F.when(python, F.concat(F.lit("from "), F.regexp_replace(module, r"\.config\.", ".config_"), F.lit(" import "), name(r))).otherwise(F.concat(F.lit("import { "), name(r), F.lit(" } from '@/"), r["bare"], F.lit("';")))
+
+    def use(r: Column) -> Column:
+        own = F.concat(F.lit("class Own"), r["dst"].cast("string"), F.when(python, F.lit("(")).otherwise(F.lit(" (")), name(r), F.lit(")"), F.when(python, F.lit(": pass")).otherwise(F.lit(" {}")))
+        u = F.when(r["k"] == 0, own).when(r["k"] == 1, F.concat(F.lit("x = "), name(r), F.lit("()"))).when(r["k"] == 2, F.array_join(F.array_repeat(F.concat(F.lit("y = "), name(r)), 5), "\n"))
+        return u.when(r["k"] == 3, F.concat(F.lit("z = "), name(r))).otherwise(F.lit(""))
+
+    body = F.concat_ws("\n", F.transform("rows", line), F.transform("rows", use))
+    tail = F.when(python, F.lit("\n\ndef run(a, b=1):\n    \"\"\"Runs.\"\"\"\n    return a\n\n\nclass Kept:\n    def go(self):\n        return 1\n")).otherwise(F.lit("\n\nexport function run(a, b) {\n  return a;\n}\n\nclass Kept {\n  go() {\n    return 1;\n  }\n}\n"))
+    return f.filter(F.col("path").rlike(CODE)).join(rows, "id", "left").select("path", F.concat(F.when(F.col("rows").isNotNull(), body).otherwise(F.lit("")), tail).alias("content"))
 
 
 def top_config(spark: SparkSession) -> DataFrame:
