@@ -100,8 +100,8 @@ def under(root: Column, path: Column) -> Column:
     return F.when(root == "", path).otherwise(F.concat_ws("/", root, path))
 
 
-def python_candidates(specifier: Column, name: Column, from_path: Column, roots: Column) -> Column:
-    """Paths in the order in which they are tried: the name as a submodule under each base, then each base itself.
+def python_bases(specifier: Column, name: Column, from_path: Column, roots: Column) -> Column:
+    """Modules' paths without ending in the order in which they are tried: the name as a submodule under each base, then each base itself.
 
     A relative specifier has one base, so many folders up as it has dots less one; an absolute one has a base under
     each root.
@@ -110,44 +110,50 @@ def python_candidates(specifier: Column, name: Column, from_path: Column, roots:
     module = F.replace(F.regexp_replace(specifier, r"^\.+", ""), F.lit("."), F.lit("/"))
     relative = F.array(normal_path(F.concat_ws("/", folder(from_path), F.array_join(F.array_repeat(F.lit(".."), dots - 1), "/"), module)))
     bases = F.when(dots > 0, relative).otherwise(F.transform(roots, lambda r: under(r, module)))
-    files_of = lambda b: F.array(F.concat(b, F.lit(".py")), F.concat(b, F.lit("/__init__.py")))
-    own = F.flatten(F.transform(bases, files_of))
-    sub = F.flatten(F.transform(bases, lambda b: files_of(F.concat_ws("/", b, name))))
-    return F.when(name.isNull() | (name == "*"), own).otherwise(F.concat(sub, own))
+    return F.when(name.isNull() | (name == "*"), bases).otherwise(F.concat(F.transform(bases, lambda b: F.concat_ws("/", b, name)), bases))
+
 
+def python_candidates(specifier: Column, name: Column, from_path: Column, roots: Column) -> Column:
+    """Paths in the order in which they are tried: a file and then a package of each base."""
+    return F.flatten(F.transform(python_bases(specifier, name, from_path, roots), lambda b: F.array(F.concat(b, F.lit(".py")), F.concat(b, F.lit("/__init__.py")))))
 
-def tried(base: Column) -> Column:
-    """Exact path, then each extension, then an index file of each."""
-    b = normal_path(base)
-    return F.array(b, *(F.concat(b, F.lit(e)) for e in JS_EXTENSIONS), *(F.concat(b, F.lit(f"/index{e}")) for e in JS_EXTENSIONS))
 
+def bases_of(paths: DataFrame) -> DataFrame:
+    """python, base, nth, target: what each path answers, and as the how-manieth of the files that are tried for it.
 
-def js_candidates(specifier: Column, from_path: Column) -> Column:
-    return F.when(F.startswith(specifier, F.lit(".")), tried(F.concat_ws("/", folder(from_path), specifier))).otherwise(F.array().cast("array<string>"))
+    A Python base is tried as a file, then as a package; a script's as it stands, then with each extension, then as
+    an index file of each.
+    """
+    path = F.col("path")
+    ends = lambda python, endings: [(python, e, k) for k, e in enumerate(endings)]
+    forms = [*ends(True, (".py", "/__init__.py")), *ends(False, ("", *JS_EXTENSIONS, *(f"/index{e}" for e in JS_EXTENSIONS)))]
+    each = F.array(*(F.when(F.endswith(path, F.lit(e)), F.struct(F.lit(python).alias("python"), F.left(path, F.length(path) - len(e)).alias("base"), F.lit(k).alias("nth"))) for python, e, k in forms))
+    return paths.select(path.alias("target"), F.inline(F.filter(each, lambda x: x.isNotNull())))
 
 
-def nearest_config(paths: DataFrame, dirs: DataFrame) -> DataFrame:
-    """path, dir: the deepest of the folders (dir) that a path lies in; folders above a path meet dirs by equality."""
-    parts = F.split(folder(F.col("path")), "/")
+def nearest_config(folders: DataFrame, dirs: DataFrame) -> DataFrame:
+    """folder, dir: the deepest of the folders (dir) that a folder is or lies in; those above it meet dirs by equality."""
+    parts = F.split("folder", "/")
     up = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
-    above = paths.select("path", F.explode(F.array_distinct(up)).alias("dir")).join(dirs.select("dir").distinct(), "dir")
-    return above.groupBy("path").agg(F.max_by("dir", F.length("dir")).alias("dir"))
+    above = folders.select("folder", F.explode(F.array_distinct(up)).alias("dir")).join(dirs.select("dir").distinct(), "dir")
+    return above.groupBy("folder").agg(F.max_by("dir", F.length("dir")).alias("dir"))
 
 
-def aliased(imports: DataFrame, paths: DataFrame, aliases: DataFrame) -> DataFrame:
-    """id, target of imports that an alias of their nearest settings file leads to a file; aliases: dir, alias, targets.
+def aliased(asked: DataFrame, bases: DataFrame, aliases: DataFrame) -> DataFrame:
+    """base, specifier, target of specifiers that an alias of a settings file (base: its folder) leads to a file; aliases: dir, alias, targets.
 
-    Only the nearest folder's aliases count, none of those above. Every beginning of a specifier meets the aliases'
-    beginnings by equality; the longest that leads anywhere wins, then the first target, then the first extension.
+    Beginnings of a specifier, of the lengths that the file's aliases have, meet these by equality; the longest that
+    leads anywhere wins, then the first target, then the first extension.
     """
-    rows = imports.filter(F.lower("path").rlike(r"\.(ts|tsx|js|jsx)$") & ~F.startswith("specifier", F.lit("."))).select("id", "path", "specifier")
-    own = rows.join(nearest_config(rows.select("path").distinct(), aliases), "path")
-    begun = own.select("id", "dir", "specifier", F.explode(F.sequence(F.lit(0), F.length("specifier"))).alias("n")).withColumn("prefix", F.left("specifier", F.col("n")))
-    table_ = aliases.filter("alias IS NOT NULL").select("dir", "alias", F.rtrim(F.col("alias"), F.lit("*")).alias("prefix"), F.posexplode("targets").alias("nth", "to"))
-    hit = begun.join(table_, ["dir", "prefix"])
+    named = aliases.filter("alias IS NOT NULL").select(F.col("dir").alias("base"), "alias", F.rtrim(F.col("alias"), F.lit("*")).alias("prefix"), "targets")
+    lengths = named.groupBy("base").agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    begun = asked.select("base", "specifier").join(lengths, "base")
+    begun = begun.select("base", "specifier", F.explode(F.filter("lengths", lambda n: n <= F.length("specifier"))).alias("n")).withColumn("prefix", F.left("specifier", F.col("n")))
+    hit = begun.join(named.select("base", "prefix", "alias", F.posexplode("targets").alias("nth", "to")), ["base", "prefix"])
     rest = F.substr("specifier", F.col("n") + 1)
-    c = hit.select("id", "n", "alias", "nth", F.posexplode(tried(F.concat(F.rtrim(F.col("to"), F.lit("*")), rest))).alias("pos", "target"))
-    return c.join(paths.select(F.col("path").alias("target")), "target", "left_semi").groupBy("id").agg(F.min_by("target", F.struct((-F.col("n")).alias("n"), "alias", "nth", "pos")).alias("target"))
+    c = hit.select(F.col("base").alias("dir"), "specifier", "n", "alias", F.col("nth").alias("at"), normal_path(F.concat(F.rtrim(F.col("to"), F.lit("*")), rest)).alias("base"))
+    found = c.join(bases.filter("not python"), "base")
+    return found.groupBy(F.col("dir").alias("base"), "specifier").agg(F.min_by("target", F.struct((-F.col("n")).alias("n"), "alias", "at", "nth")).alias("target"))
 
 
 def imports_of(facts: DataFrame) -> DataFrame:
@@ -158,20 +164,30 @@ def imports_of(facts: DataFrame) -> DataFrame:
     return i.select(F.xxhash64("path", "k", "m").alias("id"), "path", "specifier", F.col("p.names").alias("name"), F.col("p.locals").alias("local"), "line", "reexport")
 
 
-def probe(imports: DataFrame, paths: DataFrame) -> DataFrame:
-    """id, target: the first of each row's ``candidates`` that is a path; rows without a hit are left out."""
-    c = imports.select("id", F.posexplode("candidates").alias("pos", "target"))
-    return c.join(paths.select(F.col("path").alias("target")), "target", "left_semi").groupBy("id").agg(F.min_by("target", "pos").alias("target"))
-
-
 def resolve(imports: DataFrame, paths: DataFrame, roots: tuple[str, ...] = DEFAULT_ROOTS, aliases: DataFrame | None = None) -> DataFrame:
-    """The imports with target, null where no file answers; aliases: dir, alias, targets, by settings file."""
-    is_python = F.endswith("path", F.lit(".py"))
-    c = F.when(is_python, python_candidates(F.col("specifier"), F.col("name"), F.col("path"), F.array(*map(F.lit, roots)))).otherwise(js_candidates(F.col("specifier"), F.col("path")))
-    found = probe(imports.withColumn("candidates", c), paths)
-    if aliases is not None:  # relative imports have no alias, and no other script's has candidates of its own
-        found = found.unionByName(aliased(imports, paths, aliases))
-    return imports.join(found, "id", "left")
+    """The imports with target, null where no file answers; aliases: dir, alias, targets, by settings file.
+
+    An import's answer hangs on its specifier and name (of Python), and on the folder that it is relative to or whose
+    settings hold for it: each such question is asked once. Of settings files only the nearest counts, none above it.
+    """
+    python, relative = F.endswith("path", F.lit(".py")), F.startswith("specifier", F.lit("."))
+    i = imports.withColumn("python", python).withColumn("base", F.when(relative, folder(F.col("path"))))
+    if aliases is not None:  # relative imports have no alias, and no other script's has files of its own
+        by_alias = ~relative & F.lower("path").rlike(r"\.(ts|tsx|js|jsx)$")
+        own = i.withColumn("folder", F.when(by_alias, folder(F.col("path"))))
+        i = own.join(nearest_config(own.filter("folder is not null").select("folder").distinct(), aliases), "folder", "left").withColumn("base", F.coalesce("base", "dir")).drop("folder", "dir")
+    i = i.withColumn("asked", F.when(F.col("python"), F.col("name")))
+    key = ["python", "base", "specifier", "asked"]
+    q, bases = i.filter("python or base is not null").select(*key).distinct(), bases_of(paths)
+    from_path = F.concat("base", F.lit("/"))
+    tried = F.when(F.col("python"), python_bases(F.col("specifier"), F.col("asked"), from_path, F.array(*map(F.lit, roots)))).when(relative, F.array(normal_path(F.concat_ws("/", "base", "specifier"))))
+    c = q.select("python", F.col("base").alias("dir"), "specifier", "asked", F.posexplode(tried).alias("pos", "base"))
+    found = c.join(bases, ["python", "base"]).groupBy("python", F.col("dir").alias("base"), "specifier", "asked").agg(F.min_by("target", F.struct("pos", "nth")).alias("target"))
+    if aliases is not None:
+        more = aliased(q.filter(~F.col("python") & ~relative), bases, aliases)
+        found = found.unionByName(more.select(F.lit(False).alias("python"), "base", "specifier", F.lit(None).cast("string").alias("asked"), "target"))
+    met = [F.col(f"i.{k}").eqNullSafe(F.col(f"f.{k}")) for k in key]
+    return i.alias("i").join(found.alias("f"), met, "left").select(*(f"i.{c}" for c in imports.columns), "f.target")
 
 
 def candidate_roots(paths: DataFrame) -> DataFrame:
@@ -188,16 +204,16 @@ def score_roots(unresolved: DataFrame, paths: DataFrame) -> DataFrame:
     apart into root and rest, and rests meet specifiers by equality; no root is tried against a row it can't answer.
     A file that several roots lead to counts for the deepest alone.
     """
-    rows = unresolved.filter(F.endswith("path", F.lit(".py")) & ~F.startswith("specifier", F.lit("."))).select("id", "specifier", "name")
+    rows = unresolved.filter(F.endswith("path", F.lit(".py")) & ~F.startswith("specifier", F.lit("."))).groupBy("specifier", "name").agg(F.count(F.lit(1)).alias("n"))
     parts = F.split("path", "/")
     cuts = paths.filter(F.endswith("path", F.lit(".py"))).select("path", parts.alias("parts")).select("path", "parts", F.explode(F.sequence(F.lit(0), F.size("parts") - 1)).alias("k"))
     rest = cuts.select(F.col("path").alias("target"), F.array_join(F.slice("parts", F.lit(1), F.col("k")), "/").alias("root"), F.array_join(F.slice("parts", F.col("k") + 1, F.size("parts")), "/").alias("candidate"), F.col("k").alias("depth"))
-    tried = rows.select("id", F.posexplode(python_candidates(F.col("specifier"), F.col("name"), F.lit(""), F.array(F.lit("")))).alias("pos", "candidate"))
-    hits = tried.join(rest, "candidate").groupBy("id", "root").agg(F.min_by(F.struct("target", "depth"), "pos").alias("hit"))
+    tried = rows.select("specifier", "name", "n", F.posexplode(python_candidates(F.col("specifier"), F.col("name"), F.lit(""), F.array(F.lit("")))).alias("pos", "candidate"))
+    hits = tried.join(rest, "candidate").groupBy("specifier", "name", "n", "root").agg(F.min_by(F.struct("target", "depth"), "pos").alias("hit"))
     deepest = hits.groupBy("hit.target").agg(F.max("hit.depth").alias("depth"))
-    kept = hits.select("id", "root", "hit.target", "hit.depth").join(deepest, ["target", "depth"])
-    n = F.broadcast(rows.agg(F.count(F.lit(1)).alias("all")))  # one row
-    return kept.groupBy("root").agg(F.countDistinct("id").alias("score")).crossJoin(n).select("root", "score", (F.col("score") / F.col("all")).alias("share"))
+    kept = hits.select("n", "root", "hit.target", "hit.depth").join(deepest, ["target", "depth"])
+    n = F.broadcast(rows.agg(F.sum("n").alias("all")))  # one row
+    return kept.groupBy("root").agg(F.sum("n").alias("score")).crossJoin(n).select("root", "score", (F.col("score") / F.col("all")).alias("share"))
 
 
 def promoted_roots(scores: DataFrame, least_share: float = LEAST_SHARE, least: int = LEAST_IMPORTS) -> DataFrame:
@@ -217,8 +233,10 @@ def resolve_in_two_stages(imports: DataFrame, paths: DataFrame, aliases: DataFra
     parts = F.split("path", "/")
     cuts = paths.select(F.col("path").alias("target"), parts.alias("parts")).select("target", "parts", F.explode(F.sequence(F.lit(0), F.size("parts") - 1)).alias("k"))
     rest = cuts.select("target", F.array_join(F.slice("parts", F.lit(1), F.col("k")), "/").alias("root"), F.array_join(F.slice("parts", F.col("k") + 1, F.size("parts")), "/").alias("candidate"), F.col("k").alias("depth")).join(roots, "root", "left_semi")
-    tried = rows.select("id", "path", F.posexplode(python_candidates(F.col("specifier"), F.col("name"), F.lit(""), F.array(F.lit("")))).alias("pos", "candidate"))
-    hits = tried.join(rest, "candidate")
+    asked = rows.select("specifier", "name").distinct()
+    tried = asked.select("specifier", "name", F.posexplode(python_candidates(F.col("specifier"), F.col("name"), F.lit(""), F.array(F.lit("")))).alias("pos", "candidate"))
+    known = tried.join(rest, "candidate").alias("k")
+    hits = rows.alias("r").join(known, (F.col("r.specifier") == F.col("k.specifier")) & F.col("r.name").eqNullSafe(F.col("k.name"))).select("id", "path", "root", "depth", "pos", "target")
     above = (F.col("root") == "") | F.startswith("path", F.concat("root", F.lit("/")))
     best = hits.groupBy("id").agg(F.min_by("target", F.struct((~above).alias("far"), (-F.col("depth")).alias("depth"), "root", "pos")).alias("second"))
     return first.join(best, "id", "left").select(*[c for c in first.columns if c != "target"], F.coalesce("target", "second").alias("target"))
@@ -321,7 +339,7 @@ im AS (SELECT a.path, b.id AS dst, k, CASE WHEN a.py AND b.py AND NOT contains(b
 def imports_query(spark: SparkSession, sf: str) -> DataFrame:
     """Every import and the file that answers it, in two stages of roots."""
     s = generated_sources(spark, sf)
-    i = written(imports_of(extract(s)), "imports")
+    i = written(imports_of(extract(s)).select("id", "path", "specifier", "name"), "imports")
     return resolve_in_two_stages(i, files(spark, sf).select("path"), top_config(spark)).select("path", "name", "target")
 
 
