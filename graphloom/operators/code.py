@@ -355,7 +355,7 @@ def alias_nearest(spark: SparkSession, sf: str) -> DataFrame:
     configs = f.select(F.concat("top", F.lit("/tsconfig.json")).alias("path"), own.alias("content")).distinct().unionByName(above)
     rest = F.regexp_replace(F.regexp_replace("path", CODE, ""), "^[^/]*/", "")
     e = code_edges(spark, sf).join(f.select(F.col("id").alias("src"), "path"), "src").filter(F.col("path").rlike(r"\.(ts|tsx|js|jsx)$")).join(f.select(F.col("id").alias("dst"), F.concat(F.lit("@/"), rest).alias("specifier")), "dst")
-    i = written(e.select(F.xxhash64("src", "dst").alias("id"), "path", "dst", "specifier", F.lit(None).cast("string").alias("name")), "imports")
+    i = written(e.select("path", "dst", "specifier", F.lit(None).cast("string").alias("name")), "imports")
     return resolve(i, f.select("path"), aliases=path_aliases(configs)).select("path", "dst", "target")
 
 
