@@ -5,9 +5,13 @@ A module is a cluster of files. Cards of all modules are made at once; a templat
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Callable
 from functools import reduce
+from itertools import islice
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +24,7 @@ from graphloom.registry import query
 
 # The largest lead of an answer's similarity, wrong options of a card and the fewest, cards of a module.
 MOST_LEAD, OPTIONS, LEAST_OPTIONS, MOST_CARDS = 0.34, 3, 2, 6
+WINDOW, BLOCK = 4 * OPTIONS, 4096  # the most similar files that options are taken from; subjects that meet their module's files in one task
 
 
 def module_facts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -32,20 +37,57 @@ def module_facts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return f, written(inner, "inner")
 
 
+def windows(asked: pd.DataFrame, pool: pd.DataFrame) -> pd.DataFrame:
+    """module, subject, window: of each subject the first files of the pool by common names with the answer and by path, without what is barred.
+
+    A name that only one file bears tells nothing, as an answer isn't among its own card's options. Subjects whose
+    answers have the same names look at one order of the pool.
+    """
+    pool = pool.sort_values("path", ignore_index=True)
+    paths, tokens = pool["path"].to_numpy(), [list(t) for t in pool["tokens"]]
+    often = Counter(t for own in tokens for t in own)
+    code = {t: k for k, t in enumerate(t for t, n in often.items() if n > 1)}
+    reduced = lambda own: tuple(sorted(code[t] for t in own if t in code))
+    kinds: dict[tuple[int, ...], int] = {}
+    kind = np.array([kinds.setdefault(reduced(own), len(kinds)) for own in tokens], np.int64)
+    by_token: dict[int, list[int]] = defaultdict(list)
+    for names, k in kinds.items():
+        for t in names:
+            by_token[t].append(k)
+    listed = {t: np.array(k) for t, k in by_token.items()}
+    rank, equal, out = np.arange(len(paths)), len(set(paths)) < len(paths), []
+    for names, rows in asked.assign(names=[reduced(t) for t in asked["tokens"]]).groupby("names"):
+        alike = np.zeros(len(kinds), np.int64)
+        for t in names:
+            alike[listed[t]] += 1
+        key = (len(names) - alike)[kind] * len(paths) + rank
+        barred = [{r.subject, r.answer, *(r.barred if r.barred is not None else ())} for r in rows.itertuples()]
+        most = min(len(paths), WINDOW + max(map(len, barred)))
+        first = np.sort(np.partition(key, most - 1)[:most]) % len(paths) if most else key
+        if equal:  # any number of rows may be barred
+            first = np.sort(key) % len(paths)
+        for r, no in zip(rows.itertuples(), barred, strict=True):
+            out.append((r.module, r.subject, list(islice((p for p in map(paths.__getitem__, first) if p not in no), WINDOW))))
+    return pd.DataFrame(out, columns=["module", "subject", "window"])
+
+
 def distractors(subjects: DataFrame, pool: DataFrame, taken: DataFrame) -> DataFrame:
     """module, subject, wrong: up to three files that are no answer, from those most alike to it, by a turn that the subject's checksum sets.
 
     subjects: module, subject, answer; pool: module, path; taken: module, subject, path of what would be right too. The
     candidates of a card are the files of its module; the window of the most similar ones is four times the options.
+    Subjects of a module meet its files in blocks, each in a task of its own that holds both and no pair of them.
     """
-    c = subjects.join(pool, "module").filter("path <> subject and path <> answer").join(taken, ["module", "subject", "path"], "left_anti")
-    alike = F.size(F.array_intersect(name_tokens(F.col("answer")), name_tokens(F.col("path"))))
-    own = W.partitionBy("module", "subject")
-    c = c.withColumn("k", F.row_number().over(own.orderBy(alike.desc(), "path")) - 1).filter(F.col("k") < 4 * OPTIONS)
-    n = F.count(F.lit(1)).over(own)
-    turned = F.pmod(F.col("k") - F.pmod(F.crc32(F.encode("subject", "UTF-8")), n), n)
-    c = c.withColumn("turn", turned).filter(F.col("turn") < OPTIONS)
-    return c.groupBy("module", "subject").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "path"))), lambda x: x["path"]).alias("wrong"))
+    barred = taken.groupBy("module", "subject").agg(F.collect_set("path").alias("barred"))
+    blocks = subjects.groupBy("module").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    s = subjects.join(barred, ["module", "subject"], "left").join(blocks, "module").withColumn("block", F.pmod(F.xxhash64("answer"), "blocks"))
+    s = s.select("module", "block", "subject", "answer", "barred", name_tokens(F.col("answer")).alias("tokens"))
+    p = pool.join(blocks, "module").select("module", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "path", name_tokens(F.col("path")).alias("tokens"))
+    w = s.groupBy("module", "block").cogroup(p.groupBy("module", "block")).applyInPandas(windows, "module string, subject string, window array<string>").filter(F.size("window") > 0)
+    n = F.size("window")
+    turn = F.pmod(F.crc32(F.encode("subject", "UTF-8")), n)
+    wrong = F.transform(F.sequence(F.lit(0), F.least(F.lit(OPTIONS), n) - 1), lambda t: F.get("window", F.pmod(turn + t, n).cast("int")))
+    return w.select("module", "subject", wrong.alias("wrong"))
 
 
 def edge_cards(template: str, edges: DataFrame, pool: DataFrame) -> DataFrame:
@@ -150,12 +192,16 @@ cd AS (SELECT sj.*, fc.path, row_number() OVER (PARTITION BY template, sj.module
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Of each subject: the answer, and how many files its wrong options are taken from."""
     f, e = module_facts(spark, sf)
+    many = f.groupBy("module", "path").agg(F.count(F.lit(1)).alias("n"))
+    whole = f.groupBy("module").agg(F.count(F.lit(1)).alias("whole"))
     out = None
     for template, a, b in (("which_does_it_import", "a", "b"), ("who_imports_it", "b", "a")):
         t = e.select(F.col("m").alias("module"), F.col(a).alias("subject"), F.col(b).alias("path"))
         s = t.groupBy("module", "subject").agg(F.min("path").alias("answer"))
-        c = s.join(f.select("module", "path"), "module").filter("path <> subject and path <> answer").join(t, ["module", "subject", "path"], "left_anti")
-        n = c.groupBy("module", "subject", "answer").agg(F.least(F.count(F.lit(1)), F.lit(4 * OPTIONS)).cast("long").alias("window_size")).withColumn("template", F.lit(template))
+        # All files of the module but the subject and what it may be answered with: counted, as how alike they are doesn't matter here.
+        barred = t.unionByName(s.select("module", "subject", F.col("subject").alias("path"))).distinct().join(many, ["module", "path"]).groupBy("module", "subject").agg(F.sum("n").alias("barred"))
+        left = s.join(barred, ["module", "subject"]).join(whole, "module").withColumn("left", F.col("whole") - F.col("barred")).filter("left > 0")
+        n = left.select("module", "subject", "answer", F.least("left", F.lit(WINDOW).cast("long")).alias("window_size"), F.lit(template).alias("template"))
         out = n if out is None else out.unionByName(n)
     return out
 
